@@ -22,7 +22,7 @@ from math import gcd
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import text as tx
@@ -236,6 +236,19 @@ def link_classes(documents: DataFrame, shingle: int = 3, num: int = 90, den: int
     return of_doc.join(named, "cid", "left").select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
+def one_of_each(documents: DataFrame, shingle: int = 3, num: int = 90, den: int = 100) -> DataFrame:
+    """The rows of documents, with all their columns, of one document of each linked class: that of the smallest id.
+
+    Of rows that repeat an id one stays. Rows of null id all stay, as link_classes leaves them out."""
+    gone = link_classes(documents, shingle, num, den).where("doc_id <> component_id").select(F.col("doc_id").alias("_gone"))
+    left = documents.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+    again = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64(*documents.columns)))
+    repeated = documents.groupBy("doc_id").agg(F.count("*").alias("k")).where("k > 1 AND doc_id IS NOT NULL").select("doc_id")
+    if repeated.isEmpty():
+        return left
+    return left.withColumn("_again", again).where("doc_id IS NULL OR _again = 1").drop("_again")
+
+
 LINK_SQL = r"""
 WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
 s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN []::VARCHAR[] WHEN len(w) < 3 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) END) AS g FROM w),

@@ -69,6 +69,16 @@ def mix(documents: DataFrame, weights: tuple[float, ...] = (1.0, 2.0, 3.0), epoc
     return d.select("doc_id", "source", "size", "source_size", "target", (rounds * F.col("size") + F.least(F.greatest(rest, F.lit(0)), F.col("size"))).cast("long").alias("taken"))
 
 
+def mixed(documents: DataFrame, weights: tuple[float, ...] = (1.0, 2.0, 3.0), epochs: int = 3, share: float = 1.0) -> DataFrame:
+    """The rows of documents, with all their columns, each as often as the mix takes it: taken / size, rounded.
+
+    Documents without words are never taken. Equal rows share what is taken of them evenly, rounded down."""
+    named = documents.withColumn("_row", F.xxhash64(*documents.columns))
+    taken = mix(named, weights, epochs, share, doc_id="_row").groupBy("doc_id").agg(F.sum("taken").alias("t"), F.sum("size").alias("s"))
+    times = taken.where("s > 0 AND 2 * t >= s").select(F.col("doc_id").alias("_row"), F.expr("CAST((2 * t + s) div (2 * s) AS INT)").alias("_times"))
+    return named.join(times, "_row").withColumn("_copy", F.explode(F.sequence(F.lit(1), "_times"))).select(*documents.columns)
+
+
 MIX_SQL = r"""
 WITH d AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size, md5(coalesce(doc_id::VARCHAR, '')) AS digest FROM documents),
 s AS (SELECT source, sum(size)::BIGINT AS source_size, [1.0, 2.0, 3.0][((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)]::DOUBLE AS weight FROM d GROUP BY source),
