@@ -26,13 +26,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import text as tx
-from .cluster import components, materialise
+from .cluster import components, materialise, stored
 
 #: The most frequent shingles that get a rank of their own; all others are ordered by hash. Only speed depends on it.
 RANKED = 1 << 16
 #: Shingles that one task reports as frequent, at most.
 REPORTED = 1 << 13
-BITMAP_WORDS = 8
+#: log2 of the bits of the smallest bitmap.
+LEAST_LOG = 9
 
 
 def shingle_sets(col: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -61,12 +62,16 @@ def shingle_sets(col: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray]:
     return h, np.searchsorted(row, np.arange(rows + 1))
 
 
-def _parity(h: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """A bitmap of 64 * BITMAP_WORDS bits for each set; each shingle flips one bit."""
-    bit = h.view(np.uint64) >> np.uint64(55)
-    rows = np.repeat(np.arange(len(at) - 1), np.diff(at))
-    odd = np.bincount(rows * 512 + bit.astype(np.int64), minlength=512 * (len(at) - 1)) & 1
-    return np.packbits(odd.astype(np.uint8).reshape(-1, 64 * BITMAP_WORDS), axis=1).view(np.int64)
+def _parity(h: np.ndarray, at: np.ndarray) -> pa.Array:
+    """A bitmap for each set; each shingle flips one bit. It has about as many bits as the set has shingles, a power
+    of two, and bits go by the low end of the hash, so that the halves of a bitmap give the one half as long."""
+    n = np.diff(at)
+    log = np.maximum(LEAST_LOG, np.ceil(np.log2(np.maximum(n, 1))).astype(np.int64))
+    to = np.concatenate([[0], np.cumsum(1 << log)])
+    rows = np.repeat(np.arange(len(n)), n)
+    bit = h & ((1 << log) - 1)[rows]
+    odd = np.bincount(to[rows] + bit, minlength=to[-1]) & 1
+    return _lists(np.packbits(odd.astype(np.uint8)).view(np.int64), to >> 6)
 
 
 def _lists(values: np.ndarray, at: np.ndarray) -> pa.Array:
@@ -86,8 +91,10 @@ def _near(p: str, q: str, num: int, den: int) -> str:
 
 def _alike(num: int, den: int) -> str:
     """Parity bitmap filter on classes a and b: no fewer shingles differ than bits."""
-    bits = " + ".join(f"bit_count(a.bits[{k}] ^ b.bits[{k}])" for k in range(BITMAP_WORDS))
-    return f"{bits} <= a.n + b.n - 2 * {_need('a.n', 'b.n', num, den)}"
+    # sets of similar size have bitmaps of one length, or one of double length, which is folded
+    fold = "IF(size({0}.bits) > size({1}.bits), zip_with(slice({0}.bits, 1, size({1}.bits)), slice({0}.bits, size({1}.bits) + 1, size({1}.bits)), (x, y) -> x ^ y), {0}.bits)"
+    bits = f"aggregate(zip_with({fold.format('a', 'b')}, {fold.format('b', 'a')}, (x, y) -> bit_count(x ^ y)), 0, (s, x) -> s + x)"
+    return f"{den} * least(a.n, b.n) >= {num} * greatest(a.n, b.n) AND {bits} <= a.n + b.n - 2 * {_need('a.n', 'b.n', num, den)}"
 
 
 def _bitmap(hashes: DataFrame, log_bits: int = 23) -> np.ndarray:
@@ -174,59 +181,86 @@ def link_classes(documents: DataFrame, shingle: int = 3, num: int = 90, den: int
     by_key = np.argsort(ranked["key"].to_numpy())
     rank_keys, ranks = ranked["key"].to_numpy()[by_key], (len(ranked) - np.arange(len(ranked)))[by_key].astype(np.int64)
 
+    def ordered(part: pa.RecordBatch) -> tuple:
+        """Hashes, offsets, sizes, and the prefixes in the global order with their offsets and group names."""
+        h, at = shingle_sets(part.column(1), shingle)
+        n = np.diff(at)
+        row = np.repeat(np.arange(len(n)), n)
+        order = np.lexsort((h, tx.lookup(rank_keys, ranks, h, 0), row))
+        length = np.where(n > 0, n - (num * n + den - 1) // den + 1, 0)
+        prefix = h[order][np.arange(len(h)) - at[:-1][row] < length[row]]
+        to = np.concatenate([[0], np.cumsum(length)])
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(tx.mix(prefix.view(np.uint64)), dtype=np.uint64)])
+        return h, at, n, prefix, to, tx.chain(sums[to[1:]] - sums[to[:-1]], n.astype(np.uint64)).view(np.int64)
+
     def sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in tx.slices(batches, "text"):
-            h, at = shingle_sets(part.column(1), shingle)
-            n = np.diff(at)
-            row = np.repeat(np.arange(len(n)), n)
-            order = np.lexsort((h, tx.lookup(rank_keys, ranks, h, 0), row))
-            length = np.where(n > 0, n - (num * n + den - 1) // den + 1, 0)
-            inside = np.arange(len(h)) - at[:-1][row] < length[row]
-            prefix = _lists(h[order][inside], np.concatenate([[0], np.cumsum(length)]))
-            bits = _lists(_parity(h, at).reshape(-1), np.arange(len(n) + 1) * BITMAP_WORDS)
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n.astype(np.int32)), pa.array(_digest(h, at)), prefix, bits], ["doc_id", "n", "cid", "prefix", "bits"])
+            h, at, n, _, _, gid = ordered(part)
+            bits = _parity(h, at)
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n.astype(np.int32)), pa.array(_digest(h, at)), pa.array(gid), bits], ["doc_id", "n", "cid", "gid", "bits"])
+
+    def indexed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """One row for each prefix shingle of each group; a group that occurs again in the task is left out."""
+        seen: set[int] = set()
+        for part in tx.slices(batches, "text"):
+            _, _, n, prefix, to, gid = ordered(part)
+            new = np.zeros(len(n), bool)
+            for k, x in enumerate(gid.tolist()):
+                if n[k] and x not in seen:
+                    seen.add(x)
+                    new[k] = True
+            row = np.repeat(np.arange(len(n)), np.diff(to))
+            place = np.arange(len(prefix)) - to[:-1][row]
+            keep = new[row]
+            yield pa.RecordBatch.from_arrays([pa.array(prefix[keep]), pa.array(gid[row][keep]), pa.array(n[row][keep] << 32 | place[keep])], ["key", "gid", "np"])
 
     kind = documents.schema[doc_id].dataType.simpleString()
-    sketch = materialise(docs.mapInArrow(sketched, f"doc_id {kind}, n int, cid bigint, prefix array<bigint>, bits array<bigint>"))
+    sketch = materialise(docs.mapInArrow(sketched, f"doc_id {kind}, n int, cid bigint, gid bigint, bits array<bigint>"))
     of_doc = sketch.groupBy("doc_id").agg(F.min(F.struct("n", "cid")).alias("s")).select("doc_id", "s.n", "s.cid")
-    # prefix and bitmap follow from the set, so first() picks one of equals
-    shapes = sketch.where("n > 0").groupBy("cid").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("bits").alias("bits"))
-    classes = shapes.join(of_doc.groupBy("cid").agg(F.min("doc_id").alias("id")), "cid").withColumn("gid", F.xxhash64("n", "prefix"))
-    classes = materialise(classes)
-    groups = classes.groupBy("gid").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.min("cid").alias("lead"))
-    listed = groups.select("gid", "lead", "n", F.posexplode("prefix").alias("place", "key"))
-    hubs = listed.groupBy("key").agg(F.count("*").alias("members"), F.min(F.struct("place", "gid", "n", "lead")).alias("hub")).where("members > 1")
-    listed = materialise(listed.join(hubs, "key").select("key", "gid", "n", "place", "hub"))  # lists of two or more
-
+    # size, group and bitmap follow from the set, so first() picks one of equals
+    shapes = sketch.where("n > 0").groupBy("cid").agg(F.first("n").alias("n"), F.first("gid").alias("gid"), F.first("bits").alias("bits"))
+    classes = materialise(shapes.join(of_doc.groupBy("cid").agg(F.min("doc_id").alias("id")), "cid"))
     slim = classes.select("cid", "gid", "n", "bits")
 
-    def expanded(group_pairs: DataFrame) -> DataFrame:
-        """Pairs of classes whose bitmaps are close, from (a, q): class a against every class of group q."""
-        a, b = slim.alias("a"), slim.alias("b")
-        met = group_pairs.alias("p").join(a, F.expr("p.a = a.cid")).join(b, F.expr("p.q = b.gid AND a.cid <> b.cid AND " + _alike(num, den)))
+    # a list holds the groups with one prefix shingle, by place; a group dealt out by two tasks follows itself and is dropped
+    listing = Window.partitionBy("key").orderBy(F.expr("np & 4294967295"), "gid")
+    listed = docs.mapInArrow(indexed, "key bigint, gid bigint, np bigint").repartition("key")
+    listed = listed.withColumn("before", F.lag("gid").over(listing)).withColumn("after", F.lead("gid").over(listing)).withColumn("first", F.first(F.struct("gid", "np")).over(listing.rowsBetween(Window.unboundedPreceding, 0)))
+    listed = listed.where("(before IS NOT NULL AND before <> gid) OR (before IS NULL AND after IS NOT NULL)")
+    listed = stored(listed.select("key", "gid", "np", F.col("first.gid").alias("hub"), F.col("first.np").alias("hub_np")))
+
+    def sized(name: str, column: str) -> list[str]:
+        return [f"CAST({column} >> 32 AS INT) AS {name}n", f"CAST({column} & 4294967295 AS INT) AS {name}place"]
+
+    def expanded(group_pairs: DataFrame, members: DataFrame, apart: str) -> DataFrame:
+        """Pairs of classes whose bitmaps are close, from group pairs (p, q)."""
+        a, b = members.alias("a"), members.alias("b")
+        met = group_pairs.alias("m").join(a, F.expr("m.p = a.gid")).join(b, F.expr(f"m.q = b.gid AND a.cid <> b.cid AND {apart} AND " + _alike(num, den)))
         return met.select(F.least("a.cid", "b.cid").alias("a"), F.greatest("a.cid", "b.cid").alias("b")).distinct()
 
-    # each member against the first of its list; each group's classes against the group's first
-    stars = listed.alias("t").where(F.expr("t.gid <> t.hub.gid AND " + _near("t", "t.hub", num, den))).select(F.col("t.hub.lead").alias("a"), F.col("t.gid").alias("q")).distinct()
-    within = classes.groupBy("gid").agg(F.min("cid").alias("a"), F.count("*").alias("k")).where("k > 1").select("a", F.col("gid").alias("q"))
-    stars = materialise(expanded(stars.union(within)))
+    # each group of a list against the first group, by its first class; each group's classes against the group's first
+    stars = listed.where("gid <> hub").select("hub", "gid", F.struct(*map(F.expr, sized("", "np"))).alias("t"), F.struct(*map(F.expr, sized("", "hub_np"))).alias("h")).where(_near("t", "h", num, den))
+    stars = stars.select(F.col("hub").alias("p"), F.col("gid").alias("q")).distinct()
+    crowded = slim.groupBy("gid").agg(F.count("*").alias("k")).where("k > 1")
+    stars = stars.union(crowded.select(F.col("gid").alias("p"), F.col("gid").alias("q")))
+    leads = slim.join(slim.groupBy("gid").agg(F.min("cid").alias("cid")), ["gid", "cid"], "left_semi")
+    a, b = leads.alias("a"), slim.alias("b")
+    stars = stars.alias("m").join(a, F.expr("m.p = a.gid")).join(b, F.expr("m.q = b.gid AND a.cid <> b.cid AND " + _alike(num, den)))
+    stars = materialise(stars.select(F.least("a.cid", "b.cid").alias("a"), F.greatest("a.cid", "b.cid").alias("b")).distinct())
     links = materialise(_verified(docs, classes, stars, shingle, num, den))
     joined = materialise(components(links, "a", "b"))
 
     # what is not connected yet: all group pairs of a list, but those that lie in one component as wholes
-    where = slim.join(joined.withColumnRenamed("id", "cid"), "cid", "left").select("cid", "gid", "n", "bits", F.coalesce("component", "cid").alias("comp"))
-    where = materialise(where)
+    where = materialise(slim.join(joined.withColumnRenamed("id", "cid"), "cid", "left").select("cid", "gid", "n", "bits", F.coalesce("component", "cid").alias("comp")))
     spans = where.groupBy("gid").agg(F.min("comp").alias("low"), F.max("comp").alias("high"))
-    spread = listed.select("key", "gid", "n", "place").join(spans, "gid")
-    mixed = spread.groupBy("key").agg(F.min("low").alias("l"), F.max("high").alias("h")).where("l <> h").select("key")
-    spread = materialise(spread.join(mixed, "key"))
+    spread = listed.select("key", "gid", *map(F.expr, sized("", "np"))).join(spans, "gid")
+    whole = Window.partitionBy("key")
+    spread = spread.withColumn("l", F.min("low").over(whole)).withColumn("h", F.max("high").over(whole)).where("l <> h").drop("l", "h")
+    spread = stored(spread)
     p, q = spread.alias("p"), spread.alias("q")
     met = p.join(q, F.expr("p.key = q.key AND p.gid < q.gid AND NOT (p.low = p.high AND q.low = q.high AND p.low = q.low) AND " + _near("p", "q", num, den))).select(F.col("p.gid").alias("p"), F.col("q.gid").alias("q")).distinct()
     met = met.union(spans.where("low <> high").select(F.col("gid").alias("p"), F.col("gid").alias("q")))
-    a, b = where.alias("a"), where.alias("b")
-    rest = met.alias("m").join(a, F.expr("m.p = a.gid")).join(b, F.expr("m.q = b.gid AND a.comp <> b.comp AND a.cid <> b.cid AND " + _alike(num, den)))
-    rest = rest.select(F.least("a.cid", "b.cid").alias("a"), F.greatest("a.cid", "b.cid").alias("b")).distinct().join(stars, ["a", "b"], "left_anti")
-    rest = materialise(rest)
+    rest = materialise(expanded(met, where, "a.comp <> b.comp").join(stars, ["a", "b"], "left_anti"))
     if not rest.isEmpty():
         links = links.union(_verified(docs, classes, rest, shingle, num, den))
         joined = materialise(components(links, "a", "b"))
