@@ -12,6 +12,7 @@ from __future__ import annotations
 import zlib
 from collections import deque
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -25,9 +26,9 @@ LENGTH = 4096
 END = 2
 INSIDE_DOCUMENT, INSIDE_SENTENCE = 4.0, 48.0
 #: Tokens planned at once; the rest of a plan, at most one sequence, goes over to the next.
-PLANNED = 1 << 19
-#: Words whose ids a task remembers.
-REMEMBERED = 1 << 18
+PLANNED = 1 << 18
+#: Units whose ids a worker remembers.
+REMEMBERED = 1 << 19
 _PIECES = "doc_id {}, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint"
 
 
@@ -78,43 +79,107 @@ def _tail(rest: int, length: int) -> list[int]:
 
 
 class Encoder:
-    """Ids of whole texts from a tokenizer that never joins what white space divides: words are encoded once."""
+    """Ids of whole texts from a tokenizer that cuts at white space, lower-cases, and cuts between a letter and a
+    following point or comma: each such unit is encoded once and remembered.
+
+    Units are joined by a special token, so that one call encodes many; its id marks where each of them ends."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         vocab = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.mark, self.mark_id = next((t.content, k) for k, t in self.tokenizer.get_added_tokens_decoder().items() if t.special)
         self.stop = np.zeros(max(vocab.values()) + 2, bool)
         for piece, k in vocab.items():
             self.stop[k] = piece.removesuffix("</w>").endswith((".", "!", "?"))
-        self.keys, self.at, self.ids = np.zeros(0, np.uint64), np.zeros(1, np.int64), np.zeros(0, np.uint32)
+        self.point = np.zeros(256, np.int64)
+        for c in ".,":
+            self.point[ord(c)] = self.tokenizer.encode(c, add_special_tokens=False).ids[0]
+        self._forget()
+
+    def _forget(self) -> None:
+        """Known units: sorted hashes, and where their ids lie in the pool; old units, and new ones apart."""
+        self.levels = [(np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)) for _ in range(2)]
+        self.pool = np.zeros(1 << 16, np.uint32)
+        self.used = 0
+
+    def _encode(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all units, joined, and the number of each."""
+        ids, sizes = [], []
+        for k in range(0, len(units), 2048):
+            part = units[k : k + 2048]
+            got = np.array(self.tokenizer.encode_batch_fast([self.mark.join(part)], add_special_tokens=False)[0].ids, np.uint32)
+            ends = np.append(np.flatnonzero(got == self.mark_id), len(got))
+            if len(ends) != len(part):  # a unit holds the special token itself
+                each = [self.tokenizer.encode(u, add_special_tokens=False).ids for u in part]
+                got, size = np.fromiter((i for x in each for i in x), np.uint32), np.array([len(x) for x in each])
+            else:
+                size = np.diff(np.concatenate([[-1], ends])) - 1
+                got = got[got != self.mark_id]
+            ids.append(got)
+            sizes.append(size)
+        return np.concatenate(ids), np.concatenate(sizes)
+
+    def _learn(self, keys: np.ndarray, units: list[str]) -> None:
+        ids, size = self._encode(units)
+        if self.used + len(ids) > len(self.pool):
+            self.pool = np.concatenate([self.pool, np.zeros(max(len(self.pool), len(ids)), np.uint32)])
+        self.pool[self.used : self.used + len(ids)] = ids
+        at = self.used + np.concatenate([[0], np.cumsum(size)[:-1]])
+        self.used += len(ids)
+        self._merge(1, (keys, at, size))
+        if len(self.levels[1][0]) > 4096 + len(self.levels[0][0]) // 4:
+            self._merge(0, self.levels[1])
+            self.levels[1] = tuple(x[:0] for x in self.levels[1])
+
+    def _merge(self, level: int, more: tuple) -> None:
+        joined = [np.concatenate(x) for x in zip(self.levels[level], more, strict=True)]
+        order = np.argsort(joined[0], kind="stable")
+        self.levels[level] = tuple(x[order] for x in joined)
 
     def __call__(self, col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all values, joined, and the offsets of each value."""
-        w = tx.words(col)
-        keys, where, inv = np.unique(w.hash, return_index=True, return_inverse=True)
-        new = tx.lookup(self.keys, np.ones(len(self.keys), bool), keys, False) == False  # noqa: E712
-        if len(self.keys) + new.sum() > REMEMBERED:
-            self.keys, self.at, self.ids, new = np.zeros(0, np.uint64), np.zeros(1, np.int64), np.zeros(0, np.uint32), np.ones(len(keys), bool)
+        special = b"<|" in tx.buffer_of(col)[0].tobytes()
+        w = tx.words(col, lower=not special)
+        last = w.data[np.maximum(w.end - 1, 0)] if len(w.end) else np.zeros(0, np.uint8)
+        before = w.data[np.maximum(w.end - 2, 0)] if len(w.end) else last
+        cut = ((last == 46) | (last == 44)) & (w.end - w.start > 1) & ((before | 32) >= 97) & ((before | 32) <= 122)
+        hashes = w.rehash(w.start, w.end - cut)
+        keys, where, inv = np.unique(hashes, return_index=True, return_inverse=True)
+        if sum(len(x[0]) for x in self.levels) > REMEMBERED:
+            self._forget()
+        at, size = self._find(keys)
+        new = size < 0
         if new.any():
-            got = [e.ids for e in self.tokenizer.encode_batch_fast([w.string(k) for k in where[new]], add_special_tokens=False)]
-            size = np.concatenate([np.diff(self.at), [len(x) for x in got]]).astype(np.int64)
-            ids = np.concatenate([self.ids, np.fromiter((i for x in got for i in x), np.uint32)])
-            joined = np.concatenate([self.keys, keys[new]])
-            order = np.argsort(joined)
-            self.ids, self.at = _ragged(ids, np.concatenate([[0], np.cumsum(size)]), order)
-            self.keys = joined[order]
-        slot = np.searchsorted(self.keys, keys)[inv]
-        ids, at = _ragged(self.ids, self.at, slot)
-        return ids, at[w.first]
-
-
-def _ragged(values: np.ndarray, at: np.ndarray, take: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The lists values[at[k]:at[k + 1]] for k in take, joined, and their offsets."""
-    size = np.diff(at)[take]
-    to = np.concatenate([[0], np.cumsum(size)])
-    return values[np.repeat(at[take] - to[:-1], size) + np.arange(to[-1])], to
+            stems = w.end - cut
+            self._learn(keys[new], [w.data[w.start[k] : stems[k]].tobytes().decode("utf-8", "replace") for k in where[new].tolist()])
+            at, size = self._find(keys)
+        at, size = at[inv], size[inv]
+        # the ids of each unit, and one more for a point or comma cut off
+        total = size + cut
+        to = np.concatenate([[0], np.cumsum(total)])
+        out = np.zeros(to[-1], np.uint32)
+        inside = np.repeat(np.arange(len(size)), size)
+        step = np.arange(len(inside)) - np.repeat(np.cumsum(size) - size, size)
+        out[to[:-1][inside] + step] = self.pool[at[inside] + step]
+        out[to[1:][cut] - 1] = self.point[last[cut]]
+        return out, to[w.first]
+
+    def _find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        at, size = np.full(len(keys), -1, np.int64), np.full(len(keys), -1, np.int64)
+        for known, start, length in self.levels:
+            if len(known):
+                k = np.minimum(np.searchsorted(known, keys), len(known) - 1)
+                hit = known[k] == keys
+                at[hit], size[hit] = start[k[hit]], length[k[hit]]
+        return at, size
+
+
+@lru_cache(maxsize=2)
+def encoder(path: str) -> Encoder:
+    """One encoder for each worker process."""
+    return Encoder(path)
 
 
 def pack(documents: DataFrame, tokenizer: str, length: int = LENGTH, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -123,11 +188,12 @@ def pack(documents: DataFrame, tokenizer: str, length: int = LENGTH, doc_id: str
     A document is its ids and the end id; null or empty text is the end id alone. Every id lies in one piece. Documents
     are packed in the order of their partition, partitions apart; sequence ids are unique, and offsets in a sequence
     run on without gaps. Null ids and repeated rows are documents like others; an empty table gives no rows. Texts are
-    used whole. ``tokenizer`` is the path of a tokenizers file whose pieces never cross ASCII white space."""
+    used whole. ``tokenizer`` is the path of a tokenizers file
+    with lower case and without pieces across ASCII white space, or a letter and a point or comma."""
     kind = documents.schema[doc_id].dataType.simpleString()
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = Encoder(tokenizer)
+        encode = encoder(tokenizer)
         number = TaskContext.get().partitionId() << 40
         held: list = []  # (doc_id column, ids, offsets) not laid out yet
         skip = 0  # tokens of the first held document that are laid out
@@ -166,7 +232,7 @@ def pack(documents: DataFrame, tokenizer: str, length: int = LENGTH, doc_id: str
             return pa.RecordBatch.from_arrays(cols, ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
 
         waiting = 0
-        for part in tx.slices(batches, "text"):
+        for part in tx.slices(batches, "text", 1 << 19):
             ids, at = encode(part.column(1))
             # the end id after each document
             ids = np.insert(ids, at[1:], END).astype(np.uint32)

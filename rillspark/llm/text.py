@@ -59,6 +59,11 @@ class Words:
     start: np.ndarray
     end: np.ndarray
     hash: np.ndarray
+    sums: np.ndarray
+
+    def rehash(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Hashes of other byte ranges."""
+        return mix((self.sums[end] - self.sums[start]) * _powers[1][start] + (end - start).astype(np.uint64))
 
     @property
     def first(self) -> np.ndarray:
@@ -104,7 +109,7 @@ def words(col: pa.Array, lower: bool = False) -> Words:
     sums = np.zeros(n + 1, np.uint64)
     np.cumsum(_BYTE_CODES[data] * up[:n], out=sums[1:])
     h = mix((sums[end] - sums[start]) * down[start] + (end - start).astype(np.uint64))
-    return Words(data, bounds, np.searchsorted(bounds, start, side="right") - 1, start, end, h)
+    return Words(data, bounds, np.searchsorted(bounds, start, side="right") - 1, start, end, h, sums)
 
 
 def slices(batches: Iterable[pa.RecordBatch], column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
