@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import distributions as dist
+from ..functions.moments import correlation
 
 
 def pseudo_observations(df: DataFrame, columns: list[str], group: str) -> DataFrame:
@@ -25,7 +26,7 @@ def pseudo_observations(df: DataFrame, columns: list[str], group: str) -> DataFr
 def spearman(df: DataFrame, x: str, y: str, group: str, least: int = 8) -> DataFrame:
     """(group, n, rho) by average ranks; groups of fewer than least pairs have none."""
     u = pseudo_observations(df.where(F.col(x).isNotNull() & F.col(y).isNotNull()), [x, y], group)
-    return u.groupBy(group).agg(F.count("*").alias("n"), F.when(F.count("*") >= least, F.corr(f"u_{x}", f"u_{y}")).alias("rho"))
+    return u.groupBy(group).agg(F.count("*").alias("n"), F.when(F.count("*") >= least, correlation(f"u_{x}", f"u_{y}")).alias("rho"))
 
 
 def kendall(df: DataFrame, x: str, y: str, group: str) -> DataFrame:

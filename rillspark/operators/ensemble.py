@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.moments import correlation
+
 PERIODS = (5, 10, 25, 50, 100, 200, 500, 1000)
 
 
@@ -26,7 +28,7 @@ def inundation_frequency(df: DataFrame) -> DataFrame:
 def area_regression(df: DataFrame, predictor: str, response: str) -> DataFrame:
     """(slope, intercept, r2, pearson) of two columns."""
     x, y = F.col(predictor).cast("double"), F.col(response).cast("double")
-    return df.agg(F.regr_slope(y, x).alias("slope"), F.regr_intercept(y, x).alias("intercept"), F.regr_r2(y, x).alias("r2"), F.corr(x, y).alias("pearson"))
+    return df.agg(F.regr_slope(y, x).alias("slope"), F.regr_intercept(y, x).alias("intercept"), F.regr_r2(y, x).alias("r2"), correlation(x, y).alias("pearson"))
 
 
 def mad_outliers(df: DataFrame, metrics: list[str], key: str = "sim", limit: float = 3.0) -> DataFrame:

@@ -4,21 +4,30 @@ Every operator handles all series at once; a series is ordered by ts, and pos co
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-ORDER = Window.partitionBy("series_id").orderBy("ts")
-BEFORE, AFTER = ORDER.rowsBetween(Window.unboundedPreceding, 0), ORDER.rowsBetween(0, Window.unboundedFollowing)
+
+def _order() -> WindowSpec:
+    return Window.partitionBy("series_id").orderBy("ts")
+
+
+def _before() -> WindowSpec:
+    return _order().rowsBetween(Window.unboundedPreceding, 0)
+
+
+def _after() -> WindowSpec:
+    return _order().rowsBetween(0, Window.unboundedFollowing)
 
 
 def with_pos(df: DataFrame) -> DataFrame:
-    return df.withColumn("pos", F.row_number().over(ORDER) - 1)
+    return df.withColumn("pos", F.row_number().over(_order()) - 1)
 
 
 def _islands(hits: DataFrame, gap: int) -> DataFrame:
     """Numbers the runs of hits whose positions lie at most gap apart."""
-    new = F.when(F.col("pos") - F.lag("pos").over(ORDER) <= gap, 0).otherwise(1)
-    return hits.withColumn("_new", new).withColumn("island", F.sum("_new").over(BEFORE)).drop("_new")
+    new = F.when(F.col("pos") - F.lag("pos").over(_order()) <= gap, 0).otherwise(1)
+    return hits.withColumn("_new", new).withColumn("island", F.sum("_new").over(_before())).drop("_new")
 
 
 def wet_spells(df: DataFrame, threshold: float, min_gap: int = 1, min_duration: int = 1) -> DataFrame:
@@ -26,7 +35,7 @@ def wet_spells(df: DataFrame, threshold: float, min_gap: int = 1, min_duration:
     total, duration, mean_intensity); total takes the bridged steps in, mean_intensity the wet ones only."""
     s = with_pos(df)
     # values of bridged steps are reached by cumulative sums, so no range join is needed
-    s = s.withColumn("cum", F.sum("value").over(BEFORE))
+    s = s.withColumn("cum", F.sum("value").over(_before()))
     wet = _islands(s.where(F.col("value") > threshold), min_gap + 1)
     out = wet.groupBy("series_id", "island").agg(
         F.min("ts").alias("date_start"),
@@ -47,7 +56,7 @@ def dry_spells(df: DataFrame, threshold: float) -> DataFrame:
 
 def _marked(df: DataFrame, threshold: float) -> DataFrame:
     """Rising and falling crossings and local extremes, each by position."""
-    s = with_pos(df).withColumn("nxt", F.lead("value").over(ORDER)).withColumn("prv", F.lag("value").over(ORDER))
+    s = with_pos(df).withColumn("nxt", F.lead("value").over(_order())).withColumn("prv", F.lag("value").over(_order()))
     s = s.withColumn("n", F.count("*").over(Window.partitionBy("series_id")))
     th = F.lit(threshold)
     s = s.withColumn("rise", (F.col("nxt") > F.col("value")) & (F.col("value") <= th) & (F.col("nxt") > th))
@@ -67,8 +76,8 @@ def discharge_events(df: DataFrame, threshold: float, peak_threshold: float | No
     """Each rising crossing with the first falling one after it, widened to the nearest local minima; events whose peak
     reaches peak_threshold. (series_id, date_start, date_end, peak, mean, duration, volume, date_peak)."""
     m = _marked(df, threshold)
-    pos, future = F.col("pos"), ORDER.rowsBetween(1, Window.unboundedFollowing)
-    m = m.withColumn("end_ref", F.min(F.when(F.col("fall"), pos)).over(future)).withColumn("start_low", F.max(F.when(F.col("low"), pos)).over(BEFORE)).withColumn("end_low", F.min(F.when(F.col("low"), pos)).over(AFTER))
+    pos, future = F.col("pos"), _order().rowsBetween(1, Window.unboundedFollowing)
+    m = m.withColumn("end_ref", F.min(F.when(F.col("fall"), pos)).over(future)).withColumn("start_low", F.max(F.when(F.col("low"), pos)).over(_before())).withColumn("end_low", F.min(F.when(F.col("low"), pos)).over(_after()))
     ends = m.where("fall").select("series_id", F.col("pos").alias("end_ref"), F.coalesce("end_low", F.least(F.col("n") - 1, pos + 1)).alias("end_pos"))
     starts = m.where("rise AND end_ref IS NOT NULL").select("series_id", "end_ref", pos.alias("ref"), F.coalesce("start_low", F.greatest(F.lit(0), pos - 1)).alias("start_pos"))
     bounds = starts.join(ends, ["series_id", "end_ref"]).select("series_id", "ref", F.col("start_pos").cast("long"), F.col("end_pos").cast("long"))
@@ -81,8 +90,8 @@ def discharge_events(df: DataFrame, threshold: float, peak_threshold: float | No
 def flood_events(df: DataFrame, threshold: float, peak_threshold: float | None = None) -> DataFrame:
     """Runs at or above threshold, from the last local minimum before to the last local maximum within the run's end
     plus one step; integer positions. (series_id, start_pos, end_pos, peak)."""
-    m = _marked(df, threshold).withColumn("start_low", F.max(F.when(F.col("low"), F.col("pos"))).over(BEFORE))
-    m = m.withColumn("last_high", F.max(F.when(F.col("high"), F.col("pos"))).over(ORDER.rowsBetween(Window.unboundedPreceding, 1)))
+    m = _marked(df, threshold).withColumn("start_low", F.max(F.when(F.col("low"), F.col("pos"))).over(_before()))
+    m = m.withColumn("last_high", F.max(F.when(F.col("high"), F.col("pos"))).over(_order().rowsBetween(Window.unboundedPreceding, 1)))
     runs = _islands(m.where(F.col("value") >= threshold), 1).groupBy("series_id", "island").agg(F.min("pos").alias("a"), F.max("pos").alias("b"), F.min_by("start_low", "pos").alias("low"), F.max_by("last_high", "pos").alias("high"), F.max("value").alias("peak"))
     out = runs.select("series_id", F.coalesce("low", "a").cast("long").alias("start_pos"), F.coalesce("high", "b").cast("long").alias("end_pos"), "peak")
     return out.where((F.col("peak") >= (threshold if peak_threshold is None else peak_threshold)) & (F.col("end_pos") >= F.col("start_pos")))
@@ -102,7 +111,7 @@ def pot_rain_events(df: DataFrame, threshold: float, min_sep: int = 1) -> DataFr
 def nday_events(df: DataFrame, n_days: int, threshold: float | None = None, min_sep: int | None = None) -> DataFrame:
     """Largest trailing n_days sums above threshold (by default each series' 90th percentile of positive sums), one for
     each cluster. (series_id, date_start, date_end, total, peak, duration)."""
-    trail = ORDER.rowsBetween(1 - n_days, 0)
+    trail = _order().rowsBetween(1 - n_days, 0)
     s = with_pos(df).withColumn("r", F.when(F.col("pos") >= n_days - 1, F.round(F.sum("value").over(trail), 6)))
     s = s.withColumn("top", F.max("value").over(trail)).withColumn("date_start", F.min("ts").over(trail))
     limit = s.where("r > 0").groupBy("series_id").agg(F.percentile("r", 0.9).alias("limit")) if threshold is None else s.select("series_id").distinct().withColumn("limit", F.lit(threshold))
@@ -123,7 +132,7 @@ def concurrent_events(events: DataFrame, df: DataFrame, buffer_days: int = 1) ->
 def pot_peaks(df: DataFrame, threshold: float, min_gap: int) -> DataFrame:
     """Declustered local maxima at or above threshold: in order, a peak is new if min_gap steps lie between it and the
     last one kept, else it replaces that one if larger. (series_id, pos, value)."""
-    s = with_pos(df).withColumn("p", F.lag("value").over(ORDER)).withColumn("q", F.lead("value").over(ORDER))
+    s = with_pos(df).withColumn("p", F.lag("value").over(_order())).withColumn("q", F.lead("value").over(_order()))
     c = s.where((F.col("value") >= threshold) & (F.col("value") >= F.col("p")) & (F.col("value") >= F.col("q"))).groupBy("series_id").agg(F.array_sort(F.collect_list(F.struct(F.col("pos").cast("long").alias("pos"), "value"))).alias("c"))
     step = f"""aggregate(c, CAST(array() AS ARRAY<STRUCT<pos: BIGINT, value: DOUBLE>>), (k, x) ->
         CASE WHEN size(k) = 0 OR x.pos - element_at(k, -1).pos >= {min_gap} THEN array_append(k, x)
@@ -133,10 +142,10 @@ def pot_peaks(df: DataFrame, threshold: float, min_gap: int) -> DataFrame:
 
 def rolling_sum(df: DataFrame, n: int) -> DataFrame:
     """Trailing sums of n steps, null for the first n - 1."""
-    s = with_pos(df).withColumn("r", F.sum("value").over(ORDER.rowsBetween(1 - n, 0)))
+    s = with_pos(df).withColumn("r", F.sum("value").over(_order().rowsBetween(1 - n, 0)))
     return s.select("series_id", "ts", F.when(F.col("pos") >= n - 1, F.col("r")).alias("rolling"))
 
 
 def rolling_max(df: DataFrame, window: int) -> DataFrame:
     """Centred maxima over an odd window, shorter at the ends."""
-    return df.select("series_id", "ts", F.max("value").over(ORDER.rowsBetween(-(window // 2), window // 2)).alias("rolling"))
+    return df.select("series_id", "ts", F.max("value").over(_order().rowsBetween(-(window // 2), window // 2)).alias("rolling"))

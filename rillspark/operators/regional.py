@@ -51,3 +51,35 @@ def weighted_dispersion(df: DataFrame) -> DataFrame:
     m = ex.lmoments(df, "station")
     mean = m.agg((F.sum(F.col("n") * F.col("t")) / F.sum("n")).alias("mean"))
     return m.join(F.broadcast(mean)).agg(F.sqrt(F.sum(F.col("n") * F.pow(F.col("t") - F.col("mean"), 2)) / F.sum("n")).alias("v"))
+
+
+def heterogeneity(df: DataFrame, n_sim: int = 500, seed: int = 0) -> DataFrame:
+    """(h1, v, mean, sd): the dispersion of L-CV against that of simulated homogeneous regions of the same record
+    lengths, drawn from the regional GEV. Simulations are rows with their own seeds."""
+    from collections.abc import Iterator
+
+    import numpy as np
+    import pandas as pd
+
+    n = index_flood(df).withColumn("region", F.lit("all"))
+    fit = ex.gev_from_lmoments(ex.lmoments(n, "region", "normalised")).select("mu", "sigma", "xi").first()
+    sizes = [r.n for r in df.groupBy("station").agg(F.count("*").alias("n")).orderBy("station").collect()]  # one number for each station
+
+    def simulate(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out = []
+            for k in b["id"]:
+                g = np.random.Generator(np.random.PCG64([seed, int(k)]))
+                t = []
+                for m in sizes:
+                    y = -np.log(g.uniform(size=m))
+                    x = np.sort(fit.mu - fit.sigma * np.log(y) if abs(fit.xi) < 1e-6 else fit.mu + fit.sigma / fit.xi * (y**-fit.xi - 1))
+                    b1 = (np.arange(m) * x).sum() / (m * (m - 1))
+                    t.append((2 * b1 - x.mean()) / x.mean())
+                w = np.array(sizes) / sum(sizes)
+                t = np.array(t)
+                out.append(((w * (t - (w * t).sum()) ** 2).sum()) ** 0.5)
+            yield pd.DataFrame({"v": out})
+
+    sims = df.sparkSession.range(n_sim).mapInPandas(simulate, "v double").agg(F.avg("v").alias("mean"), F.stddev_samp("v").alias("sd"))
+    return weighted_dispersion(df).join(F.broadcast(sims)).select(((F.col("v") - F.col("mean")) / F.col("sd")).alias("h1"), "v", "mean", "sd")

@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.moments import correlation
+
 
 def skill(df: DataFrame, group: str = "series_id") -> DataFrame:
     """(group, n, nse, kge, pbias) over pairs without a null; a score whose denominator vanishes is null. One pass of
     sums, so any number of groups of any size shares one aggregation."""
     d = df.where("obs IS NOT NULL AND sim IS NOT NULL")
-    s = d.groupBy(group).agg(F.count("*").alias("n"), F.var_pop("obs").alias("vo"), F.avg("obs").alias("mo"), F.avg("sim").alias("ms"), F.stddev_pop("obs").alias("so"), F.stddev_pop("sim").alias("ss"), F.corr("obs", "sim").alias("r"), F.avg(F.pow(F.col("obs") - F.col("sim"), 2)).alias("mse"), F.sum("obs").alias("to"), F.sum(F.col("sim") - F.col("obs")).alias("te"))
+    s = d.groupBy(group).agg(F.count("*").alias("n"), F.var_pop("obs").alias("vo"), F.avg("obs").alias("mo"), F.avg("sim").alias("ms"), F.stddev_pop("obs").alias("so"), F.stddev_pop("sim").alias("ss"), correlation("obs", "sim").alias("r"), F.avg(F.pow(F.col("obs") - F.col("sim"), 2)).alias("mse"), F.sum("obs").alias("to"), F.sum(F.col("sim") - F.col("obs")).alias("te"))
     kge = F.expr("IF(so = 0 OR mo = 0, NULL, 1 - sqrt(pow(r - 1, 2) + pow(try_divide(ss, so) - 1, 2) + pow(try_divide(ms, mo) - 1, 2)))")
     return s.select(group, "n", F.expr("1 - try_divide(mse, vo)").alias("nse"), kge.alias("kge"), F.expr("100 * try_divide(te, to)").alias("pbias"))
 
@@ -61,7 +63,7 @@ def autocorrelation(df: DataFrame, lags: list[int]) -> DataFrame:
     """(series_id, lag, r): correlation of each series with itself some steps before."""
     w = Window.partitionBy("series_id").orderBy("ts")
     d = df.select("series_id", "value", *(F.lag("value", k).over(w).alias(f"l{k}") for k in lags))
-    wide = d.groupBy("series_id").agg(*(F.corr("value", f"l{k}").alias(f"l{k}") for k in lags))
+    wide = d.groupBy("series_id").agg(*(correlation("value", f"l{k}").alias(f"l{k}") for k in lags))
     return wide.select("series_id", F.explode(F.array(*(F.struct(F.lit(k).alias("lag"), F.col(f"l{k}").alias("r")) for k in lags))).alias("x")).select("series_id", "x.lag", "x.r")
 
 

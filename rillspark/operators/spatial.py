@@ -18,8 +18,8 @@ def against_all(left: DataFrame, right: DataFrame, small: int = SMALL) -> DataFr
     blocks = -(-right.count() // small) or 1
     if blocks == 1:
         return left.join(F.broadcast(right.hint("broadcast")))
-    r = right.withColumn("_block", F.pmod(F.xxhash64(*right.columns), F.lit(blocks)))
-    return left.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).cast("long")).join(r, "_block").drop("_block")
+    r = right.withColumn("_block", F.pmod(F.xxhash64(*right.columns), F.lit(blocks).cast("long")))
+    return left.withColumn("_block", F.explode(F.expr(f"sequence(0L, {blocks - 1}L)"))).join(r, "_block").drop("_block")
 
 
 def _d2() -> Column:

@@ -6,11 +6,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import distributions as dist
-from ..operators import bias, copulas, ensemble, events, extremes, hydrology, regional, skill, spatial
+from ..operators import bias, copulas, design, ensemble, events, extremes, fields, hydrology, regional, skill, spatial
 from ..sources import parsers
 from ..sources import tables as t
 
@@ -631,3 +632,93 @@ for _family, _theta in (("gaussian", 0.6), ("gumbel", 2.0), ("clayton", 2.0), ("
     @query(f"copula_samples_{_family}")
     def _(s, d, f=_family, th=_theta):
         return copulas.sample(s, f, th, 5000)
+
+
+@query("sdm_precip")
+def _(s, d):
+    return rounded(bias.scaled_distribution_mapping(*_roles(s, d), variable="precipitation"), 4)
+
+
+@query("sdm_temperature")
+def _(s, d):
+    return rounded(bias.scaled_distribution_mapping(*_roles(s, d), variable="temperature"), 4)
+
+
+@query("marginal_bic")
+def _(s, d):
+    return rounded(extremes.best_marginal(annual(s, d)), 3)
+
+
+@query("fisher_samples")
+def _(s, d):
+    return rounded(extremes.gev_fisher(annual(s, d), 100), 3)
+
+
+@query("gev_posterior_levels")
+def _(s, d):
+    return rounded(extremes.posterior_levels(extremes.gev_mcmc(annual(s, d), 400, 200), 50.0), 3)
+
+
+@query("heterogeneity_h1")
+def _(s, d):
+    return rounded(regional.heterogeneity(t.yearly_by_nation(s, d), 200), 4)
+
+
+def _design(s, d):
+    return t.read(s, d, "embeddings").select(F.col("vec_id").alias("row_id"), F.expr("transform(slice(embedding, 1, 3), x -> CAST(x AS DOUBLE))").alias("features"))
+
+
+@query("design_standardized", "WITH f AS (SELECT vec_id AS row_id, embedding[1]::DOUBLE AS a, embedding[2]::DOUBLE AS b, embedding[3]::DOUBLE AS c FROM embeddings) SELECT row_id, round((a - avg(a) OVER ()) / stddev_pop(a) OVER (), 6) AS a, round((b - avg(b) OVER ()) / stddev_pop(b) OVER (), 6) AS b, round((c - avg(c) OVER ()) / stddev_pop(c) OVER (), 6) AS c FROM f")
+def _(s, d):
+    z = design.standardize(_design(s, d))
+    return rounded(z.select("row_id", *(F.col("features")[k].alias(n) for k, n in enumerate("abc"))), 6)
+
+
+@query("maxdiss_order")
+def _(s, d):
+    chosen = design.maxdiss(_design(s, d), 8)
+    return s.createDataFrame(list(enumerate(chosen)), "place int, row_id long")
+
+
+@query("design_weights")
+def _(s, d):
+    x = _design(s, d)
+    return design.design_weights(x, design.maxdiss(x, 8))
+
+
+@query("propagate")
+def _(s, d):
+    p = design.propagate(_design(s, d), lambda x: np.sin(x[:, 0]) + x[:, 1] ** 2, 80)
+    return s.createDataFrame([(p.strategy, round(p.r2, 4), p.runs, round(p.quantile, 4))], "strategy string, r2 double, runs int, quantile double")
+
+
+@query("kriging_grid")
+def _(s, d):
+    return rounded(fields.kriging(t.cells(s), t.stations(s, d)), 4)
+
+
+@query("gp_grid")
+def _(s, d):
+    return rounded(fields.gaussian_process(t.cells(s), t.stations(s, d)), 4)
+
+
+@query("nsrp_simulation")
+def _(s, d):
+    return rounded(fields.nsrp(s, 60, 0.3, 5, 3.0, 2.0, 1.5), 6)
+
+
+def _segments(s, d):
+    x = t.daily(s, d)
+    e = events.flood_events(x, FLOOD, PEAK).withColumn("event_id", F.concat_ws("-", "series_id", "start_pos"))
+    return events._segments(events.with_pos(x).withColumn("pos", F.col("pos").cast("long")), e.select("series_id", "event_id", "start_pos", "end_pos")).select("event_id", "pos", "value")
+
+
+@query("shape_classes")
+def _(s, d):
+    return fields.shape_classes(_segments(s, d), 4)
+
+
+@query("regimes")
+def _(s, d):
+    a = ensemble.spatial_stats(t.raster(s, d)).select("cell", "mean")
+    return rounded(fields.regimes(a, "mean"), 5)

@@ -138,3 +138,73 @@ def test_parsers(spark):
     assert [(r.a, r.b) for r in names.select(a.alias("a"), b.alias("b")).collect()] == [(2015, 2100), (1980, 2000), (None, None)]
     assert value(spark, parsers.plain_name(F.lit("Río Añés (2)"))) == "rio_anes_2"
     assert value(spark, parsers.trace_amount(F.lit("ip"))) == 0.1
+
+
+def test_special_functions():
+    from rillspark.functions import special
+
+    x = np.array([0.1, 1.0, 3.0, 10.0])
+    assert np.allclose(special.gamma_cdf(x, 1.0), 1 - np.exp(-x))
+    assert np.allclose(special.gamma_cdf(x, 2.0), 1 - np.exp(-x) * (1 + x))
+    for a in (0.4, 2.0, 15.0):
+        assert np.allclose(special.gamma_cdf(special.gamma_ppf(np.array([0.05, 0.5, 0.99]), a), a), [0.05, 0.5, 0.99])
+    k, s = special.gamma_mle(np.random.default_rng(0).gamma(3.0, 2.0, 20000))
+    assert k == pytest.approx(3, abs=0.15) and s == pytest.approx(2, abs=0.12)
+
+
+def test_scaled_distribution_mapping(spark):
+    g = np.random.default_rng(7)
+    frame = lambda v: spark.createDataFrame([("a", datetime(2000, 1, 1) + timedelta(days=i), float(x)) for i, x in enumerate(v)], SERIES)
+    obs, hist = g.normal(10, 2, 600), g.normal(12, 3, 600)
+    future = g.normal(15, 3, 600)
+    got = np.array([r.corrected for r in bias.correct(frame(obs), frame(hist), frame(future), "sdm").orderBy("ts").collect()])
+    assert len(got) == 600 and got.mean() == pytest.approx(10 + 3 * 2 / 3, abs=0.5) and np.corrcoef(got, future)[0, 1] > 0.98
+    wet = [g.exponential(m, 500) * (g.uniform(size=500) < 0.6) for m in (3, 3, 5)]
+    rain = np.array([r.corrected for r in bias.correct(*map(frame, wet), "sdm", "precipitation").orderBy("ts").collect()])
+    assert (rain >= 0).all() and rain[rain > 0].mean() == pytest.approx(5, rel=0.25)
+    with pytest.raises(ValueError):
+        bias.correct(*map(frame, wet), "none")
+    with pytest.raises(NotImplementedError):
+        bias.correct(*map(frame, wet), "sdm", "wind")
+
+
+def test_design(spark):
+    from rillspark.operators import design
+
+    g = np.random.default_rng(20260803)
+    x = np.exp(0.5 * g.standard_normal((300, 3)))
+    d = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "row_id long, features array<double>")
+    order = design.maxdiss(d, 6)
+    want = [int(np.argmax((x**2).sum(1)))]
+    while len(want) < 6:
+        want.append(int(np.argmax(np.min(((x[:, None] - x[want]) ** 2).sum(-1), axis=1))))
+    assert order == want and design.maxdiss(d, 3) == order[:3]
+    w = {r.row_id: r.weight for r in design.design_weights(d, order).collect()}
+    assert sum(w.values()) == 300 and set(w) == set(order)
+    smooth = design.propagate(d, lambda v: v[:, 0] + 0.5 * v[:, 1], 80)
+    noise = design.propagate(d, lambda v: np.random.default_rng(1).standard_normal(len(v)), 80)
+    assert smooth.strategy == "emulate" and noise.strategy == "monte_carlo" and smooth.runs <= 80 >= noise.runs
+    z = np.array([r.features for r in design.standardize(d).orderBy("row_id").collect()])
+    truth = z[:, 0] + 0.5 * z[:, 1]
+    assert smooth.quantile == pytest.approx(np.quantile(truth, 0.9), rel=0.15)
+    trace = design.sequential_design(z[:60], truth[:60])
+    assert trace[0][2] == "initial" and {s for _, _, s in trace} <= {"initial", "improving", "converged", "deteriorating"}
+
+
+def test_kernels_over_space_and_time(spark):
+    from rillspark.operators import fields
+
+    st = [(i, float(x), float(y), float(x + 2 * y)) for i, (x, y) in enumerate((a * 10, b * 10) for a in range(6) for b in range(6))]
+    stations = spark.createDataFrame(st, "station long, x double, y double, value double")
+    cells = spark.createDataFrame([(0, 25.0, 25.0), (1, 20.0, 30.0)], "cell long, x double, y double")
+    k = {r.cell: r for r in fields.kriging(cells, stations).collect()}
+    assert k[0].value == pytest.approx(75, abs=4) and k[1].value == pytest.approx(80, abs=1e-3)
+    gp = {r.cell: r for r in fields.gaussian_process(cells, stations, noise=1e-4).collect()}
+    assert gp[0].mean == pytest.approx(75, abs=3) and gp[1].std < gp[0].std + 1e-6
+    a, b = fields.nsrp(spark, 30, 0.5, 4, 2, 2, 1.0), fields.nsrp(spark, 30, 0.5, 4, 2, 2, 1.0)
+    rain = {r.hour: r.value for r in a.collect()}
+    assert len(rain) == 720 and min(rain.values()) == 0 and max(rain.values()) > 0
+    assert all(rain[r.hour] == pytest.approx(r.value) for r in b.repartition(3).collect())
+    seg = spark.createDataFrame([("a", i, v) for i, v in enumerate([0.0, 2.0, 4.0])] + [("b", 0, 0.0)], "event_id string, pos int, value double")
+    got = {r.event_id: r.features for r in fields.resampled(seg, 5).collect()}
+    assert got == {"a": [0, 0.25, 0.5, 0.75, 1.0], "b": [0.0] * 5}
