@@ -31,7 +31,7 @@ from .jaccard import _bitmap, _inside
 #: Words with an id; a bigram key is two ids of 16 bits.
 VOCABULARY = (1 << 16) - 3
 #: Bigrams whose terms are broadcast.
-HEAD = 1 << 20
+HEAD = 1 << 21
 #: Words that one task reports for the vocabulary, at most.
 REPORTED = 1 << 17
 #: Smallest word hashes from which the number of distinct words is estimated.
@@ -99,9 +99,11 @@ def _summed(parts: list) -> tuple[np.ndarray, np.ndarray]:
     return keys, np.bincount(inv, weights=np.concatenate([p[1] for p in parts]), minlength=len(keys)).astype(np.int64)
 
 
-def fit(trusted: DataFrame) -> tuple[Model, DataFrame]:
-    """The model of the texts of trusted, and the table (key, term) of all its bigrams."""
-    top, others = _vocabulary(trusted)
+def fit(trusted: DataFrame, likely: DataFrame) -> tuple[Model, DataFrame]:
+    """The model of the texts of trusted, and the table (key, term) of its bigrams outside the head.
+
+    The vocabulary is listed from likely, a table that holds trusted and costs no shuffle."""
+    top, others = _vocabulary(likely)
     order = np.argsort(top)
     keys, ids = top[order], (np.arange(len(top)) + FIRST)[order].astype(np.int64)
     size = FIRST + len(top)
@@ -146,21 +148,30 @@ def fit(trusted: DataFrame) -> tuple[Model, DataFrame]:
     start = (np.maximum(types - drop, 0.0) + drop * max((types > 0).sum(), 1) / size) / everything
     total[~seen] = 1.0
 
+    charge = np.log(start)
+    charge[UNK] -= np.log(others)  # of the words besides, it is one
+
     def term(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             k, n = np.asarray(batch.column(0)), np.asarray(batch.column(1))
             v, w = k >> 16, k & 65535
             gain = np.log1p(np.maximum(n - d[np.minimum(n, 3)], 0.0) / (total[v] * mass[v] * start[w]))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(gain)], ["key", "n", "term"])
-
-    terms = counted.mapInArrow(term, "key bigint, n bigint, term double")
-    head = terms.orderBy(F.desc("n"), "key").select("key", "term").limit(HEAD).toArrow()
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(gain.astype(np.float32))], ["key", "n", "term"])
+
+    terms = counted.mapInArrow(term, "key bigint, n bigint, term float")
+    # the head is every bigram from some count on, as many as fit
+    steps = counted.groupBy(F.least("n", F.lit(1 << 12)).alias("n")).agg(F.count("*").alias("k")).orderBy(F.desc("n")).collect()
+    room, least = HEAD, 1 << 60
+    for r in steps:
+        room -= r["k"]
+        if room < 0:
+            break
+        least = r["n"]
+    head = terms.where(F.col("n") >= least).select("key", "term").toArrow()  # HEAD rows at most
+    rest = terms.where(F.col("n") < least).select("key", "term")
     by = np.argsort(head["key"].to_numpy())
-    known = _known(counted)
-    charge = np.log(start)
-    charge[UNK] -= np.log(others)  # of the words besides, it is one
-    model = Model(keys, ids, charge, np.log(mass), head["key"].to_numpy()[by], head["term"].to_numpy()[by].astype(np.float32), known)
-    return model, terms.select("key", F.col("term").cast("float").alias("term"))
+    model = Model(keys, ids, charge, np.log(mass), head["key"].to_numpy()[by].astype(np.uint32), head["term"].to_numpy()[by], _known(counted.where(F.col("n") < least)))
+    return model, rest
 
 
 def _slot(key: np.ndarray) -> np.ndarray:
@@ -199,7 +210,7 @@ def score(documents: DataFrame, model: Model, terms: DataFrame) -> DataFrame:
             ids, at = _ids(part.column(2), model.keys, model.ids)
             rows = np.repeat(np.arange(len(at) - 1), np.diff(at))
             key = _bigrams(ids, at)
-            term = tx.lookup(model.head_keys, model.head_terms, key, np.float32(np.nan))
+            term = tx.lookup(model.head_keys, model.head_terms, key.astype(np.uint32), np.float32(np.nan))
             rest = np.isnan(term)
             sure = model.start[ids] + model.context[key >> 16] + np.where(rest, 0.0, term)
             base = np.bincount(rows, weights=sure, minlength=len(at) - 1)
@@ -247,7 +258,8 @@ def classify(documents: DataFrame, labels: DataFrame, quantile: float = 0.99, sl
 
     kind = documents.schema[doc_id].dataType.simpleString()
     likely = docs.where("doc_id IS NOT NULL").select(F.xxhash64("doc_id").alias("h"), "doc_id", "text").mapInArrow(maybe, f"h bigint, doc_id {kind}, text string")
-    model, terms = fit(stored(likely.select("doc_id", "text").join(fitted, "doc_id", "left_semi").select("text")))
+    likely = likely.select("doc_id", "text")
+    model, terms = fit(likely.join(fitted, "doc_id", "left_semi").select("text"), likely)
     scored = materialise(score(docs, model, terms)).withColumn("nats", F.when(F.col("n_tokens") > 0, -F.col("log_prob") / (F.col("n_tokens") + 1)))
     sample = scored.where("n_tokens > 0").join(trusted_ids.where(held), "doc_id", "left_semi").select("lang", "nats")
     limits = sample.groupBy("lang").agg(F.count("*").alias("k"), F.percentile_approx("nats", quantile, 10000).alias("limit")).where(F.col("k") >= LEAST_CALIBRATION).collect()  # one row for each language
