@@ -79,3 +79,62 @@ def trace_amount(c: Column) -> Column:
 def align(obs: DataFrame, sim: DataFrame) -> DataFrame:
     """(ts, obs, sim) on common times of two (ts, value) tables, nulls dropped."""
     return obs.where("value IS NOT NULL").select("ts", F.col("value").alias("obs")).join(sim.where("value IS NOT NULL").select("ts", F.col("value").alias("sim")), "ts")
+
+
+def rdb_rows(lines: DataFrame, columns: list[str], text: str = "value") -> DataFrame:
+    """Rows of a tab-separated station listing: comments, the header and the row of formats are skipped; drainage areas
+    in square miles get a column in square kilometres."""
+    parts = F.split(F.col(text), "\t")
+    d = lines.where(~F.col(text).startswith("#") & (F.col(text) != "")).where((parts[0] != columns[0]) & ~parts[0].rlike(r"^\d+s$"))
+    out = d.select(*(F.trim(F.get(parts, F.lit(k))).alias(c) for k, c in enumerate(columns)))
+    for c in columns:
+        if c.endswith("_va"):
+            out = out.withColumn(c, F.col(c).try_cast("double"))
+    if "drain_area_va" in columns:
+        out = out.withColumn("drain_area_km2", F.col("drain_area_va") * 2.58999)
+    return out
+
+
+def unique_names(header: str) -> list[str]:
+    """Names of a white-space header; a name that occurs again gets a number."""
+    seen: dict[str, int] = {}
+    out = []
+    for n in header.split():
+        k = seen.get(n, 0)
+        seen[n] = k + 1
+        out.append(f"{n}_{k}" if k else n)
+    return out
+
+
+def channel_rows(lines: DataFrame, header: str, freq: str = "day", text: str = "value") -> DataFrame:
+    """Rows of a channel output table below its header and unit lines; date from year and day of year (``day``), at the
+    month's end (``month``) or the year's end (``year``)."""
+    names = unique_names(header)
+    parts = F.split(F.trim(F.col(text)), r"\s+")
+    d = lines.where(parts[0].rlike(r"^\d+$")).select(*(F.get(parts, F.lit(k)).alias(n) for k, n in enumerate(names)))
+    d = d.select(*(F.col(n) if n == "name" else F.col(n).try_cast("int").alias(n) if n in ("jday", "mon", "day", "yr", "unit") else F.col(n).try_cast("double").alias(n) for n in names))
+    date = {"day": F.expr("date_add(make_date(yr, 1, 1), jday - 1)"), "month": F.expr("last_day(make_date(yr, mon, 1))"), "year": F.expr("make_date(yr, 12, 31)")}
+    if freq not in date:
+        raise ValueError(f"freq must be one of {sorted(date)}")
+    return d.withColumn("date", date[freq])
+
+
+def station_rows(table: DataFrame, time: str = "time") -> DataFrame:
+    """(series_id, ts, value) of a wide table with a column for each station; of repeated times the first value by order
+    of appearance is not known to a table, so the smallest is kept."""
+    names = [c for c in table.columns if c != time]
+    long = table.unpivot([time], names, "series_id", "value").where("value IS NOT NULL")
+    return long.groupBy("series_id", F.col(time).cast("timestamp_ntz").alias("ts")).agg(F.min("value").alias("value"))
+
+
+def synop_daily(rows: DataFrame) -> DataFrame:
+    """One row for each day of (ts, prec text, wind text, vel, tmax, tmin): precipitation is summed, null if it has none;
+    the others are averaged, wind directions as degrees."""
+    d = rows.select(F.to_date("ts").alias("date"), trace_amount(F.col("prec")).alias("prec"), rose_degrees(F.col("wind")).alias("wind_dir"), "vel", "tmax", "tmin")
+    return d.groupBy("date").agg(F.sum("prec").alias("prec"), F.avg("wind_dir").alias("wind_dir"), F.avg("vel").alias("vel"), F.avg("tmax").alias("tmax"), F.avg("tmin").alias("tmin"))
+
+
+def block_lines(series: DataFrame, per_line: int = 10, form: str = "%8.2f") -> DataFrame:
+    """(series_id, line, text): fixed-width blocks of values in order of pos, per_line to a line."""
+    d = series.withColumn("line", F.expr(f"pos div {per_line}"))
+    return d.groupBy("series_id", "line").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "value"))), lambda x: F.format_string(form, x["value"])), "").alias("text"))

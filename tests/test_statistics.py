@@ -208,3 +208,24 @@ def test_kernels_over_space_and_time(spark):
     seg = spark.createDataFrame([("a", i, v) for i, v in enumerate([0.0, 2.0, 4.0])] + [("b", 0, 0.0)], "event_id string, pos int, value double")
     got = {r.event_id: r.features for r in fields.resampled(seg, 5).collect()}
     assert got == {"a": [0, 0.25, 0.5, 0.75, 1.0], "b": [0.0] * 5}
+
+
+def test_station_tables(spark):
+    lines = spark.createDataFrame([("# note",), ("site_no\tstation_nm\tdrain_area_va",), ("5s\t15s\t30s",), ("01\tRiver at A\t100",)], "value string")
+    r = parsers.rdb_rows(lines, ["site_no", "station_nm", "drain_area_va"]).collect()
+    assert len(r) == 1 and r[0].station_nm == "River at A" and r[0].drain_area_km2 == pytest.approx(258.999)
+    header = "jday mon day yr unit name flo_stor null flo_out null"
+    assert parsers.unique_names(header)[-1] == "null_1"
+    rows = spark.createDataFrame([("title",), (header,), ("  32 2 1 2001 4 cha4 1.0 0 2.5 0",)], "value string")
+    assert parsers.channel_rows(rows, header).first().date == date(2001, 2, 1)
+    assert parsers.channel_rows(rows, header, "month").first().date == date(2001, 2, 28)
+    with pytest.raises(ValueError):
+        parsers.channel_rows(rows, header, "week")
+    syn = spark.createDataFrame([(datetime(2020, 1, 1, 6), "ip", "N", 2.0, 5.0, 1.0), (datetime(2020, 1, 1, 18), "1,4", "E", 4.0, 7.0, None)], "ts timestamp_ntz, prec string, wind string, vel double, tmax double, tmin double")
+    d = parsers.synop_daily(syn).first()
+    assert (d.prec, d.wind_dir, d.vel, d.tmin) == (1.5, 45.0, 3.0, 1.0)
+    wide = spark.createDataFrame([(datetime(2020, 1, 1), 1.0, None), (datetime(2020, 1, 2), 2.0, 3.0), (datetime(2020, 1, 2), 9.0, 3.0)], "time timestamp_ntz, a double, b double")
+    assert {(r.series_id, r.ts.day, r.value) for r in parsers.station_rows(wide).collect()} == {("a", 1, 1.0), ("a", 2, 2.0), ("b", 2, 3.0)}
+    s = spark.createDataFrame([("a", k, k + 0.5) for k in range(12)], "series_id string, pos int, value double")
+    t = {r.line: r.text for r in parsers.block_lines(s).collect()}
+    assert len(t[0]) == 80 and t[1] == "   10.50   11.50"
