@@ -252,13 +252,16 @@ def link_classes(documents: DataFrame, shingle: int = 3, num: int = 90, den: int
 
     # what is not connected yet: all group pairs of a list, but those that lie in one component as wholes
     where = materialise(slim.join(joined.withColumnRenamed("id", "cid"), "cid", "left").select("cid", "gid", "n", "bits", F.coalesce("component", "cid").alias("comp")))
-    spans = where.groupBy("gid").agg(F.min("comp").alias("low"), F.max("comp").alias("high"))
+    brief = F.array(*(F.expr(f"aggregate(sequence(0, size(bits) div 4 - 1), 0L, (a, i) -> a ^ bits[4 * i + {k}])") for k in range(4)))
+    spans = where.groupBy("gid").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("k"), F.first(brief).alias("f"))
+    spans = spans.withColumn("f", F.expr("IF(k = 1, f, NULL)")).drop("k")  # the bitmap of a group of one class, folded to 256 bits
     spread = listed.select("key", "gid", *map(F.expr, sized("", "np"))).join(spans, "gid")
     whole = Window.partitionBy("key")
     spread = spread.withColumn("l", F.min("low").over(whole)).withColumn("h", F.max("high").over(whole)).where("l <> h").drop("l", "h")
     spread = stored(spread)
     p, q = spread.alias("p"), spread.alias("q")
-    met = p.join(q, F.expr("p.key = q.key AND p.gid < q.gid AND NOT (p.low = p.high AND q.low = q.high AND p.low = q.low) AND " + _near("p", "q", num, den))).select(F.col("p.gid").alias("p"), F.col("q.gid").alias("q")).distinct()
+    apart = " + ".join(f"bit_count(p.f[{k}] ^ q.f[{k}])" for k in range(4))
+    met = p.join(q, F.expr("p.key = q.key AND p.gid < q.gid AND NOT (p.low = p.high AND q.low = q.high AND p.low = q.low) AND " + _near("p", "q", num, den) + f" AND (p.f IS NULL OR q.f IS NULL OR {apart} <= p.n + q.n - 2 * {_need('p.n', 'q.n', num, den)})")).select(F.col("p.gid").alias("p"), F.col("q.gid").alias("q")).distinct()
     met = met.union(spans.where("low <> high").select(F.col("gid").alias("p"), F.col("gid").alias("q")))
     rest = materialise(expanded(met, where, "a.comp <> b.comp").join(stars, ["a", "b"], "left_anti"))
     if not rest.isEmpty():
