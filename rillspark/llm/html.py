@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from . import text as tx
 
-PATH, WORDS, HIDDEN = 96, 24, 24
+PATH, WORDS, HIDDEN = 256, 16, 24
 _RATIOS = 8
 SIZE = PATH + WORDS + _RATIOS
 #: Pages labelled at once.
@@ -142,7 +142,7 @@ def vectors(page: list[Block]) -> np.ndarray:
         words = b.text.lower().split()
         for word in words[:64]:  # the vector only; the text is kept whole
             k, s = _spot(word, WORDS)
-            row[PATH + k] += s / min(len(words), 64) ** 0.5 * 0.3
+            row[PATH + k] += s / min(len(words), 64) ** 0.5 * 0.2
         t = b.text
         row[PATH + WORDS :] = (np.log1p(len(t)) / 4, b.linked, t[-1] in ".!?\"'…", np.log1p(len(words)) / 3, sum(c.isdigit() for c in t[:400]) / min(len(t), 400), i / len(page), np.log1p(i) / 3, 1.0)
     return x
@@ -230,7 +230,7 @@ class Labeller:
                 self._back("f", x, ta, dy[..., :HIDDEN], grad)
                 self._back("b", x[::-1], tb, dy[::-1, :, HIDDEN : 2 * HIDDEN], grad)
                 step += 1
-                rate = 0.01 if r < rounds * 2 / 3 else 0.003
+                rate = 0.01 if r < rounds / 2 else 0.004 if r < rounds * 3 / 4 else 0.001
                 for k, v in self.w.items():
                     m1[k] = 0.9 * m1[k] + 0.1 * grad[k]
                     m2[k] = 0.99 * m2[k] + 0.01 * grad[k] ** 2
@@ -266,9 +266,9 @@ def sample_page(g: np.random.Generator) -> tuple[str, list[str]]:
     def word() -> str:
         return "".join(pick("an be co da en fi go ha in ju ka le mi no or pa que re sa ti un ve wi er tion ing sch lle ado") for _ in range(g.integers(1, 4)))
 
-    def text(low: int, high: int, stop: bool = True) -> str:
+    def text(low: int, high: int, stop: bool = True, odd: float = 0.04) -> str:
         w = [word() for _ in range(g.integers(low, high))]
-        if g.random() < 0.06:  # shouting, repetition and stray symbols occur in main text as well
+        if g.random() < odd:  # shouting, repetition and stray symbols occur in main text as well
             mark = pick("*** ### $$$ %%% !!")
             w = [x + mark for x in w] if g.random() < 0.6 else [w[0]] * len(w) if g.random() < 0.5 else [x.upper() + "!!" for x in w]
         t = " ".join(x + ("." if stop and g.random() < 0.1 else "," if g.random() < 0.05 else "") for x in w)
@@ -303,23 +303,23 @@ def sample_page(g: np.random.Generator) -> tuple[str, list[str]]:
         return f"{named(pick('section div ol div'), 'comments comment commentlist comment-list discussion replies reply responses disqus reader-comments')}<h3>{text(1, 3, False)}</h3>{rows}</{pick('section div')}>"
 
     def paragraph() -> tuple[str, list[str]]:
-        t, r = text(*((1, 6) if g.random() < 0.2 else (3, 90))), g.random()
+        t, r = text(*((1, 6) if g.random() < 0.25 else (3, 90)), odd=0.18), g.random()
         if r < 0.55:
             return f"<p>{t}</p>", [t]
         if r < 0.7:
             return f"<p><b>{t}<br>", [t]
-        if r < 0.8:
+        if r < 0.77:
             w = t.split(" ")
             k = int(g.integers(0, len(w)))
             w[k] = f"<a href='#'>{w[k]}</a>"
             return f"<p>{' '.join(w)}</p>", [t]
-        if r < 0.88:
-            items = [text(2, 25) for _ in range(g.integers(1, 5))]
+        if r < 0.9:
+            items = [text(1, 25, odd=0.18) for _ in range(g.integers(1, 5))]
             tag, shut = pick("ul ul ol"), pick("</li> x").strip("x")
             if g.random() < 0.2:
                 return "<table>" + "".join(f"<tr><td>{x}</td></tr>" for x in items) + "</table>", items
             return f"<{tag}>" + "".join(f"<li>{x}{shut}" for x in items) + f"</{tag}>", items
-        if r < 0.94:
+        if r < 0.95:
             return f"<h2>{t}</h2>", [t]
         tag = pick("blockquote div pre")
         return f"<{tag}>{t}</{tag}>", [t]
@@ -329,7 +329,7 @@ def sample_page(g: np.random.Generator) -> tuple[str, list[str]]:
         t = text(2, 14, bool(g.random() < 0.3))
         inner.append(f"<h1>{t}</h1>")
         own.append(t)
-    for _ in range(int(g.integers(1, 9))):
+    for _ in range(1 + min(30, int(g.exponential(6)))):
         part, kept = paragraph()
         inner.append(part)
         own.extend(kept)
@@ -350,7 +350,7 @@ def sample_page(g: np.random.Generator) -> tuple[str, list[str]]:
 
 
 @lru_cache(maxsize=4)
-def trained(pages: int = 1200, rounds: int = 6, seed: int = 3) -> Labeller:
+def trained(pages: int = 1000, rounds: int = 8, seed: int = 3) -> Labeller:
     """A labeller of made-up pages; the same one for the same arguments."""
     g = np.random.Generator(np.random.PCG64(seed))
     xs, ys = [], []
