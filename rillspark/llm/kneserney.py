@@ -69,15 +69,18 @@ class Model:
         self.head_keys, self.head_terms, self.known = head_keys, head_terms, known
 
 
-def _vocabulary(trusted: DataFrame) -> tuple[np.ndarray, int]:
-    """Hashes of the most frequent words, the most frequent first, and about how many words there are besides."""
+def _vocabulary(listed: DataFrame, bitmap: np.ndarray | None) -> tuple[np.ndarray, int]:
+    """Hashes of the most frequent words, the most frequent first, and about how many words there are besides; of those
+    rows of (h, text) whose h is in the bitmap, if there is one."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, n = np.zeros(0, np.uint64), np.zeros(0, np.int64)
         held = []
+        if bitmap is not None:
+            batches = (b.filter(pa.array(_inside(bitmap, np.asarray(b.column(0))))) for b in batches)
         for part in tx.slices(batches, "text"):
-            held.append(np.unique(tx.words(part.column(0)).hash, return_counts=True))
-            if len(held) >= 32:
+            held.append(np.unique(tx.words(part.column(1)).hash, return_counts=True))
+            if len(held) >= 8:
                 keys, n = _summed([(keys, n), *held])
                 held = []
         keys, n = _summed([(keys, n), *held])
@@ -86,7 +89,7 @@ def _vocabulary(trusted: DataFrame) -> tuple[np.ndarray, int]:
             keys, n = keys[top], n[top]
         yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(n)], ["w", "n"])
 
-    words = materialise(trusted.select("text").mapInArrow(count, "w bigint, n bigint").groupBy("w").agg(F.sum("n").alias("n")))
+    words = materialise(listed.mapInArrow(count, "w bigint, n bigint").groupBy("w").agg(F.sum("n").alias("n")))
     top = words.orderBy(F.desc("n"), "w").select("w").limit(VOCABULARY).toArrow()["w"].to_numpy().view(np.uint64)
     low = words.select(F.expr("w ^ (-9223372036854775807 - 1)").alias("o")).orderBy("o").limit(SMALLEST).toArrow()["o"].to_numpy()
     # the k-th smallest of n hashes lies at about k / n of their range
@@ -99,11 +102,11 @@ def _summed(parts: list) -> tuple[np.ndarray, np.ndarray]:
     return keys, np.bincount(inv, weights=np.concatenate([p[1] for p in parts]), minlength=len(keys)).astype(np.int64)
 
 
-def fit(trusted: DataFrame, likely: DataFrame) -> tuple[Model, DataFrame]:
+def fit(trusted: DataFrame, listed: DataFrame, bitmap: np.ndarray | None = None) -> tuple[Model, DataFrame]:
     """The model of the texts of trusted, and the table (key, term) of its bigrams outside the head.
 
-    The vocabulary is listed from likely, a table that holds trusted and costs no shuffle."""
-    top, others = _vocabulary(likely)
+    The vocabulary comes from listed, (h, text), which holds trusted and costs no shuffle; bitmap picks its rows."""
+    top, others = _vocabulary(listed, bitmap)
     order = np.argsort(top)
     keys, ids = top[order], (np.arange(len(top)) + FIRST)[order].astype(np.int64)
     size = FIRST + len(top)
@@ -116,10 +119,10 @@ def fit(trusted: DataFrame, likely: DataFrame) -> tuple[Model, DataFrame]:
 
         for part in tx.slices(batches, "text"):
             held.append(np.unique(_bigrams(*_ids(part.column(0), keys, ids)), return_counts=True))
-            if len(held) >= 16:
+            if len(held) >= 8:
                 k, n = _summed([(k, n), *held])
                 held = []
-                if len(k) > 1 << 21:
+                if len(k) > 1 << 20:
                     yield out()
                     k, n = k[:0], n[:0]
         k, n = _summed([(k, n), *held])
@@ -179,20 +182,20 @@ def _slot(key: np.ndarray) -> np.ndarray:
 
 
 def _known(counted: DataFrame) -> np.ndarray:
-    """A bitmap of 2**KNOWN_BITS bits of the bigrams in counted, packed in bytes."""
+    """A bitmap of 2**KNOWN_BITS bits of the bigrams in counted."""
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.zeros(1 << KNOWN_BITS, bool)
         for batch in batches:
-            bits[_slot(np.asarray(batch.column(0)))] = True
-        packed = np.packbits(bits).view(np.int64)
-        at = np.flatnonzero(packed)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(packed[at])], ["at", "bits"])
+            slot = np.sort(_slot(np.asarray(batch.column(0))))
+            if len(slot):
+                first = np.flatnonzero(np.concatenate([[True], np.diff(slot >> 6) > 0]))
+                bits = np.bitwise_or.reduceat(np.left_shift(np.uint64(1), (slot & 63).astype(np.uint64)), first)
+                yield pa.RecordBatch.from_arrays([pa.array(slot[first] >> 6), pa.array(bits.view(np.int64))], ["at", "bits"])
 
     got = counted.select("key").mapInArrow(partial, "at bigint, bits bigint").groupBy("at").agg(F.expr("bit_or(bits)").alias("bits")).toArrow()
     out = np.zeros(1 << (KNOWN_BITS - 6), np.int64)
     out[got["at"].to_numpy()] = got["bits"].to_numpy()
-    return out.view(np.uint8)
+    return out.view(np.uint64)
 
 
 def row_name() -> Column:
@@ -215,7 +218,7 @@ def score(documents: DataFrame, model: Model, terms: DataFrame) -> DataFrame:
             sure = model.start[ids] + model.context[key >> 16] + np.where(rest, 0.0, term)
             base = np.bincount(rows, weights=sure, minlength=len(at) - 1)
             slot = _slot(key)
-            rest &= (model.known[slot >> 3] >> (7 - (slot & 7)).astype(np.uint8) & 1).astype(bool)
+            rest &= (model.known[slot >> 6] >> (slot & 63).astype(np.uint64) & np.uint64(1)).astype(bool)
             own = np.asarray(part.column(1))
             n, k = part.num_rows, int(rest.sum())
             yield pa.RecordBatch.from_arrays(
@@ -257,9 +260,9 @@ def classify(documents: DataFrame, labels: DataFrame, quantile: float = 0.99, sl
             yield b.filter(pa.array(_inside(bitmap, np.asarray(b.column(0)))))
 
     kind = documents.schema[doc_id].dataType.simpleString()
-    likely = docs.where("doc_id IS NOT NULL").select(F.xxhash64("doc_id").alias("h"), "doc_id", "text").mapInArrow(maybe, f"h bigint, doc_id {kind}, text string")
-    likely = likely.select("doc_id", "text")
-    model, terms = fit(likely.join(fitted, "doc_id", "left_semi").select("text"), likely)
+    hashed = docs.where("doc_id IS NOT NULL").select(F.xxhash64("doc_id").alias("h"), "doc_id", "text")
+    likely = hashed.mapInArrow(maybe, f"h bigint, doc_id {kind}, text string").select("doc_id", "text")
+    model, terms = fit(likely.join(fitted, "doc_id", "left_semi").select("text"), hashed.select("h", "text"), bitmap)
     scored = materialise(score(docs, model, terms)).withColumn("nats", F.when(F.col("n_tokens") > 0, -F.col("log_prob") / (F.col("n_tokens") + 1)))
     sample = scored.where("n_tokens > 0").join(trusted_ids.where(held), "doc_id", "left_semi").select("lang", "nats")
     limits = sample.groupBy("lang").agg(F.count("*").alias("k"), F.percentile_approx("nats", quantile, 10000).alias("limit")).where(F.col("k") >= LEAST_CALIBRATION).collect()  # one row for each language

@@ -102,7 +102,7 @@ def test_kneserney_terms_add_up(spark):
     """The sum over n-grams equals the interpolated probability, word by word."""
     texts = ["a b a b c", "b c a b", "c c a"] * 3 + ["d e f g a b"]
     d = spark.createDataFrame([(t,) for t in texts], "text string")
-    model, terms = kneserney.fit(d, d)
+    model, terms = kneserney.fit(d, d.select(F.lit(0).cast("long").alias("h"), "text"))
     rest = {r.key: r.term for r in terms.collect()}
     head = dict(zip(model.head_keys.tolist(), model.head_terms.tolist()))
     big, ctx = Counter(), defaultdict(Counter)
