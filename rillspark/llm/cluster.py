@@ -29,6 +29,11 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of frames that are gone; it does so when the driver collects garbage."""
+    spark.sparkContext._jvm.System.gc()
+
+
 def fold(column: str | Column) -> Column:
     """crc32 of an id written as text, modulo 3; rows with 1 are held out of every training."""
     c = F.col(column) if isinstance(column, str) else column

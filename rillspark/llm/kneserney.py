@@ -1,7 +1,7 @@
 """Quality classifier: perplexity of every document under a modified Kneser-Ney word bigram model of trusted text.
 
-The model is fitted on all trusted documents but a calibration fold. Its vocabulary is bounded (the most frequent
-words); every other word is <unk>, charged as one of the unlisted words seen. The interpolated probability
+The model is fitted on all trusted documents but a calibration fold. Its vocabulary is every word of these; any other
+word is <unk>, one more word that was never seen. The interpolated probability
 
     P(w | v) = max(c(vw) - D, 0) / c(v) + g(v) P1(w)
 
@@ -9,10 +9,13 @@ splits into terms that each need one n-gram only:
 
     ln P(w | v) = ln P1(w) + ln g(v) + [vw was seen] ln(1 + max(c(vw) - D, 0) / (c(v) g(v) P1(w)))
 
-so a document's log-probability is a sum over its words and its seen bigrams. Word terms fit a bounded table and are
-broadcast. Bigram terms are sharded by key and joined: the most frequent ones, a bounded number, are broadcast, which
-takes the hot keys out of the shuffle, and the others meet the documents' bigrams in a hash-partitioned join. A bitmap
-of fixed size keeps bigrams that the model does not know out of that join.
+so a document's log-probability is a sum over its words and its seen bigrams. Terms are sharded by key and joined: those
+of the most frequent words and bigrams, a bounded number, are broadcast, which takes the hot keys out of the shuffle,
+and the others meet the documents' words and bigrams in a hash-partitioned join. A bitmap of fixed size keeps most of
+what the model does not know out of that join.
+
+A word's code is a small id for the most frequent words, else 62 bits of its hash. Which words have an id changes speed
+only: counts, contexts and terms of all words are complete.
 """
 
 from __future__ import annotations
@@ -25,17 +28,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import text as tx
-from .cluster import materialise, stored
+from .cluster import materialise, release, stored
 from .jaccard import _bitmap, _inside
 
-#: Words with an id; a bigram key is two ids of 16 bits.
-VOCABULARY = (1 << 16) - 3
+#: Codes below this are ids, whose word terms are broadcast.
+IDS = 1 << 18
+#: Words with an id, at most.
+VOCABULARY = IDS - 3
+#: A bigram of codes below this is keyed by both, any other by a hash.
+NARROW = 1 << 16
 #: Bigrams whose terms are broadcast.
 HEAD = 1 << 21
-#: Words that one task reports for the vocabulary, at most.
+#: Words that one task reports as candidates for an id, at most.
 REPORTED = 1 << 17
-#: Smallest word hashes from which the number of distinct words is estimated.
-SMALLEST = 1 << 12
 UNK, STOP, START = 0, 1, 2
 FIRST = 3
 #: Documents a language needs for a threshold of its own; with fewer it takes that of all.
@@ -44,24 +49,33 @@ LEAST_CALIBRATION = 100
 KNOWN_BITS = 26
 
 
-def _ids(col: pa.Array, keys: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Word ids of all values, each value followed by STOP, and the offsets of each value."""
+def _codes(col: pa.Array, keys: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Codes of the words of all values, each value followed by STOP, and the offsets of each value."""
     w = tx.words(col)
     first = w.first
     got = tx.lookup(keys, ids, w.hash, UNK)
+    got = np.where(got == UNK, (w.hash >> np.uint64(2) | np.uint64(1 << 62)).view(np.int64), got)
     return np.insert(got, first[1:], STOP), first + np.arange(len(first))
 
 
-def _bigrams(ids: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """The key of each word and the one before it; START comes before a value's first."""
-    before = np.empty_like(ids)
-    before[1:] = ids[:-1]
+def _before(codes: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The code before each word; START comes before a value's first."""
+    before = np.empty_like(codes)
+    before[1:] = codes[:-1]
     before[at[:-1]] = START
-    return before << 16 | ids
+    return before
+
+
+def _key(v: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """Keys of bigrams: below 2**32 of two narrow codes, else from there to 2**62; codes that are no ids lie above."""
+    key = v << 16 | w
+    far = np.flatnonzero((v | w) >= NARROW)
+    key[far] = (tx.chain(v[far].view(np.uint64), w[far].view(np.uint64)) >> np.uint64(2) | np.uint64(1 << 32)).view(np.int64)
+    return key
 
 
 class Model:
-    """The bounded part of the model: word terms, bigrams of the head, and a bitmap of all known bigrams."""
+    """The bounded part of the model: terms of words with an id, bigrams of the head, and a bitmap of all other keys."""
 
     def __init__(self, keys, ids, start, context, head_keys, head_terms, known):
         self.keys, self.ids = keys, ids  # word hash (sorted) -> id
@@ -69,9 +83,9 @@ class Model:
         self.head_keys, self.head_terms, self.known = head_keys, head_terms, known
 
 
-def _vocabulary(listed: DataFrame, bitmap: np.ndarray | None) -> tuple[np.ndarray, int]:
-    """Hashes of the most frequent words, the most frequent first, and about how many words there are besides; of those
-    rows of (h, text) whose h is in the bitmap, if there is one."""
+def _vocabulary(listed: DataFrame, bitmap: np.ndarray | None) -> np.ndarray:
+    """Hashes of about the most frequent words, the most frequent first, of those rows of (h, text) whose h is in the
+    bitmap, if there is one."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, n = np.zeros(0, np.uint64), np.zeros(0, np.int64)
@@ -84,17 +98,13 @@ def _vocabulary(listed: DataFrame, bitmap: np.ndarray | None) -> tuple[np.ndarra
                 keys, n = _summed([(keys, n), *held])
                 held = []
         keys, n = _summed([(keys, n), *held])
-        if len(keys) > REPORTED:  # keys rise, so the first are the smallest hashes
-            top = np.union1d(np.argpartition(n, -REPORTED)[-REPORTED:], np.arange(SMALLEST))
+        if len(keys) > REPORTED:
+            top = np.argpartition(n, -REPORTED)[-REPORTED:]
             keys, n = keys[top], n[top]
         yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(n)], ["w", "n"])
 
-    words = materialise(listed.mapInArrow(count, "w bigint, n bigint").groupBy("w").agg(F.sum("n").alias("n")))
-    top = words.orderBy(F.desc("n"), "w").select("w").limit(VOCABULARY).toArrow()["w"].to_numpy().view(np.uint64)
-    low = words.select(F.expr("w ^ (-9223372036854775807 - 1)").alias("o")).orderBy("o").limit(SMALLEST).toArrow()["o"].to_numpy()
-    # the k-th smallest of n hashes lies at about k / n of their range
-    seen = len(low) if len(low) < SMALLEST else (SMALLEST - 1) / ((float(low[-1]) + 2.0**63) / 2.0**64)
-    return top, max(1, int(seen) - len(top))
+    words = listed.mapInArrow(count, "w bigint, n bigint").groupBy("w").agg(F.sum("n").alias("n"))
+    return words.orderBy(F.desc("n"), "w").select("w").limit(VOCABULARY).toArrow()["w"].to_numpy().view(np.uint64)
 
 
 def _summed(parts: list) -> tuple[np.ndarray, np.ndarray]:
@@ -103,77 +113,105 @@ def _summed(parts: list) -> tuple[np.ndarray, np.ndarray]:
 
 
 def fit(trusted: DataFrame, listed: DataFrame, bitmap: np.ndarray | None = None) -> tuple[Model, DataFrame]:
-    """The model of the texts of trusted, and the table (key, term) of its bigrams outside the head.
+    """The model of the texts of trusted, and the table (key, term) of its bigrams outside the head and of its words
+    without an id; the term of such a word w is ln P1(w) + ln g(w) - ln P1(<unk>).
 
-    The vocabulary comes from listed, (h, text), which holds trusted and costs no shuffle; bitmap picks its rows."""
-    top, others = _vocabulary(listed, bitmap)
+    Words with an id come from listed, (h, text), which holds trusted and costs no shuffle; bitmap picks its rows."""
+    top = _vocabulary(listed, bitmap)
     order = np.argsort(top)
     keys, ids = top[order], (np.arange(len(top)) + FIRST)[order].astype(np.int64)
     size = FIRST + len(top)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        k, n, held = np.zeros(0, np.int64), np.zeros(0, np.int64), []
+        none = np.zeros(0, np.int64)
+        k, v, w, n, held = none, none, none, none, []
 
-        def out() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(k), pa.array(n)], ["key", "n"])
+        def summed() -> tuple:
+            k, v, w, n = map(np.concatenate, zip(*held, strict=True))
+            k, at, inv = np.unique(k, return_index=True, return_inverse=True)
+            return k, v[at], w[at], np.bincount(inv, weights=n, minlength=len(k)).astype(np.int64)
 
         for part in tx.slices(batches, "text"):
-            held.append(np.unique(_bigrams(*_ids(part.column(0), keys, ids)), return_counts=True))
+            codes, at = _codes(part.column(0), keys, ids)
+            before = _before(codes, at)
+            u, one, times = np.unique(_key(before, codes), return_index=True, return_counts=True)
+            held.append((u, before[one], codes[one], times))
             if len(held) >= 8:
-                k, n = _summed([(k, n), *held])
+                held.append((k, v, w, n))
+                k, v, w, n = summed()
                 held = []
                 if len(k) > 1 << 20:
-                    yield out()
-                    k, n = k[:0], n[:0]
-        k, n = _summed([(k, n), *held])
-        yield out()
+                    yield pa.RecordBatch.from_arrays([pa.array(v), pa.array(w), pa.array(n)], ["v", "w", "n"])
+                    k, v, w, n = none, none, none, none
+        held.append((k, v, w, n))
+        _, v, w, n = summed()
+        yield pa.RecordBatch.from_arrays([pa.array(v), pa.array(w), pa.array(n)], ["v", "w", "n"])
 
-    counted = stored(trusted.select("text").mapInArrow(count, "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n")))
+    counted = stored(trusted.select("text").mapInArrow(count, "v bigint, w bigint, n bigint").groupBy("v", "w").agg(F.sum("n").alias("n")))
+    release(trusted.sparkSession)
 
-    # every sum below has at most one row for each word of the vocabulary
-    many = counted.groupBy(F.least("n", F.lit(5)).alias("n")).agg(F.count("*").alias("k")).collect()
-    n1, n2, n3, n4 = ({r["n"]: r["k"] for r in many}.get(k, 0) for k in (1, 2, 3, 4))
+    many = {r["n"]: r["k"] for r in counted.groupBy(F.least("n", F.lit(5)).alias("n")).agg(F.count("*").alias("k")).collect()}
+    n1, n2, n3, n4 = (many.get(k, 0) for k in (1, 2, 3, 4))
     y = n1 / (n1 + 2 * n2) if n1 and n2 else 0.5
     steps = [1 - 2 * y * n2 / n1 if n1 and n2 else 0.5, 2 - 3 * y * n3 / n2 if n2 and n3 else 1.0, 3 - 4 * y * n4 / n3 if n3 and n4 else 1.5]
     d = np.array([0.0, *(min(max(x, 0.05), k - 0.05) for k, x in enumerate(steps, 1))])
-    ctx = counted.groupBy(F.shiftright("key", 16).alias("v")).agg(F.sum("n").alias("c"), *(F.count(F.when(F.least("n", F.lit(3)) == k, 1)).alias(f"n{k}") for k in (1, 2, 3))).toArrow()
-    total, mass = np.zeros(size), np.zeros(size)
-    total[ctx["v"].to_numpy()] = ctx["c"].to_numpy()
-    mass[ctx["v"].to_numpy()] = sum(d[k] * ctx[f"n{k}"].to_numpy() for k in (1, 2, 3))
-    seen = total > 0
-    mass[seen] /= total[seen]
-    mass[~seen] = 1.0
-    low = counted.groupBy(F.expr("key & 65535").alias("w")).agg(F.count("*").alias("k")).toArrow()
-    types = np.zeros(size)
-    types[low["w"].to_numpy()] = low["k"].to_numpy()
-    drop = 0.75
-    everything = max(types.sum(), 1.0)
-    start = (np.maximum(types - drop, 0.0) + drop * max((types > 0).sum(), 1) / size) / everything
-    total[~seen] = 1.0
 
+    # of each word as context: c(v), and c(v) g(v); of each word: the contexts it has
+    discount = F.element_at(F.array(*map(F.lit, d[1:].tolist())), F.least("n", F.lit(3)).cast("int"))
+    contexts = counted.groupBy("v").agg(F.sum("n").alias("c"), F.sum(discount).alias("bulk"))
+    followers = counted.groupBy("w").agg(F.count("*").alias("types"))
+    total, bulk, types = np.ones(size), np.ones(size), np.zeros(size)
+    ctx = contexts.where(F.col("v") < IDS).toArrow()  # a row for each id, like the next
+    total[ctx["v"].to_numpy()], bulk[ctx["v"].to_numpy()] = ctx["c"].to_numpy(), ctx["bulk"].to_numpy()
+    low = followers.where(F.col("w") < IDS).toArrow()
+    types[low["w"].to_numpy()] = low["types"].to_numpy()
+    # a word without an id comes before a word or STOP, and after a word or START, so it has both rows
+    words = stored(contexts.where(F.col("v") >= IDS).join(followers.where(F.col("w") >= IDS), F.col("v") == F.col("w")).select(F.col("v").alias("code"), "c", "bulk", "types"))
+    drop = 0.75
+    everything = max(sum(many.values()), 1)
+    known = int((types > 0).sum()) + words.count()  # STOP and the words seen
+    share = drop * max(known, 1) / (FIRST + max(known - 1, 0))
+    start = (np.maximum(types - drop, 0.0) + share) / everything
     charge = np.log(start)
-    charge[UNK] -= np.log(others)  # of the words besides, it is one
+    unseen = float(charge[UNK])
 
     def term(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            k, n = np.asarray(batch.column(0)), np.asarray(batch.column(1))
-            v, w = k >> 16, k & 65535
-            gain = np.log1p(np.maximum(n - d[np.minimum(n, 3)], 0.0) / (total[v] * mass[v] * start[w]))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(gain.astype(np.float32))], ["key", "n", "term"])
-
-    terms = counted.mapInArrow(term, "key bigint, n bigint, term float")
-    # the head is every bigram from some count on, as many as fit
-    steps = counted.groupBy(F.least("n", F.lit(1 << 12)).alias("n")).agg(F.count("*").alias("k")).orderBy(F.desc("n")).collect()
+            v, w, n, far, first = (np.asarray(c) for c in batch.columns)
+            of_v = np.where(v < IDS, bulk[np.where(v < IDS, v, 0)], far)
+            of_w = np.where(w < IDS, start[np.where(w < IDS, w, 0)], first)
+            gain = np.log1p(np.maximum(n - d[np.minimum(n, 3)], 0.0) / (of_v * of_w))
+            yield pa.RecordBatch.from_arrays([pa.array(_key(v, w)), pa.array(n), pa.array(gain.astype(np.float32))], ["key", "n", "term"])
+
+    def terms(bigrams: DataFrame) -> DataFrame:
+        return bigrams.select("v", "w", "n", "far", "first").mapInArrow(term, "key bigint, n bigint, term float")
+
+    none = F.lit(0.0)
+    near = counted.where(F.greatest("v", "w") < IDS).withColumns({"far": none, "first": none})
+    # ids lie below all other codes, so the greater of two is the one without an id
+    firsts = (F.col("types") - drop + share) / everything
+    own = counted.where((F.greatest("v", "w") >= IDS) & (F.least("v", "w") < IDS)).join(words, F.greatest("v", "w") == F.col("code"))
+    own = own.select("v", "w", "n", F.col("bulk").alias("far"), firsts.alias("first"))
+    both = counted.where(F.least("v", "w") >= IDS).join(words, F.col("v") == F.col("code")).select("v", "w", "n", F.col("bulk").alias("far"))
+    both = both.join(words, F.col("w") == F.col("code")).select("v", "w", "n", "far", firsts.alias("first"))
+    single = words.select(F.col("code").alias("key"), (F.log(firsts) + F.log(F.col("bulk") / F.col("c")) - unseen).cast("float").alias("term"))
+
+    # the head is every bigram of narrow codes from some count on, as many as fit
+    narrow = F.greatest("v", "w") < NARROW
+    steps = counted.where(narrow).groupBy(F.least("n", F.lit(1 << 12)).alias("n")).agg(F.count("*").alias("k")).orderBy(F.desc("n")).collect()
     room, least = HEAD, 1 << 60
     for r in steps:
         room -= r["k"]
         if room < 0:
             break
         least = r["n"]
-    head = terms.where(F.col("n") >= least).select("key", "term").toArrow()  # HEAD rows at most
-    rest = terms.where(F.col("n") < least).select("key", "term")
+    in_head = narrow & (F.col("n") >= least)
+    head = terms(near.where(in_head)).select("key", "term").toArrow()  # HEAD rows at most
+    rest = terms(near.where(~in_head)).union(terms(own.union(both))).select("key", "term").union(single)
     by = np.argsort(head["key"].to_numpy())
-    model = Model(keys, ids, charge, np.log(mass), head["key"].to_numpy()[by].astype(np.uint32), head["term"].to_numpy()[by], _known(counted.where(F.col("n") < least)))
+    others = counted.where(~in_head).select("v", "w").union(words.select("code", F.lit(None).cast("bigint")))
+    model = Model(keys, ids, charge, np.log(bulk / total), head["key"].to_numpy()[by].astype(np.uint32), head["term"].to_numpy()[by], _known(others))
+    release(trusted.sparkSession)
     return model, rest
 
 
@@ -182,17 +220,18 @@ def _slot(key: np.ndarray) -> np.ndarray:
 
 
 def _known(counted: DataFrame) -> np.ndarray:
-    """A bitmap of 2**KNOWN_BITS bits of the bigrams in counted."""
+    """A bitmap of 2**KNOWN_BITS bits of the keys of (v, w): of the word v where w is null, else of the bigram."""
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            slot = np.sort(_slot(np.asarray(batch.column(0))))
+            v, word = np.asarray(batch.column(0)), np.asarray(batch.column(1).is_null())
+            slot = np.sort(_slot(np.where(word, v, _key(v, np.asarray(batch.column(1).fill_null(0))))))
             if len(slot):
                 first = np.flatnonzero(np.concatenate([[True], np.diff(slot >> 6) > 0]))
                 bits = np.bitwise_or.reduceat(np.left_shift(np.uint64(1), (slot & 63).astype(np.uint64)), first)
                 yield pa.RecordBatch.from_arrays([pa.array(slot[first] >> 6), pa.array(bits.view(np.int64))], ["at", "bits"])
 
-    got = counted.select("key").mapInArrow(partial, "at bigint, bits bigint").groupBy("at").agg(F.expr("bit_or(bits)").alias("bits")).toArrow()
+    got = counted.mapInArrow(partial, "at bigint, bits bigint").groupBy("at").agg(F.expr("bit_or(bits)").alias("bits")).toArrow()
     out = np.zeros(1 << (KNOWN_BITS - 6), np.int64)
     out[got["at"].to_numpy()] = got["bits"].to_numpy()
     return out.view(np.uint64)
@@ -210,25 +249,36 @@ def score(documents: DataFrame, model: Model, terms: DataFrame) -> DataFrame:
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # the row of a document itself has a key below zero that no bigram has, so these rows spread over all shards
         for part in tx.slices(batches, "text"):
-            ids, at = _ids(part.column(2), model.keys, model.ids)
+            codes, at = _codes(part.column(2), model.keys, model.ids)
             rows = np.repeat(np.arange(len(at) - 1), np.diff(at))
-            key = _bigrams(ids, at)
-            term = tx.lookup(model.head_keys, model.head_terms, key.astype(np.uint32), np.float32(np.nan))
+            before = _before(codes, at)
+            key = _key(before, codes)
+            term = tx.lookup(model.head_keys, model.head_terms, np.where(key < 1 << 32, key, 0).astype(np.uint32), np.float32(np.nan))
             rest = np.isnan(term)
-            sure = model.start[ids] + model.context[key >> 16] + np.where(rest, 0.0, term)
+            # a word without an id counts as <unk> here, and its own term corrects that
+            far = codes >= IDS
+            sure = model.start[np.where(far, UNK, codes)] + np.where(before < IDS, model.context[np.where(before < IDS, before, UNK)], 0.0) + np.where(rest, 0.0, term)
             base = np.bincount(rows, weights=sure, minlength=len(at) - 1)
+            key, rows = np.concatenate([key[rest], codes[far]]), np.concatenate([rows[rest], rows[far]])
             slot = _slot(key)
-            rest &= (model.known[slot >> 6] >> (slot & 63).astype(np.uint64) & np.uint64(1)).astype(bool)
+            rest = (model.known[slot >> 6] >> (slot & 63).astype(np.uint64) & np.uint64(1)).astype(bool)
+            # a key that a document repeats is one row, with its number as part
+            key, rows = key[rest], rows[rest]
+            by = np.lexsort((key, rows))
+            key, rows = key[by], rows[by]
+            new = np.flatnonzero(np.append(True, (key[1:] != key[:-1]) | (rows[1:] != rows[:-1]))[: len(key)])
+            times = np.diff(np.append(new, len(key)))
+            key, rows = key[new], rows[new]
             own = np.asarray(part.column(1))
-            n, k = part.num_rows, int(rest.sum())
+            n, k = part.num_rows, len(key)
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array(np.concatenate([own, own[rows[rest]]])),
-                    pa.array(np.concatenate([-1 - (own & 0x7FFFFFFFFFFF), key[rest]])),
+                    pa.array(np.concatenate([own, own[rows]])),
+                    pa.array(np.concatenate([-1 - (own & 0x7FFFFFFFFFFF), key])),
                     pa.concat_arrays([part.column(0), pa.nulls(k, part.column(0).type)]),
                     pa.concat_arrays([part.column(3), pa.nulls(k, part.column(3).type)]),
                     pa.array(np.concatenate([np.diff(at) - 1, np.zeros(k, np.int64)])),
-                    pa.array(np.concatenate([base, np.zeros(k)])),
+                    pa.array(np.concatenate([base, times])),
                 ],
                 ["row", "key", "doc_id", "lang", "n_tokens", "part"],
             )
@@ -237,7 +287,7 @@ def score(documents: DataFrame, model: Model, terms: DataFrame) -> DataFrame:
     named = documents.select("doc_id", row_name(), "text", "lang")
     parts = named.mapInArrow(partial, f"row bigint, key bigint, doc_id {kind}, lang {tag}, n_tokens bigint, part double")
     joined = parts.join(terms, "key", "left")
-    summed = joined.groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.max("lang").alias("lang"), F.max("n_tokens").alias("n_tokens"), F.sum(F.col("part") + F.coalesce("term", F.lit(0.0))).alias("total"), F.count(F.when(F.col("key") < 0, 1)).alias("copies"))
+    summed = joined.groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.max("lang").alias("lang"), F.max("n_tokens").alias("n_tokens"), F.sum(F.when(F.col("key") < 0, F.col("part")).otherwise(F.col("part") * F.coalesce("term", F.lit(0.0)))).alias("total"), F.count(F.when(F.col("key") < 0, 1)).alias("copies"))
     return summed.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("row", "doc_id", "lang", "n_tokens", (F.col("total") / F.col("copies")).alias("log_prob"))
 
 

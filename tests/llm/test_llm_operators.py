@@ -139,6 +139,16 @@ def test_quality_classifier(docs, labels):
     assert all(r.kept == (r.n_tokens > 0) for r in kneserney.classify(docs, labels.where("false")).collect())
 
 
+def test_quality_classifier_keeps_words_without_an_id_apart(docs, labels, monkeypatch):
+    """Which words have an id changes speed only."""
+    want = {r.row: r for r in kneserney.classify(docs, labels).collect()}
+    monkeypatch.setattr(kneserney, "VOCABULARY", 20)
+    got = {r.row: r for r in kneserney.classify(docs, labels).collect()}
+    assert want.keys() == got.keys()
+    for row, r in want.items():
+        assert got[row].log_prob == pytest.approx(r.log_prob, rel=1e-6) and got[row].kept == r.kept
+
+
 def test_jaccard_join_against_brute_force(spark, docs):
     rows = [r for r in doc_rows() if r[0] is not None]
     extra = []
