@@ -387,6 +387,17 @@ def test_toxicity_restores_and_scores(spark):
     assert toxicity.score(d.where("false"), spark.createDataFrame([], LABELS)).count() == 0
 
 
+def test_toxicity_reads_every_form(spark):
+    g = random.Random(9)
+    plain = [f"{a}{b}" for a in ("ren", "tho", "ing", "sta", "mel") for b in ("der", "ly", "ting", "on", "a")]
+    rows = [(i, " ".join(g.choice(plain) for _ in range(40)) + (" " + ("idiot", "ass", "loser")[i // 6 % 3] if i % 6 == 0 else "")) for i in range(600)]
+    forms = ["i.d.i.o.t", "i-d-i-o-t", "i_d_i_o_t", "id*ot", "1 d 1 0 t", "i  d  i  o  t", "i - d . i_o t", "a s s", "@$$", "los€r", "idioot"]
+    d = spark.createDataFrame(rows + [(5000 + k, " ".join(plain) + f". {x} ") for k, x in enumerate(forms)], "doc_id long, text string")
+    got = {r.doc_id: r.predicted for r in toxicity.score(d, spark.createDataFrame([(i, 1, int(i % 6 == 0)) for i in range(600)], LABELS)).collect()}
+    assert [x for k, x in enumerate(forms) if not got[5000 + k]] == []
+    assert all(got[i] == int(i % 6 == 0) for i, _ in rows)
+
+
 def test_language(docs):
     got = {r.doc_id: r for r in language.identify(docs).collect()}
     for i, t, lang, *_ in doc_rows()[:160]:
