@@ -43,8 +43,8 @@ HEAD = 1 << 21
 REPORTED = 1 << 17
 UNK, STOP, START = 0, 1, 2
 FIRST = 3
-#: Documents a language needs for a threshold of its own; with fewer it takes that of all.
-LEAST_CALIBRATION = 100
+#: Held-out documents that the quantile over all languages counts for beside a language's own.
+SHRINK = 20.0
 #: log2 of the bits of the bitmap of known bigrams.
 KNOWN_BITS = 26
 
@@ -295,10 +295,11 @@ def classify(documents: DataFrame, labels: DataFrame, quantile: float = 0.99, sl
     """(row, doc_id, lang, n_tokens, log_prob, perplexity, threshold, kept) of every row of documents.
 
     Trusted are documents of which a label has quality 1. A fifth of them, by hash, is not fitted but scored; the
-    quantile of their log-perplexities in a language, plus slack, is that language's threshold. Languages with fewer
-    than LEAST_CALIBRATION such documents, null among them, take the threshold over all languages. Documents without
-    words have no perplexity and are not kept. Without any trusted document every document with words is kept. Null ids
-    match no label; repeated rows are scored once each; labels may repeat. Texts are used whole."""
+    quantile of their log-perplexities in a language, plus slack, is that language's threshold. That quantile is weighted
+    by the number of its documents, and the one over all languages by SHRINK; null is a language, and one without such
+    documents takes the quantile over all. Documents without words have no perplexity and are not kept. Without any
+    trusted document every document with words is kept. Null ids match no label; repeated rows are scored once each;
+    labels may repeat. Texts are used whole."""
     docs = documents.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.col(lang).alias("lang"))
     trusted_ids = labels.where("quality = 1 AND doc_id IS NOT NULL").select("doc_id").distinct()
     held = F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(5)) == 0
@@ -315,10 +316,10 @@ def classify(documents: DataFrame, labels: DataFrame, quantile: float = 0.99, sl
     model, terms = fit(likely.join(fitted, "doc_id", "left_semi").select("text"), hashed.select("h", "text"), bitmap)
     scored = materialise(score(docs, model, terms)).withColumn("nats", F.when(F.col("n_tokens") > 0, -F.col("log_prob") / (F.col("n_tokens") + 1)))
     sample = scored.where("n_tokens > 0").join(trusted_ids.where(held), "doc_id", "left_semi").select("lang", "nats")
-    limits = sample.groupBy("lang").agg(F.count("*").alias("k"), F.percentile_approx("nats", quantile, 10000).alias("limit")).where(F.col("k") >= LEAST_CALIBRATION).collect()  # one row for each language
+    limits = sample.groupBy("lang").agg(F.count("*").alias("k"), F.percentile_approx("nats", quantile, 10000).alias("limit")).collect()  # one row for each language
     everywhere = sample.agg(F.percentile_approx("nats", quantile, 10000)).first()[0]
     default = F.lit(float("inf") if everywhere is None else everywhere + slack)
-    own = F.coalesce(*[F.when(F.col("lang").eqNullSafe(F.lit(r["lang"])), F.lit(r["limit"] + slack)) for r in limits], default)
+    own = F.coalesce(*[F.when(F.col("lang").eqNullSafe(F.lit(r["lang"])), F.lit((r["k"] * r["limit"] + SHRINK * everywhere) / (r["k"] + SHRINK) + slack)) for r in limits], default)
     return scored.select("row", "doc_id", "lang", "n_tokens", "log_prob", F.exp("nats").alias("perplexity"), F.exp(own).alias("threshold"), F.coalesce(F.col("nats") <= own, F.lit(False)).alias("kept"))
 
 

@@ -149,6 +149,14 @@ def test_quality_classifier_keeps_words_without_an_id_apart(docs, labels, monkey
         assert got[row].log_prob == pytest.approx(r.log_prob, rel=1e-6) and got[row].kept == r.kept
 
 
+def test_quality_classifier_thresholds_by_language(docs, labels):
+    """A few held-out documents move their language's threshold off that of all languages, by their number."""
+    got = kneserney.classify(docs, labels).collect()
+    limit = {r.lang: np.log(r.threshold) for r in got}
+    assert len({r.threshold for r in got if r.lang == "en"}) == 1 and limit["en"] != limit["de"]
+    assert min(limit["en"], limit["de"]) < limit[None] < max(limit["en"], limit["de"]) + 1e-9
+
+
 def test_jaccard_join_against_brute_force(spark, docs):
     rows = [r for r in doc_rows() if r[0] is not None]
     extra = []
