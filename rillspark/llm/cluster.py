@@ -9,24 +9,46 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def materialise(df: DataFrame) -> DataFrame:
-    """df computed once and kept in the shared checkpoint folder, without its lineage.
+def _shared_folder(spark: SparkSession) -> str:
+    """The checkpoint folder that all executors share: that of ``spark.checkpoint.dir``.
 
-    The folder is that of ``spark.checkpoint.dir``; a temporary one is made only where that setting is unset."""
-    sc = df.sparkSession.sparkContext
+    A folder of this machine is made only in local mode, and only where that setting is unset."""
+    sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="rillspark-"))
+        folder = sc.getConf().get("spark.checkpoint.dir")
+        if not folder and not sc.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="rillspark-"))
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
+def materialise(df: DataFrame) -> DataFrame:
+    """df computed once and kept in the shared checkpoint folder, without its lineage."""
+    _shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
 def stored(df: DataFrame) -> DataFrame:
     """df written as Parquet in the shared checkpoint folder and read again: smaller than a checkpoint, for wide rows."""
-    sc = df.sparkSession.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="rillspark-"))
-    path = f"{sc._jsc.sc().getCheckpointDir().get()}/{uuid.uuid4().hex}"
+    path = f"{_shared_folder(df.sparkSession)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._stored_at = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Delete the files of a frame that stored() made, once everything that reads it has been computed and kept."""
+    path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._stored_at)
+    path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def unused(df: DataFrame, stem: str) -> str:
+    """A column name that df does not have."""
+    name, taken = f"_{stem}", {c.lower() for c in df.columns}
+    while name in taken:
+        name += "_"
+    return name
 
 
 def release(spark: SparkSession) -> None:

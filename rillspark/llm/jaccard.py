@@ -1,13 +1,18 @@
 """N-gram Jaccard join of documents by grouped prefix join.
 
 A document is the set of its distinct word shingles. Under one global order of shingles, two sets with Jaccard
-similarity of at least t share a shingle within their prefixes of n - ceil(t n) + 1 shingles. Frequent shingles come
-last in the order, so prefixes hold rare ones.
+similarity of at least t share a shingle within their prefixes of n - ceil(t n) + 1 shingles.
+
+The order: first shingles whose hash lies in a fixed share of the hash space, by the number of sets that hold them, then
+the other shingles by hash, and last the most frequent ones. The first part alone fills most prefixes, so only that share
+of the shingles has to be counted, and prefixes begin with shingles that no other set has. A set with a prefix of such
+shingles only has no partner.
 
 1. Documents with the same set are one class, known by a 128-bit digest of the set.
-2. Classes with the same prefix and the same size form a group; only groups are indexed by prefix shingle.
+2. Classes with the same prefix and the same size form a group; only groups are listed by prefix shingle.
 3. For each prefix shingle, group pairs must pass three filters, none of which can lose a link: size, position in the
-   prefixes, and a parity bitmap (two sets differ in at least as many shingles as their parity bitmaps in bits).
+   prefixes, and a parity bitmap (two sets differ in at least as many shingles as their parity bitmaps in bits; of a
+   group count the bits that all its classes share).
 4. Group pairs are expanded to classes and verified on the full sets.
 
 The result is the connected classes, so not every pair must be met. Round one pairs each member of a shingle's list
@@ -24,9 +29,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from . import text as tx
-from .cluster import components, materialise, stored
+from .cluster import components, discard, materialise, stored, unused
 
 #: The most frequent shingles that get a rank of their own; all others are ordered by hash. Only speed depends on it.
 RANKED = 1 << 16
@@ -34,6 +40,14 @@ RANKED = 1 << 16
 REPORTED = 1 << 13
 #: log2 of the bits of the smallest bitmap.
 LEAST_LOG = 9
+#: Shingles that are counted, as a multiple of the share that a prefix has of its set. Only speed depends on it.
+COUNTED = 1.5
+#: log2 of the classes that a task remembers in order not to list them again. Only speed depends on it.
+SEEN_LOG = 16
+#: 64-bit words of the folded bitmap that a list row carries.
+FOLDED = 4
+#: Partners of a class that meet one copy of its set.
+PARTNERS = 256
 
 
 def shingle_sets(col: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -111,179 +125,223 @@ def _inside(bitmap: np.ndarray, h: np.ndarray) -> np.ndarray:
     return (bitmap[at].view(np.uint64) >> (h.view(np.uint64) & np.uint64(63)) & np.uint64(1)).astype(bool)
 
 
-def _verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, shingle: int, num: int, den: int) -> DataFrame:
-    """Those of the class pairs (a, b) whose sets are similar enough; sets are made again, for the classes in pairs only."""
+def _digest(h: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A digest of each set in two 64-bit halves, of two sums over its shingles and its size."""
+    u = h.view(np.uint64)
+    sums = [np.concatenate([np.zeros(1, np.uint64), np.cumsum(x, dtype=np.uint64)]) for x in (tx.mix(u + np.uint64(1)), tx.mix(~u))]
+    n = np.diff(at).astype(np.uint64)
+    one, two = (s[at[1:]] - s[at[:-1]] for s in sums)
+    return tx.chain(one, two, n), tx.chain(two, n, one)
+
+
+def _names(digest: tuple[np.ndarray, np.ndarray]) -> pa.Array:
+    """Digests as binary values of 16 bytes."""
+    data = np.ascontiguousarray(np.stack(digest, axis=1)).tobytes()
+    at = np.arange(len(digest[0]) + 1, dtype=np.int32) * 16
+    return pa.Array.from_buffers(pa.binary(), len(digest[0]), [None, pa.py_buffer(at.tobytes()), pa.py_buffer(data)])
+
+
+def _many(pairs: DataFrame, side: str) -> DataFrame:
+    """(side, parts) of the classes that need more than one copy of their set."""
+    return pairs.groupBy(side).agg(F.ceil(F.count("*") / PARTNERS).cast("int").alias("parts")).where("parts > 1")
+
+
+def _verified(rows: DataFrame, sketch: DataFrame, pairs: DataFrame, shingle: int, num: int, den: int) -> DataFrame:
+    """Those of the class pairs (a, b) whose sets are similar enough; sets are made again, for the classes in pairs only.
+
+    rows has (row, text), sketch (row, cid). A class with many partners meets them in several copies of its set."""
     wanted = pairs.select(F.col("a").alias("cid")).union(pairs.select(F.col("b").alias("cid"))).distinct()
-    in_docs = _bitmap(classes.join(wanted, "cid", "left_semi").select(F.xxhash64("id").alias("h")))
-    in_sets = _bitmap(wanted.select(F.col("cid").alias("h")))
+    chosen = materialise(sketch.join(wanted, "cid", "left_semi").groupBy("cid").agg(F.min("row").alias("row")))
+    bits = _bitmap(chosen.select(F.col("row").alias("h")))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept = (b.filter(pa.array(_inside(in_docs, np.asarray(b.column(0))))) for b in batches)
+        kept = (b.filter(pa.array(_inside(bits, np.asarray(b.column(0))))) for b in batches)
         for part in tx.slices(kept, "text"):
             h, at = shingle_sets(part.column(1), shingle)
-            cid = _digest(h, at)
-            keep = _inside(in_sets, cid)
-            inside = np.repeat(keep, np.diff(at))
-            yield pa.RecordBatch.from_arrays([pa.array(cid[keep]), _lists(h[inside], np.concatenate([[0], np.cumsum(np.diff(at)[keep])]))], ["cid", "hashes"])
-
-    made = docs.select(F.xxhash64("doc_id").alias("h"), "text").mapInArrow(sets, "cid bigint, hashes array<bigint>").dropDuplicates(["cid"])
-    both = pairs.join(made.select(F.col("cid").alias("b"), F.col("hashes").alias("y")), "b").join(made.select(F.col("cid").alias("a"), F.col("hashes").alias("x")), "a")
+            yield pa.RecordBatch.from_arrays([_names(_digest(h, at)), _lists(h, at)], ["cid", "hashes"])
+
+    made = rows.mapInArrow(sets, "cid binary, hashes array<bigint>").join(chosen.select("cid"), "cid", "left_semi").dropDuplicates(["cid"])
+    made = stored(made)
+    both = pairs
+    for side, other, name in (("b", "a", "y"), ("a", "b", "x")):
+        many = materialise(_many(pairs, side))
+        one = F.coalesce("parts", F.lit(1))
+        both = both.join(many, side, "left").withColumn("part", F.pmod(F.xxhash64(other), one)).drop("parts")
+        copies = made.join(many.withColumnRenamed(side, "cid"), "cid", "left").select(F.col("cid").alias(side), F.col("hashes").alias(name), F.explode(F.sequence(F.lit(0).cast("bigint"), one.cast("bigint") - 1)).alias("part"))
+        both = both.join(copies, [side, "part"]).drop("part")
     both = both.withColumn("common", F.size(F.array_intersect("x", "y")))
-    return both.where(f"{den} * common >= {num} * (size(x) + size(y) - common)").select("a", "b")
+    out = materialise(both.where(f"{den} * common >= {num} * (size(x) + size(y) - common)").select("a", "b"))
+    discard(made)
+    return out
 
 
-def _digest(h: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """A digest of each set, of two sums over its shingles and its size."""
-    u = h.view(np.uint64)
-    sums = [np.concatenate([np.zeros(1, np.uint64), np.cumsum(x, dtype=np.uint64)]) for x in (tx.mix(u + np.uint64(1)), tx.mix(~u))]
-    return tx.chain(*[s[at[1:]] - s[at[:-1]] for s in sums], np.diff(at).astype(np.uint64)).view(np.int64)
+def _frequent(held: list, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Keys with the sums of their counts; the most frequent ones only, if they are too many."""
+    u, inv = np.unique(np.concatenate([x[0] for x in held]), return_inverse=True)
+    c = np.bincount(inv, weights=np.concatenate([x[1] for x in held]), minlength=len(u)).astype(np.int64)
+    if len(u) > most:
+        top = np.sort(np.argpartition(c, -most)[-most:])
+        u, c = u[top], c[top]
+    return u, c
 
 
-def link_classes(documents: DataFrame, shingle: int = 3, num: int = 90, den: int = 100, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, component_id): each document's set size and the smallest doc_id that links reach.
+def _classified(docs: DataFrame, shingle: int, num: int, den: int) -> tuple[DataFrame, DataFrame]:
+    """From (doc_id, text): (row, doc_id, n, cid) of every row, and (cid, component) of classes that have links.
 
-    Two documents link when den * |intersection| >= num * |union|. Documents of null text or without words have an
-    empty set and link with nothing. Rows that repeat a doc_id are one document, with the set of the row whose (size,
-    digest) is least; null ids are left out, as a component is named by an id. Texts are used whole. Shingles and whole
-    sets are compared as 64-bit hashes. Other columns are not read; an empty table gives no rows."""
+    row is xxhash64 of a row; cid is the digest of its set."""
     g = gcd(num, den)
     num, den = num // g, den // g
-    docs = documents.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).where("doc_id IS NOT NULL")
-
-    def frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
-
-        def fold(held: list) -> tuple[np.ndarray, np.ndarray]:
-            k = np.concatenate([x[0] for x in held])
-            u, inv = np.unique(k, return_inverse=True)
-            c = np.bincount(inv, weights=np.concatenate([x[1] for x in held]), minlength=len(u)).astype(np.int64)
-            if len(u) > 16 * REPORTED:  # bounded: the rarest are forgotten, which may cost speed, never a link
-                top = np.sort(np.argpartition(c, -16 * REPORTED)[-16 * REPORTED :])
-                u, c = u[top], c[top]
-            return u, c
+    rows = docs.select(F.xxhash64("doc_id", "text").alias("row"), "text")
 
-        held, size = [(keys, counts)], 0
+    def sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A row for each document, and one for each shingle that is frequent in the task, which has no digest."""
+        held, size = [(np.zeros(0, np.int64), np.zeros(0, np.int64))], 0
         for part in tx.slices(batches, "text"):
-            u, c = np.unique(shingle_sets(part.column(0), shingle)[0], return_counts=True)
+            h, at = shingle_sets(part.column(2), shingle)
+            n = np.diff(at)
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(n), _names(_digest(h, at)), _parity(h, at)], ["row", "doc_id", "n", "cid", "bits"])
+            u, c = np.unique(h, return_counts=True)
             often = c > 1
             held.append((u[often], c[often]))
             size += int(often.sum())
-            if size > 1 << 19:
-                held, size = [fold(held)], 0
-        u, c = fold(held)
-        top = np.flatnonzero(c >= 4)
-        if len(top) > REPORTED:
-            top = top[np.argpartition(c[top], -REPORTED)[-REPORTED:]]
-        yield pa.RecordBatch.from_arrays([pa.array(u[top]), pa.array(c[top])], ["key", "n"])
-
-    counted = docs.select("text").mapInArrow(frequent, "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n"))
-    ranked = counted.orderBy(F.desc("n"), "key").limit(RANKED).toPandas()  # RANKED rows at most
-    by_key = np.argsort(ranked["key"].to_numpy())
-    rank_keys, ranks = ranked["key"].to_numpy()[by_key], (len(ranked) - np.arange(len(ranked)))[by_key].astype(np.int64)
-
-    def ordered(part: pa.RecordBatch) -> tuple:
-        """Hashes, offsets, sizes, and the prefixes in the global order with their offsets and group names."""
-        h, at = shingle_sets(part.column(1), shingle)
-        n = np.diff(at)
-        row = np.repeat(np.arange(len(n)), n)
-        order = np.lexsort((h, tx.lookup(rank_keys, ranks, h, 0), row))
-        length = np.where(n > 0, n - (num * n + den - 1) // den + 1, 0)
-        prefix = h[order][np.arange(len(h)) - at[:-1][row] < length[row]]
-        to = np.concatenate([[0], np.cumsum(length)])
-        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(tx.mix(prefix.view(np.uint64)), dtype=np.uint64)])
-        return h, at, n, prefix, to, tx.chain(sums[to[1:]] - sums[to[:-1]], n.astype(np.uint64)).view(np.int64)
-
-    def sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in tx.slices(batches, "text"):
-            h, at, n, _, _, gid = ordered(part)
-            bits = _parity(h, at)
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n.astype(np.int32)), pa.array(_digest(h, at)), pa.array(gid), bits], ["doc_id", "n", "cid", "gid", "bits"])
+            if size > 1 << 18:  # bounded: the rarest are forgotten, which may cost speed, never a link
+                held, size = [_frequent(held, 8 * REPORTED)], 0
+        u, c = _frequent(held, REPORTED)
+        u, c = u[c >= 4], c[c >= 4]
+        none = [pa.nulls(len(u), kind) for kind in (docs_type, pa.binary(), pa.list_(pa.int64()))]
+        yield pa.RecordBatch.from_arrays([pa.array(u), none[0], pa.array(c), none[1], none[2]], ["row", "doc_id", "n", "cid", "bits"])
+
+    kind = docs.schema["doc_id"].dataType
+    docs_type = to_arrow_type(kind)
+    both = stored(docs.select(F.xxhash64("doc_id", "text").alias("row"), "doc_id", "text").mapInArrow(sketched, f"row bigint, doc_id {kind.simpleString()}, n bigint, cid binary, bits array<bigint>"))
+    sketch = both.where("cid IS NOT NULL")
+    counted = both.where("cid IS NULL").groupBy("row").agg(F.sum("n").alias("n"))
+    ranked = counted.orderBy(F.desc("n"), "row").limit(RANKED).toPandas()  # RANKED rows at most
+    by_key = np.argsort(ranked["row"].to_numpy())
+    rank_keys, ranks = ranked["row"].to_numpy()[by_key], (len(ranked) - np.arange(len(ranked)))[by_key].astype(np.int64)
+    share = np.uint64(min(1.0, COUNTED * (1 - num / den)) * ((1 << 32) - 1))
 
     def indexed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """One row for each prefix shingle of each group; a group that occurs again in the task is left out."""
-        seen: set[int] = set()
+        """Of each set, all shingles of the first part of the order, with place -1 - (their number), and as many of the
+        others, with their places, as the prefix still needs."""
+        seen = np.zeros(1 << SEEN_LOG, np.uint64)
         for part in tx.slices(batches, "text"):
-            _, _, n, prefix, to, gid = ordered(part)
+            h, at = shingle_sets(part.column(1), shingle)
+            digest = _digest(h, at)
+            n = np.diff(at)
+            slot = (digest[0] >> np.uint64(64 - SEEN_LOG)).astype(np.int64)
             new = np.zeros(len(n), bool)
-            for k, x in enumerate(gid.tolist()):
-                if n[k] and x not in seen:
-                    seen.add(x)
-                    new[k] = True
-            row = np.repeat(np.arange(len(n)), np.diff(to))
-            place = np.arange(len(prefix)) - to[:-1][row]
-            keep = new[row]
-            yield pa.RecordBatch.from_arrays([pa.array(prefix[keep]), pa.array(gid[row][keep]), pa.array(n[row][keep] << 32 | place[keep])], ["key", "gid", "np"])
-
-    kind = documents.schema[doc_id].dataType.simpleString()
-    sketch = materialise(docs.mapInArrow(sketched, f"doc_id {kind}, n int, cid bigint, gid bigint, bits array<bigint>"))
-    of_doc = sketch.groupBy("doc_id").agg(F.min(F.struct("n", "cid")).alias("s")).select("doc_id", "s.n", "s.cid")
-    # size, group and bitmap follow from the set, so first() picks one of equals
-    shapes = sketch.where("n > 0").groupBy("cid").agg(F.first("n").alias("n"), F.first("gid").alias("gid"), F.first("bits").alias("bits"))
-    classes = materialise(shapes.join(of_doc.groupBy("cid").agg(F.min("doc_id").alias("id")), "cid"))
-    slim = classes.select("cid", "gid", "n", "bits")
-
-    # a list holds the groups with one prefix shingle, by place; a group dealt out by two tasks follows itself and is dropped
-    listing = Window.partitionBy("key").orderBy(F.expr("np & 4294967295"), "gid")
-    listed = docs.mapInArrow(indexed, "key bigint, gid bigint, np bigint").repartition("key")
-    listed = listed.withColumn("before", F.lag("gid").over(listing)).withColumn("after", F.lead("gid").over(listing)).withColumn("first", F.first(F.struct("gid", "np")).over(listing.rowsBetween(Window.unboundedPreceding, 0)))
-    listed = listed.where("(before IS NOT NULL AND before <> gid) OR (before IS NULL AND after IS NOT NULL)")
-    listed = stored(listed.select("key", "gid", "np", F.col("first.gid").alias("hub"), F.col("first.np").alias("hub_np")))
-
-    def sized(name: str, column: str) -> list[str]:
-        return [f"CAST({column} >> 32 AS INT) AS {name}n", f"CAST({column} & 4294967295 AS INT) AS {name}place"]
-
-    def expanded(group_pairs: DataFrame, members: DataFrame, apart: str) -> DataFrame:
+            new[np.unique(digest[0], return_index=True)[1]] = True
+            new &= (seen[slot] != digest[1]) & (n > 0)
+            seen[slot[new]] = digest[1][new]
+            inside = np.repeat(new, n)
+            h, row = h[inside], np.repeat(np.arange(len(n)), n)[inside]
+            rank = tx.lookup(rank_keys, ranks, h, 0)
+            first = (rank == 0) & (h.view(np.uint64) >> np.uint64(32) <= share)
+            s = np.bincount(row[first], minlength=len(n))
+            need = n - (num * n + den - 1) // den + 1
+            h2, row2, rank2 = h[~first], row[~first], rank[~first]
+            order = np.lexsort((h2, rank2, row2))
+            h2, row2 = h2[order], row2[order]
+            begin = np.searchsorted(row2, np.arange(len(n)))
+            place = np.arange(len(row2)) - begin[row2] + s[row2]
+            more = place < need[row2]
+            keys, of = np.concatenate([h[first], h2[more]]), np.concatenate([row[first], row2[more]])
+            place = np.concatenate([-1 - s[row[first]], place[more]])
+            yield pa.RecordBatch.from_arrays([pa.array(keys), _names((digest[0][of], digest[1][of])), pa.array(n[of].astype(np.int32)), pa.array(place.astype(np.int32))], ["key", "cid", "n", "place"])
+
+    # a set that two tasks list follows itself
+    by_key, by_set = Window.partitionBy("key"), Window.partitionBy("cid")
+    listed = rows.mapInArrow(indexed, "key bigint, cid binary, n int, place int").repartition("key")
+    listed = listed.withColumn("before", F.lag("cid").over(by_key.orderBy("cid"))).where("before IS NULL OR before <> cid").drop("before")
+    listed = listed.withColumn("sets", F.count("*").over(by_key)).where("sets > 1")
+    shared = F.count(F.when(F.col("place") < 0, 1)).over(by_set)
+    at = F.row_number().over(by_set.orderBy(F.expr("IF(place < 0, 0, 1)"), "sets", "key")) - 1
+    listed = listed.withColumn("at", F.when(F.col("place") < 0, at + (-1 - F.col("place")) - shared).otherwise(F.col("place")))
+    need = f"(n - ({num} * CAST(n AS BIGINT) + {den - 1}) div {den} + 1)"
+    listed = listed.where(f"at < {need}").select("key", "cid", "n", F.col("at").cast("int").alias("place"))
+    # a prefix that holds a shingle of no other set is the prefix of no other set
+    whole = F.count("*").over(by_set) == F.expr(need)
+    same = F.unhex(F.md5(F.concat_ws(" ", "n", F.expr("bit_xor(xxhash64(key, 1))").over(by_set), F.expr("bit_xor(xxhash64(key, 2))").over(by_set)).cast("binary")))
+    listed = stored(listed.withColumn("gid", F.when(whole, same).otherwise(F.col("cid"))))
+
+    # size and bitmap follow from the set, so first() picks one of equals
+    grouped = listed.select("cid", "gid").distinct()
+    slim = stored(grouped.join(sketch.groupBy("cid").agg(F.first("n").cast("int").alias("n"), F.first("bits").alias("bits")), "cid"))
+    listing = Window.partitionBy("key").orderBy("place", "gid")
+    lists = listed.select("key", "gid", "n", "place").repartition("key").withColumn("before", F.lag("gid").over(listing)).where("before IS NULL OR before <> gid").drop("before")
+    lists = lists.withColumn("hub", F.first(F.struct("gid", "n", "place")).over(listing.rowsBetween(Window.unboundedPreceding, 0)))
+    lists = stored(lists.withColumn("groups", F.count("*").over(by_key)).where("groups > 1").drop("groups"))
+
+    def paired(group_pairs: DataFrame, first: DataFrame, second: DataFrame, apart: str) -> DataFrame:
         """Pairs of classes whose bitmaps are close, from group pairs (p, q)."""
-        a, b = members.alias("a"), members.alias("b")
-        met = group_pairs.alias("m").join(a, F.expr("m.p = a.gid")).join(b, F.expr(f"m.q = b.gid AND a.cid <> b.cid AND {apart} AND " + _alike(num, den)))
+        met = group_pairs.alias("m").join(first.alias("a"), F.expr("m.p = a.gid")).join(second.alias("b"), F.expr(f"m.q = b.gid AND a.cid <> b.cid AND {apart} AND " + _alike(num, den)))
         return met.select(F.least("a.cid", "b.cid").alias("a"), F.greatest("a.cid", "b.cid").alias("b")).distinct()
 
     # each group of a list against the first group, by its first class; each group's classes against the group's first
-    stars = listed.where("gid <> hub").select("hub", "gid", F.struct(*map(F.expr, sized("", "np"))).alias("t"), F.struct(*map(F.expr, sized("", "hub_np"))).alias("h")).where(_near("t", "h", num, den))
-    stars = stars.select(F.col("hub").alias("p"), F.col("gid").alias("q")).distinct()
-    crowded = slim.groupBy("gid").agg(F.count("*").alias("k")).where("k > 1")
-    stars = stars.union(crowded.select(F.col("gid").alias("p"), F.col("gid").alias("q")))
-    leads = slim.join(slim.groupBy("gid").agg(F.min("cid").alias("cid")), ["gid", "cid"], "left_semi")
-    a, b = leads.alias("a"), slim.alias("b")
-    stars = stars.alias("m").join(a, F.expr("m.p = a.gid")).join(b, F.expr("m.q = b.gid AND a.cid <> b.cid AND " + _alike(num, den)))
-    stars = materialise(stars.select(F.least("a.cid", "b.cid").alias("a"), F.greatest("a.cid", "b.cid").alias("b")).distinct())
-    links = materialise(_verified(docs, classes, stars, shingle, num, den))
+    stars = lists.where("gid <> hub.gid").select("gid", "hub", F.struct("n", "place").alias("t")).where(_near("t", "hub", num, den)).select(F.col("hub.gid").alias("p"), F.col("gid").alias("q")).distinct()
+    crowded = slim.groupBy("gid").agg(F.count("*").alias("k"), F.min("cid").alias("cid"))
+    stars = stars.union(crowded.where("k > 1").select(F.col("gid").alias("p"), F.col("gid").alias("q")))
+    leads = slim.join(crowded.select("gid", "cid"), ["gid", "cid"], "left_semi")
+    stars = materialise(paired(stars, leads, slim, "true"))
+    links = _verified(rows, sketch, stars, shingle, num, den)
     joined = materialise(components(links, "a", "b"))
 
     # what is not connected yet: all group pairs of a list, but those that lie in one component as wholes
-    where = materialise(slim.join(joined.withColumnRenamed("id", "cid"), "cid", "left").select("cid", "gid", "n", "bits", F.coalesce("component", "cid").alias("comp")))
-    brief = F.array(*(F.expr(f"aggregate(sequence(0, size(bits) div 4 - 1), 0L, (a, i) -> a ^ bits[4 * i + {k}])") for k in range(4)))
-    spans = where.groupBy("gid").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("k"), F.first(brief).alias("f"))
-    spans = spans.withColumn("f", F.expr("IF(k = 1, f, NULL)")).drop("k")  # the bitmap of a group of one class, folded to 256 bits
-    spread = listed.select("key", "gid", *map(F.expr, sized("", "np"))).join(spans, "gid")
-    whole = Window.partitionBy("key")
-    spread = spread.withColumn("l", F.min("low").over(whole)).withColumn("h", F.max("high").over(whole)).where("l <> h").drop("l", "h")
+    where = materialise(slim.join(joined.withColumnRenamed("id", "cid"), "cid", "left").withColumn("comp", F.coalesce("component", "cid")).drop("component"))
+    brief = [F.expr(f"aggregate(sequence(0, size(bits) div {FOLDED} - 1), 0L, (a, i) -> a ^ bits[{FOLDED} * i + {k}])") for k in range(FOLDED)]
+    folded = where.select("gid", "comp", *(x.alias(f"f{k}") for k, x in enumerate(brief)))
+    spans = folded.groupBy("gid").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.array(*(F.expr(f"bit_and(f{k})") for k in range(FOLDED))).alias("all"), F.array(*(F.expr(f"bit_or(f{k})") for k in range(FOLDED))).alias("any"))
+    spread = lists.drop("hub").join(spans, "gid")
+    spread = spread.withColumn("l", F.min("low").over(by_key)).withColumn("h", F.max("high").over(by_key)).where("l <> h").drop("l", "h")
     spread = stored(spread)
     p, q = spread.alias("p"), spread.alias("q")
-    apart = " + ".join(f"bit_count(p.f[{k}] ^ q.f[{k}])" for k in range(4))
-    met = p.join(q, F.expr("p.key = q.key AND p.gid < q.gid AND NOT (p.low = p.high AND q.low = q.high AND p.low = q.low) AND " + _near("p", "q", num, den) + f" AND (p.f IS NULL OR q.f IS NULL OR {apart} <= p.n + q.n - 2 * {_need('p.n', 'q.n', num, den)})")).select(F.col("p.gid").alias("p"), F.col("q.gid").alias("q")).distinct()
+    differ = " + ".join(f"bit_count((p.all[{k}] & ~q.any[{k}]) | (q.all[{k}] & ~p.any[{k}]))" for k in range(FOLDED))
+    met = p.join(q, F.expr("p.key = q.key AND p.gid < q.gid AND NOT (p.low = p.high AND q.low = q.high AND p.low = q.low) AND " + _near("p", "q", num, den) + f" AND {differ} <= p.n + q.n - 2 * {_need('p.n', 'q.n', num, den)}")).select(F.col("p.gid").alias("p"), F.col("q.gid").alias("q")).distinct()
     met = met.union(spans.where("low <> high").select(F.col("gid").alias("p"), F.col("gid").alias("q")))
-    rest = materialise(expanded(met, where, "a.comp <> b.comp").join(stars, ["a", "b"], "left_anti"))
+    rest = materialise(paired(met, where, where, "a.comp <> b.comp").join(stars, ["a", "b"], "left_anti"))
     if not rest.isEmpty():
-        links = links.union(_verified(docs, classes, rest, shingle, num, den))
-        joined = materialise(components(links, "a", "b"))
-
-    top = classes.select("cid", "id").join(joined.withColumnRenamed("id", "cid"), "cid", "left").select("cid", "id", F.coalesce("component", "cid").alias("comp"))
-    named = top.join(top.groupBy("comp").agg(F.min("id").alias("component_id")), "comp").select("cid", "component_id")
-    return of_doc.join(named, "cid", "left").select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+        joined = materialise(components(links.union(_verified(rows, sketch, rest, shingle, num, den)), "a", "b"))
+    for done in (listed, slim, lists, spread):
+        discard(done)
+    return sketch.select("row", "doc_id", "n", "cid"), joined.select(F.col("id").alias("cid"), "component")
 
 
-def one_of_each(documents: DataFrame, shingle: int = 3, num: int = 90, den: int = 100) -> DataFrame:
-    """The rows of documents, with all their columns, of one document of each linked class: that of the smallest id.
+def link_classes(documents: DataFrame, shingle: int = 5, num: int = 4, den: int = 5, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, n_shingles, component_id) of every row: its set's size and the smallest doc_id that links reach.
 
-    Of rows that repeat an id one stays. Rows of null id all stay, as link_classes leaves them out."""
-    gone = link_classes(documents, shingle, num, den).where("doc_id <> component_id").select(F.col("doc_id").alias("_gone"))
-    left = documents.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
-    again = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64(*documents.columns)))
-    repeated = documents.groupBy("doc_id").agg(F.count("*").alias("k")).where("k > 1 AND doc_id IS NOT NULL").select("doc_id")
+    Two documents link when den * |intersection| >= num * |union|. Documents of null text or without words have an
+    empty set and link with nothing. Rows that repeat a doc_id are documents of their own, which share a name; rows of
+    null id link like others and name a component only where no other does. Texts are used whole. Shingles are compared
+    as 64-bit hashes, whole sets as 128-bit digests. Other columns are not read; an empty table gives no rows."""
+    docs = documents.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    sketch, joined = _classified(docs, shingle, num, den)
+    ids = sketch.where("n > 0").groupBy("cid").agg(F.min("doc_id").alias("id"))
+    top = ids.join(joined, "cid", "left").select("cid", "id", F.coalesce("component", "cid").alias("comp"))
+    named = top.join(top.groupBy("comp").agg(F.min("id").alias("component_id")), "comp").select("cid", "component_id")
+    return sketch.join(named, "cid", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+
+
+def one_of_each(documents: DataFrame, shingle: int = 5, num: int = 4, den: int = 5) -> DataFrame:
+    """The rows of documents, with all their columns, of one document of each component: that of the smallest id.
+
+    A row of null id stays only where its component has no other; of several rows of the smallest id that of the least
+    hash stays. Documents without words all stay, but of rows that repeat an id and a text one. An empty table gives no
+    rows; columns of documents may have any names."""
+    name, again = unused(documents, "row"), unused(documents, "again")
+    sketch, joined = _classified(documents.select("doc_id", "text"), shingle, num, den)
+    comp = F.when(F.col("n") > 0, F.coalesce("component", "cid")).otherwise(F.unhex(F.hex("row")))
+    of_row = materialise(sketch.join(joined, "cid", "left").groupBy("row", "doc_id", comp.alias("comp")).agg(F.count("*").alias("copies")))
+    best = of_row.groupBy("comp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("b")).select(F.col("b.row").alias("row"))
+    left = documents.withColumn(name, F.xxhash64("doc_id", "text"))
+    gone = of_row.select("row").distinct().join(best, "row", "left_anti").withColumnRenamed("row", name)
+    left = left.join(gone, name, "left_anti")
+    repeated = materialise(of_row.where("copies > 1").join(best, "row", "left_semi").select(F.col("row").alias(name)))
     if repeated.isEmpty():
-        return left
-    return left.withColumn("_again", again).where("doc_id IS NULL OR _again = 1").drop("_again")
+        return left.select(*documents.columns)
+    order = F.row_number().over(Window.partitionBy(name).orderBy(F.xxhash64(*documents.columns)))
+    one = left.join(repeated, name, "left_semi").withColumn(again, order).where(F.col(again) == 1)
+    return left.join(repeated, name, "left_anti").select(*documents.columns).union(one.select(*documents.columns))
 
 
 LINK_SQL = r"""

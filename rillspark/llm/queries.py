@@ -56,7 +56,7 @@ def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard.link_classes(_table(spark, sf_dir, "documents"))
+    return jaccard.link_classes(_table(spark, sf_dir, "documents"), shingle=3, num=90, den=100)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

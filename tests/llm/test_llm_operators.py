@@ -185,9 +185,9 @@ def test_jaccard_join_against_brute_force(spark, docs):
             if a < b and sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 90 * len(sets[a] | sets[b]):
                 x, y = sorted((find(a), find(b)))
                 parent[y] = x
-    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.link_classes(table).collect()}
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.link_classes(table, shingle=3, num=90, den=100).collect()}
     assert got == {i: (len(s), find(i)) for i, s in sets.items()}
-    left = jaccard.one_of_each(docs)
+    left = jaccard.one_of_each(docs, shingle=3, num=90, den=100)
     ids = [r.doc_id for r in left.collect()]
     assert left.columns == docs.columns and len(ids) == len(set(ids)) and 200 not in ids and 207 not in ids and 204 in ids and None in ids
     assert jaccard.link_classes(docs.where("false")).count() == 0
