@@ -12,7 +12,8 @@ splits into terms that each need one n-gram only:
 so a document's log-probability is a sum over its words and its seen bigrams. Terms are sharded by key and joined: those
 of the most frequent words and bigrams, a bounded number, are broadcast, which takes the hot keys out of the shuffle,
 and the others meet the documents' words and bigrams in a hash-partitioned join. A bitmap of fixed size keeps most of
-what the model does not know out of that join.
+what the model does not know out of that join. The join runs in rounds, each with a fixed share of the keys, so that a
+round's shuffle files are gone before the next.
 
 A word's code is a small id for the most frequent words, else 62 bits of its hash. Which words have an id changes speed
 only: counts, contexts and terms of all words are complete.
@@ -21,6 +22,7 @@ only: counts, contexts and terms of all words are complete.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import text as tx
-from .cluster import materialise, release, stored
+from .cluster import discard, materialise, release, stored, unused
 from .jaccard import _bitmap, _inside
 
 #: Codes below this are ids, whose word terms are broadcast.
@@ -47,6 +49,8 @@ FIRST = 3
 SHRINK = 20.0
 #: log2 of the bits of the bitmap of known bigrams.
 KNOWN_BITS = 26
+#: Rounds of the scoring join, a power of two.
+ROUNDS = 2
 
 
 def _codes(col: pa.Array, keys: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -113,7 +117,7 @@ def _summed(parts: list) -> tuple[np.ndarray, np.ndarray]:
 
 
 def fit(trusted: DataFrame, listed: DataFrame, bitmap: np.ndarray | None = None) -> tuple[Model, DataFrame]:
-    """The model of the texts of trusted, and the table (key, term) of its bigrams outside the head and of its words
+    """The model of the texts of trusted, and the table (key, term, round) of its bigrams outside the head and of its words
     without an id; the term of such a word w is ln P1(w) + ln g(w) - ln P1(<unk>).
 
     Words with an id come from listed, (h, text), which holds trusted and costs no shuffle; bitmap picks its rows."""
@@ -211,6 +215,9 @@ def fit(trusted: DataFrame, listed: DataFrame, bitmap: np.ndarray | None = None)
     by = np.argsort(head["key"].to_numpy())
     others = counted.where(~in_head).select("v", "w").union(words.select("code", F.lit(None).cast("bigint")))
     model = Model(keys, ids, charge, np.log(bulk / total), head["key"].to_numpy()[by].astype(np.uint32), head["term"].to_numpy()[by], _known(others))
+    rest = stored(rest.withColumn("round", F.expr(f"(key ^ shiftright(key, 16)) & {ROUNDS - 1}")))
+    discard(counted)
+    discard(words)
     release(trusted.sparkSession)
     return model, rest
 
@@ -246,7 +253,7 @@ def score(documents: DataFrame, model: Model, terms: DataFrame) -> DataFrame:
     """(row, doc_id, lang, n_tokens, log_prob) of each row of (doc_id, text, lang); row is row_name of it."""
     kind, tag = documents.schema["doc_id"].dataType.simpleString(), documents.schema["lang"].dataType.simpleString()
 
-    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def partial(batches: Iterator[pa.RecordBatch], turn: int) -> Iterator[pa.RecordBatch]:
         # the row of a document itself has a key below zero that no bigram has, so these rows spread over all shards
         for part in tx.slices(batches, "text"):
             codes, at = _codes(part.column(2), model.keys, model.ids)
@@ -255,11 +262,15 @@ def score(documents: DataFrame, model: Model, terms: DataFrame) -> DataFrame:
             key = _key(before, codes)
             term = tx.lookup(model.head_keys, model.head_terms, np.where(key < 1 << 32, key, 0).astype(np.uint32), np.float32(np.nan))
             rest = np.isnan(term)
-            # a word without an id counts as <unk> here, and its own term corrects that
             far = codes >= IDS
-            sure = model.start[np.where(far, UNK, codes)] + np.where(before < IDS, model.context[np.where(before < IDS, before, UNK)], 0.0) + np.where(rest, 0.0, term)
-            base = np.bincount(rows, weights=sure, minlength=len(at) - 1)
+            n = part.num_rows if not turn else 0
+            if n:
+                # a word without an id counts as <unk> here, and its own term corrects that
+                sure = model.start[np.where(far, UNK, codes)] + np.where(before < IDS, model.context[np.where(before < IDS, before, UNK)], 0.0) + np.where(rest, 0.0, term)
+                base = np.bincount(rows, weights=sure, minlength=len(at) - 1)
             key, rows = np.concatenate([key[rest], codes[far]]), np.concatenate([rows[rest], rows[far]])
+            mine = (key ^ key >> 16) & ROUNDS - 1 == turn
+            key, rows = key[mine], rows[mine]
             slot = _slot(key)
             rest = (model.known[slot >> 6] >> (slot & 63).astype(np.uint64) & np.uint64(1)).astype(bool)
             # a key that a document repeats is one row, with its number as part
@@ -270,24 +281,33 @@ def score(documents: DataFrame, model: Model, terms: DataFrame) -> DataFrame:
             times = np.diff(np.append(new, len(key)))
             key, rows = key[new], rows[new]
             own = np.asarray(part.column(1))
-            n, k = part.num_rows, len(key)
+            k = len(key)
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array(np.concatenate([own, own[rows]])),
-                    pa.array(np.concatenate([-1 - (own & 0x7FFFFFFFFFFF), key])),
-                    pa.concat_arrays([part.column(0), pa.nulls(k, part.column(0).type)]),
-                    pa.concat_arrays([part.column(3), pa.nulls(k, part.column(3).type)]),
-                    pa.array(np.concatenate([np.diff(at) - 1, np.zeros(k, np.int64)])),
-                    pa.array(np.concatenate([base, times])),
+                    pa.array(np.concatenate([own[:n], own[rows]])),
+                    pa.array(np.concatenate([-1 - (own[:n] & 0x7FFFFFFFFFFF), key])),
+                    pa.concat_arrays([part.column(0)[:n], pa.nulls(k, part.column(0).type)]),
+                    pa.concat_arrays([part.column(3)[:n], pa.nulls(k, part.column(3).type)]),
+                    pa.array(np.concatenate([np.diff(at)[:n] - 1, np.zeros(k, np.int64)])),
+                    pa.array(np.concatenate([base[:n] if n else np.zeros(0), times])),
                 ],
                 ["row", "key", "doc_id", "lang", "n_tokens", "part"],
             )
 
+    def turned(turn: int):
+        return lambda batches: partial(batches, turn)
+
     # equal rows share a name and are told apart by their number only
     named = documents.select("doc_id", row_name(), "text", "lang")
-    parts = named.mapInArrow(partial, f"row bigint, key bigint, doc_id {kind}, lang {tag}, n_tokens bigint, part double")
-    joined = parts.join(terms, "key", "left")
-    summed = joined.groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.max("lang").alias("lang"), F.max("n_tokens").alias("n_tokens"), F.sum(F.when(F.col("key") < 0, F.col("part")).otherwise(F.col("part") * F.coalesce("term", F.lit(0.0)))).alias("total"), F.count(F.when(F.col("key") < 0, 1)).alias("copies"))
+    value = F.when(F.col("key") < 0, F.col("part")).otherwise(F.col("part") * F.coalesce("term", F.lit(0.0)))
+    rounds = []
+    for turn in range(ROUNDS):
+        parts = named.mapInArrow(turned(turn), f"row bigint, key bigint, doc_id {kind}, lang {tag}, n_tokens bigint, part double")
+        joined = parts.join(terms.where(F.col("round") == turn).select("key", "term"), "key", "left")
+        rounds.append(materialise(joined.groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.max("lang").alias("lang"), F.max("n_tokens").alias("n_tokens"), F.sum(value).alias("total"), F.count(F.when(F.col("key") < 0, 1)).alias("copies"))))
+        release(documents.sparkSession)
+    discard(terms)
+    summed = reduce(DataFrame.union, rounds).groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.max("lang").alias("lang"), F.max("n_tokens").alias("n_tokens"), F.sum("total").alias("total"), F.sum("copies").alias("copies"))
     return summed.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("row", "doc_id", "lang", "n_tokens", (F.col("total") / F.col("copies")).alias("log_prob"))
 
 
@@ -324,6 +344,9 @@ def classify(documents: DataFrame, labels: DataFrame, quantile: float = 0.99, sl
 
 
 def keep_good(documents: DataFrame, labels: DataFrame, quantile: float = 0.99, slack: float = 0.1) -> DataFrame:
-    """The rows of documents, with all their columns, that classify keeps."""
-    rejected = classify(documents, labels, quantile, slack).where("NOT kept").select("row").distinct()
-    return documents.join(rejected.withColumnRenamed("row", "_row"), row_name() == F.col("_row"), "left_anti")
+    """The rows of documents, with all their columns, that classify keeps.
+
+    Rows without words go; equal rows stay or go together; an empty table gives no rows; columns may have any names."""
+    name = unused(documents, "row")
+    rejected = classify(documents.select("doc_id", "text", "lang"), labels, quantile, slack).where("NOT kept").select(F.col("row").alias(name)).distinct()
+    return documents.withColumn(name, row_name()).join(rejected, name, "left_anti").select(*documents.columns)

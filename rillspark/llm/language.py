@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import text as tx
-from .cluster import fold
+from .cluster import fold, unused
 
 BUCKETS = 1 << 17
 #: Documents of each language to learn from, in expectation; they are picked by a hash of their id.
@@ -78,7 +78,7 @@ def learn(documents: DataFrame, per_language: int = FIT_PER_LANGUAGE) -> tuple[l
     n = np.zeros(len(langs) * BUCKETS)
     n[table["k"].to_numpy()] = table["n"].to_numpy()
     n = n.reshape(len(langs), BUCKETS)
-    # a word's windows overlap: each tells about a quarter of what it would alone
+    # a word's windows overlap, so each counts as half of what it would tell alone
     return langs, (np.log((n + 0.05) / (n.sum(1, keepdims=True) + 0.05 * BUCKETS)) / 2).astype(np.float32)
 
 
@@ -160,5 +160,5 @@ def keep_identified(documents: DataFrame, least: float = 0.4, per_language: int
             best = infer(part.column(place), table)[0].max(1) if langs else np.zeros(part.num_rows)
             yield part.select(range(part.num_columns - 1)).filter(pa.array(known & (best >= least)))
 
-    flagged = documents.withColumn("_letters", F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
+    flagged = documents.withColumn(unused(documents, "letters"), F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
     return flagged.mapInArrow(keep, documents.schema)

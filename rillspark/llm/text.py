@@ -16,7 +16,7 @@ import pyarrow.compute as pc
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: Text bytes handled at once; it bounds a Python worker's memory, unless one text alone is longer.
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 18
 
 _RADIX = 0x9E3779B97F4A7C15
 _BYTE_CODES = np.random.Generator(np.random.PCG64(20240607)).integers(1, 1 << 63, 256, dtype=np.uint64)
