@@ -253,7 +253,10 @@ def score(documents: DataFrame, model: Model, terms: DataFrame) -> DataFrame:
     """(row, doc_id, lang, n_tokens, log_prob) of each row of (doc_id, text, lang); row is row_name of it."""
     kind, tag = documents.schema["doc_id"].dataType.simpleString(), documents.schema["lang"].dataType.simpleString()
 
+    sent = documents.sparkSession.sparkContext.broadcast(model)  # of a bounded size, once for all rounds
+
     def partial(batches: Iterator[pa.RecordBatch], turn: int) -> Iterator[pa.RecordBatch]:
+        model = sent.value
         # the row of a document itself has a key below zero that no bigram has, so these rows spread over all shards
         for part in tx.slices(batches, "text"):
             codes, at = _codes(part.column(2), model.keys, model.ids)
@@ -307,6 +310,7 @@ def score(documents: DataFrame, model: Model, terms: DataFrame) -> DataFrame:
         rounds.append(materialise(joined.groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.max("lang").alias("lang"), F.max("n_tokens").alias("n_tokens"), F.sum(value).alias("total"), F.count(F.when(F.col("key") < 0, 1)).alias("copies"))))
         release(documents.sparkSession)
     discard(terms)
+    sent.destroy()
     summed = reduce(DataFrame.union, rounds).groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.max("lang").alias("lang"), F.max("n_tokens").alias("n_tokens"), F.sum("total").alias("total"), F.sum("copies").alias("copies"))
     return summed.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("row", "doc_id", "lang", "n_tokens", (F.col("total") / F.col("copies")).alias("log_prob"))
 

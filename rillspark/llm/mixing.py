@@ -1,19 +1,22 @@
 """Mixing sources to target weights by weighted fair queueing, in DataFrame operations only.
 
-Every document gets a virtual finish time: the words its source has sent up to and with it, over the source's weight.
-The global order by that time, cut at the total budget, is the mix. A source may be sent at most ``epochs`` times, so
-at the cut each source has sent min(weight * V, epochs * size) words, where V is the virtual time of the cut; V solves
-one equation over the per-source sums, hence nothing but those sums is sorted globally. Inside a source documents are
-shuffled by a digest of their id. Prefix sums run over (source, digest prefix) slots, so a hot source is dealt over
-thousands of groups.
+Inside a source documents are shuffled by a digest of their id. Every document, and every repeat of it, gets a virtual
+finish time: the words its source has sent up to and with it, over the source's weight. The mix is the global order by
+that time, cut at the total budget. A source may be sent at most ``epochs`` times, so by virtual time V it has sent
+min(weight * V, epochs * size) words; the V at which that makes the budget follows from the per-source sums alone. A
+document that finishes by V is taken whole, one that has begun by V is taken as far as it has come. Prefix sums run
+over (source, digest prefix) slots, so a hot source is dealt over thousands of groups; the result is sorted by ranges of
+the finish time.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .cluster import materialise
+from .cluster import materialise, unused
 
 #: Hexadecimal digits of the digest that name a slot: 4096 slots for each source.
 SLOT_DIGITS = 3
@@ -48,7 +51,10 @@ def targets(sources: DataFrame, epochs: int = 3, share: float = 1.0) -> DataFram
 
 
 def mix(documents: DataFrame, weights: tuple[float, ...] = (1.0, 2.0, 3.0), epochs: int = 3, share: float = 1.0, text: str = "text", source: str = "source", doc_id: str = "doc_id") -> DataFrame:
-    """(doc_id, source, size, source_size, target, taken): how many words the mix takes of each document.
+    """(doc_id, source, size, source_size, target, finish, round, taken), range-sorted by finish: how many words the mix takes of
+    each document, repeats counted. finish is the virtual time at which its source has sent it for the first time; each
+    further time comes round = source_size / weight later. Comparisons with the cut are made in words of the source, finish *
+    weight, so that no rounding enters.
 
     Null text counts as no words, null source is a source of its own, null ids and repeated rows are documents like
     others; ties of the shuffle fall back on id and size, so reruns agree. The document on which the budget ends is
@@ -60,23 +66,34 @@ def mix(documents: DataFrame, weights: tuple[float, ...] = (1.0, 2.0, 3.0), epoc
     sizes = slots.groupBy("source").agg(F.sum("slot_size").alias("source_size"))
     goal = targets(cycle_weights(sizes, weights), epochs, share)
     ahead = F.sum("slot_size").over(Window.partitionBy("source").orderBy("slot").rowsBetween(Window.unboundedPreceding, -1))
-    slots = slots.select("source", "slot", F.coalesce(ahead, F.lit(0)).alias("ahead")).alias("s").join(goal.alias("g"), F.expr("s.source <=> g.source")).select("s.source", "slot", "ahead", "source_size", "target")
+    slots = slots.select("source", "slot", F.coalesce(ahead, F.lit(0)).alias("ahead")).alias("s").join(goal.alias("g"), F.expr("s.source <=> g.source")).select("s.source", "slot", "ahead", "source_size", "weight", "target")
     own = F.sum("size").over(Window.partitionBy("source", "slot").orderBy("digest", F.col("doc_id").asc_nulls_last(), "size").rowsBetween(Window.unboundedPreceding, 0))
-    d = d.withColumn("own", own).alias("d").join(slots.alias("s"), F.expr("d.source <=> s.source AND d.slot = s.slot")).select("doc_id", "d.source", "size", "source_size", "target", (F.col("ahead") + F.col("own")).alias("sent"))
-    whole = F.floor(F.col("target"))
-    rounds = F.coalesce(F.expr("floor(try_divide(floor(target), source_size))").cast("long"), F.lit(0).cast("long"))
-    rest = whole - rounds * F.col("source_size") - (F.col("sent") - F.col("size"))
-    return d.select("doc_id", "source", "size", "source_size", "target", (rounds * F.col("size") + F.least(F.greatest(rest, F.lit(0)), F.col("size"))).cast("long").alias("taken"))
+    d = d.withColumn("own", own).alias("d").join(slots.alias("s"), F.expr("d.source <=> s.source AND d.slot = s.slot")).select("doc_id", "d.source", "size", "source_size", "weight", "target", (F.col("ahead") + F.col("own")).alias("sent"))
+    # of each repeat, the words that are sent by the cut: all of them if it finishes by then
+    until = F.floor("target") - F.col("sent")
+    taken = [F.least(F.greatest(until - F.lit(k) * F.col("source_size") + F.col("size"), F.lit(0)), F.col("size")) for k in range(epochs)]
+    d = d.select("doc_id", "source", "size", "source_size", "target", (F.col("sent") / F.col("weight")).alias("finish"), (F.col("source_size") / F.col("weight")).alias("round"), reduce(Column.__add__, taken).cast("long").alias("taken"))
+    return _in_order(d, "finish")
 
 
-def mixed(documents: DataFrame, weights: tuple[float, ...] = (1.0, 2.0, 3.0), epochs: int = 3, share: float = 1.0) -> DataFrame:
-    """The rows of documents, with all their columns, each as often as the mix takes it: taken / size, rounded.
+def _in_order(df: DataFrame, finish: str) -> DataFrame:
+    """df range-partitioned and sorted by finish."""
+    return df.repartitionByRange(finish).sortWithinPartitions(finish)
 
-    Documents without words are never taken. Equal rows share what is taken of them evenly, rounded down."""
-    named = documents.withColumn("_row", F.xxhash64(*documents.columns))
-    taken = mix(named, weights, epochs, share, doc_id="_row").groupBy("doc_id").agg(F.sum("taken").alias("t"), F.sum("size").alias("s"))
-    times = taken.where("s > 0 AND 2 * t >= s").select(F.col("doc_id").alias("_row"), F.expr("CAST((2 * t + s) div (2 * s) AS INT)").alias("_times"))
-    return named.join(times, "_row").withColumn("_copy", F.explode(F.sequence(F.lit(1), "_times"))).select(*documents.columns)
+
+def mixed(documents: DataFrame, weights: tuple[float, ...] = (1.0, 2.0, 3.0), epochs: int = 3, share: float = 1.0) -> DataFrame:
+    """The rows of documents, with all their columns, each as often as the mix takes it: taken / size, rounded. Repeats
+    stand apart, and all rows are in the order of their finish times, by range partitions.
+
+    Documents without words are never taken. Equal rows share what is taken of them evenly, rounded down. Null sources
+    and ids count as values; an empty table gives no rows; columns of documents may have any names."""
+    row, times, copy, finish = (unused(documents, x) for x in ("row", "times", "copy", "finish"))
+    named = documents.withColumn(row, F.xxhash64(*documents.columns))
+    sent = mix(named.select(F.col(row).alias("doc_id"), "text", "source"), weights, epochs, share)
+    sent = sent.groupBy("doc_id").agg(F.sum("taken").alias("t"), F.sum("size").alias("s"), F.min("finish").alias("f"), F.first("round").alias("r"))
+    sent = sent.where("s > 0 AND 2 * t >= s").select(F.col("doc_id").alias(row), F.expr("CAST((2 * t + s) div (2 * s) AS INT)").alias(times), F.col("f").alias(finish), F.col("r").alias(copy))
+    out = named.join(sent, row).withColumn(times, F.explode(F.sequence(F.lit(0), F.col(times) - 1)))
+    return _in_order(out.withColumn(finish, F.col(finish) + F.col(times) * F.col(copy)), finish).select(*documents.columns)
 
 
 MIX_SQL = r"""

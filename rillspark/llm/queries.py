@@ -52,7 +52,7 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(_table(spark, sf_dir, "documents")).drop("source")
+    return mixing.mix(_table(spark, sf_dir, "documents")).drop("source", "finish", "round")
 
 
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
