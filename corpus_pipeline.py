@@ -2,7 +2,7 @@
 
 A stage takes (spark, docs, sf_dir) and works on all that the one before it kept. All but the last return the columns
 of documents; the last returns pieces of packed sequences. SQL cannot express the stages; tests/llm holds them against
-brute force."""
+brute force. Every stage keeps an empty table empty, judges repeated rows as rows, and passes columns of any name on."""
 
 from __future__ import annotations
 
@@ -16,22 +16,28 @@ from rillspark.llm.queries import tokenizer_path
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows whose language is known with a share of 0.4 at least; null texts and texts without a letter go."""
     return language.keep_identified(docs)
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows whose perplexity is at most their language's threshold; rows without words go."""
     return kneserney.keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each component of near duplicates, five words and 0.8: that of the smallest id. Null ids stay only
+    where their component has no other row; rows without words stay, of equal ones one."""
     return jaccard.one_of_each(docs)
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each row as often as the mix takes it, in the order of finish times; rows without words are never taken."""
     return mixing.mixed(docs)
 
 
 def sequence_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of sequences of 4096 tokens; null text counts as empty and has its end token only."""
     return packing.pack(docs, tokenizer_path())
 
 
