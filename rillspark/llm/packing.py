@@ -12,7 +12,6 @@ from __future__ import annotations
 import zlib
 from collections import deque
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -176,10 +175,9 @@ class Encoder:
         return at, size
 
 
-@lru_cache(maxsize=2)
 def encoder(path: str) -> Encoder:
-    """One encoder for each worker process."""
-    return Encoder(path)
+    """One encoder for each worker process, as long as it works on one stage."""
+    return tx.kept_for_stage(("encoder", path), lambda: Encoder(path))
 
 
 def pack(documents: DataFrame, tokenizer: str, length: int = LENGTH, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

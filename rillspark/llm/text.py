@@ -7,12 +7,14 @@ Python strings: a polynomial hash over the whole buffer gives every word as a di
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+import ctypes
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: Text bytes handled at once; it bounds a Python worker's memory, unless one text alone is longer.
@@ -112,8 +114,37 @@ def words(col: pa.Array, lower: bool = False) -> Words:
     return Words(data, bounds, np.searchsorted(bounds, start, side="right") - 1, start, end, h, sums)
 
 
+_kept: dict = {}
+
+
+def kept_for_stage(key, make: Callable):
+    """make(), once for a worker process and stage. The worker drops it at the first task of another stage."""
+    _same_stage()
+    if key not in _kept:
+        _kept[key] = make()
+    return _kept[key]
+
+
+def _same_stage() -> None:
+    task = TaskContext.get()
+    stage = task.stageId() if task else None
+    if _kept.get("stage", stage) != stage:
+        _kept.clear()
+    _kept["stage"] = stage
+
+
+def _trim() -> None:
+    """Give free memory back, as a worker process outlives its task and waits for others."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
 def slices(batches: Iterable[pa.RecordBatch], column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """The batches cut into runs of rows whose values in column hold about limit bytes, one row at least."""
+    _same_stage()
     for batch in batches:
         k = batch.schema.get_field_index(column)
         size = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(batch.column(k)), 0), dtype=np.int64))
@@ -123,6 +154,7 @@ def slices(batches: Iterable[pa.RecordBatch], column: str, limit: int = SLICE_BY
             to = max(at + 1, int(np.searchsorted(size, done + limit, side="right")))
             yield batch.slice(at, to - at)
             at = to
+    _trim()
 
 
 def hash_of(texts: list[str]) -> np.ndarray:
