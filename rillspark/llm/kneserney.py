@@ -42,7 +42,9 @@ NARROW = 1 << 16
 #: Bigrams whose terms are broadcast.
 HEAD = 1 << 21
 #: Words that one task reports as candidates for an id, at most.
-REPORTED = 1 << 17
+REPORTED = 1 << 16
+#: Bigrams that one task holds before it hands on their counts; it bounds memory only.
+MERGED = 1 << 18
 UNK, STOP, START = 0, 1, 2
 FIRST = 3
 #: Held-out documents that the quantile over all languages counts for beside a language's own.
@@ -101,6 +103,9 @@ def _vocabulary(listed: DataFrame, bitmap: np.ndarray | None) -> np.ndarray:
             if len(held) >= 8:
                 keys, n = _summed([(keys, n), *held])
                 held = []
+                if len(keys) > 4 * REPORTED:  # bounded: the rarest are forgotten, which may cost speed only
+                    top = np.sort(np.argpartition(n, -2 * REPORTED)[-2 * REPORTED :])
+                    keys, n = keys[top], n[top]
         keys, n = _summed([(keys, n), *held])
         if len(keys) > REPORTED:
             top = np.argpartition(n, -REPORTED)[-REPORTED:]
@@ -144,7 +149,7 @@ def fit(trusted: DataFrame, listed: DataFrame, bitmap: np.ndarray | None = None)
                 held.append((k, v, w, n))
                 k, v, w, n = summed()
                 held = []
-                if len(k) > 1 << 20:
+                if len(k) > MERGED:
                     yield pa.RecordBatch.from_arrays([pa.array(v), pa.array(w), pa.array(n)], ["v", "w", "n"])
                     k, v, w, n = none, none, none, none
         held.append((k, v, w, n))
