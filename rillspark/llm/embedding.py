@@ -83,8 +83,8 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93, tables: int = T
     rows = vectors.select(F.col(vec_id).alias("vec_id"), F.col(embedding).alias("e"), F.col(label).alias("label"))
     fine = F.expr("vec_id IS NOT NULL AND label IS NOT NULL AND e IS NOT NULL AND size(e) > 0 AND NOT exists(e, x -> x IS NULL OR isnan(x) OR abs(x) = double('infinity')) AND exists(e, x -> x <> 0)")
     rows = rows.withColumn("fine", F.coalesce(fine, F.lit(False))).withColumn("cls", F.when(F.col("fine"), F.xxhash64("label", "e")))
-    classes = rows.where("fine").groupBy("cls").agg(F.min("vec_id").alias("rep"), F.count("*").alias("m"), F.first("label").alias("label"), F.first("e").alias("e"))
-    kind = vectors.schema[vec_id].dataType.simpleString()
+    classes = rows.where("fine").groupBy("cls").agg(F.min("vec_id").alias("id"), F.count("*").alias("m"), F.first("label").alias("label"), F.first("e").alias("e"))
+    kind = "bigint"  # a class goes by cls, as several may share an id
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -105,7 +105,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93, tables: int = T
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(size.astype(np.int32)), pa.array(units, pa.binary()), pa.array([k.tobytes() for k in keys], pa.binary()), pa.ListArray.from_arrays(pa.array((np.arange(len(keys) + 1) * tables).astype(np.int32)), pa.array(keys.reshape(-1)))], ["rep", "m", "label", "dim", "unit", "keys", "list"])
 
     tag = vectors.schema[label].dataType.simpleString()
-    units = materialise(classes.select("rep", "m", "label", "e").mapInArrow(hashed, f"rep {kind}, m bigint, label {tag}, dim int, unit binary, keys binary, list array<int>"))
+    units = materialise(classes.select(F.col("cls").alias("rep"), "m", "label", "e").mapInArrow(hashed, f"rep {kind}, m bigint, label {tag}, dim int, unit binary, keys binary, list array<int>"))
     spots = units.select("rep", F.xxhash64("label", "dim").alias("block"), F.posexplode("list").alias("t", "key")).select("rep", F.xxhash64("block", "t", "key").alias("b"), "t")
     full = spots.groupBy("b").agg(F.count("*").alias("g")).where("g > 1").select("b", F.ceil(F.col("g") / chunk).cast("int").alias("parts"))
     dealt = spots.join(full, "b").withColumn("c", F.pmod(F.xxhash64("rep", F.lit(3)), F.col("parts")).cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
@@ -140,8 +140,9 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93, tables: int = T
     met = materialise(met)
     links = met.groupBy("rep").agg(F.sum("n").alias("n"))
     joined = components(met, "rep", "root")
-    by_class = classes.select("cls", "rep", "m").join(links, "rep", "left").join(joined.withColumnRenamed("id", "rep"), "rep", "left")
-    by_class = by_class.select("cls", (F.col("m") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
+    by_class = classes.select("cls", "id", "m").join(links.withColumnRenamed("rep", "cls"), "cls", "left").join(joined.withColumnRenamed("id", "cls"), "cls", "left").withColumn("comp", F.coalesce("component", "cls"))
+    named = by_class.groupBy("comp").agg(F.min("id").alias("component_id"))
+    by_class = by_class.join(named, "comp").select("cls", (F.col("m") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"), "component_id")
     out = rows.select("vec_id", "cls").join(by_class, "cls", "left")
     own = F.coalesce("component_id", "vec_id")
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), own.alias("component_id"), F.coalesce(F.col("vec_id") == own, F.lit(False)).alias("kept"))
