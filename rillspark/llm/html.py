@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 from html import unescape
@@ -26,6 +27,10 @@ _RATIOS = 8
 SIZE = PATH + WORDS + _RATIOS
 #: Pages labelled at once.
 BATCH = 64
+#: Blocks, padding counted, that are labelled at once, unless one page alone has more.
+BATCH_BLOCKS = 1 << 14
+#: Nearest elements around a block that its path holds.
+DEPTH = 64
 
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^"'>])*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?][^>]*>""", re.S)
 _NAMES = re.compile(r"""(?:^|\s)(class|id|role|itemprop)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
@@ -33,11 +38,13 @@ _GONE = re.compile(r"""(?:^|\s)hidden(?:\s|=|$)|display\s*:\s*none|aria-hidden\s
 _PART = re.compile(r"[a-z]+|[0-9]+")
 # fixed values of HTML: elements without content, with raw content, and that break a line of text
 _VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-_RAW = set("script style textarea title noscript template iframe noframes xmp svg math canvas object".split())
+_RAW = set("script style textarea title iframe noframes noembed xmp".split())
+# elements whose text is not shown as text of the page
+_UNSEEN = set("template svg canvas object".split())
 _BLOCK = set(
     "address article aside blockquote body button center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre search section select summary table tbody td tfoot th thead tr ul".split()
 )
-_CLOSED_BY = {"p": _BLOCK - {"button"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "tbody", "tfoot"}, "td": {"td", "th", "tr", "tbody", "tfoot"}, "th": {"td", "th", "tr", "tbody", "tfoot"}, "option": {"option", "optgroup"}, "head": {"body"}}
+_CLOSED_BY = {"p": _BLOCK - {"button"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "tbody", "tfoot"}, "td": {"td", "th", "tr", "tbody", "tfoot"}, "th": {"td", "th", "tr", "tbody", "tfoot"}, "option": {"option", "optgroup"}, "head": _BLOCK - {"head"}}
 
 
 class Block:
@@ -61,21 +68,22 @@ def blocks(html: str) -> list[Block]:
     pieces: list[str] = []
     ink = [0, 0]  # characters of the block, and of those inside links
     at, n = 0, len(html)
+    unseen = any(f"<{t}" in html.lower() for t in _UNSEEN)
 
     def close() -> None:
         text = " ".join("".join(pieces).split())
-        if text:
-            out.append(Block(tuple(stack), text, ink[1] / max(1, ink[0])))
+        if text and not any(s[0] == "head" for s in stack[:4]):
+            out.append(Block(tuple(stack[-DEPTH:]), text, ink[1] / max(1, ink[0])))
         pieces.clear()
         ink[0] = ink[1] = 0
 
     def add(raw: str) -> None:
-        if raw:
+        if raw and not (unseen and any(s[0] in _UNSEEN for s in stack)):
             t = unescape(raw) if "&" in raw else raw
             pieces.append(t)
             k = len(t) - t.count(" ")
             ink[0] += k
-            if any(s[0] == "a" for s in stack):
+            if any(s[0] == "a" for s in stack[-DEPTH:]):
                 ink[1] += k
 
     while at < n:
@@ -117,7 +125,7 @@ def blocks(html: str) -> list[Block]:
         if tag not in _VOID:
             stack.append((tag, _names(attrs)))
     close()
-    return [b for b in out if not any(t == "head" for t, _ in b.path)]
+    return out
 
 
 @lru_cache(maxsize=1 << 16)
@@ -140,11 +148,11 @@ def vectors(page: list[Block]) -> np.ndarray:
             k, s = _spot("leaf " + b.path[-1][0], PATH)
             row[k] += s
         words = b.text.lower().split()
-        for word in words[:64]:  # the vector only; the text is kept whole
+        for word, times in Counter(words).items():
             k, s = _spot(word, WORDS)
-            row[PATH + k] += s / min(len(words), 64) ** 0.5 * 0.2
+            row[PATH + k] += times * s / len(words) ** 0.5 * 0.2
         t = b.text
-        row[PATH + WORDS :] = (np.log1p(len(t)) / 4, b.linked, t[-1] in ".!?\"'…", np.log1p(len(words)) / 3, sum(c.isdigit() for c in t[:400]) / min(len(t), 400), i / len(page), np.log1p(i) / 3, 1.0)
+        row[PATH + WORDS :] = (np.log1p(len(t)) / 4, b.linked, t[-1] in ".!?\"'…", np.log1p(len(words)) / 3, sum(c.isdigit() for c in t) / len(t), i / len(page), np.log1p(i) / 3, 1.0)
     return x
 
 
@@ -240,8 +248,10 @@ class Labeller:
         """For each page, which of its blocks are main text."""
         out: list[np.ndarray] = [np.zeros(0, bool)] * len(pages)
         by = np.argsort([len(p) for p in pages], kind="stable")
-        for s in range(0, len(by), BATCH):
-            own = [k for k in by[s : s + BATCH] if len(pages[k])]
+        by = [k for k in by if len(pages[k])]
+        while by:
+            take = max(1, min(BATCH, BATCH_BLOCKS // len(pages[by[-1]])))
+            own, by = by[-take:], by[:-take]
             if own:
                 p, _ = self.forward(*padded([pages[k] for k in own]))
                 for j, k in enumerate(own):
