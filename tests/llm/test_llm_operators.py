@@ -230,6 +230,41 @@ def test_embedding_dedup_against_brute_force(spark):
     assert embedding.near_duplicates(d.where("false")).count() == 0
 
 
+def test_embedding_dedup_keeps_rows_that_share_an_id_apart(spark):
+    rows = [(1, [1.0, 0.0, 0.0], 0), (1, [0.0, 1.0, 0.0], 0), (2, [1.0, 0.001, 0.0], 0), (3, [0.0, 1.0, 0.001], 0)]
+    got = sorted((r.vec_id, r.n_links, r.component_id) for r in embedding.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect())
+    assert got == [(1, 1, 1), (1, 1, 1), (2, 1, 1), (3, 1, 1)]
+
+
+def test_jaccard_join_of_null_and_repeated_ids(spark):
+    a, b, c = "a b c d e f g h", "r s t u v w x y", "k l m n o p q z"
+    rows = [(1, a), (1, b), (5, b), (None, a), (None, c), (None, c), (7, None), (7, None)]
+    d = spark.createDataFrame(rows, "doc_id long, text string").withColumn("_row", F.lit(1)).withColumn("_gone", F.lit(2)).withColumn("cid", F.lit(3))
+    got = sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in jaccard.link_classes(d).collect())
+    assert got == sorted([("1", 4, "1"), ("1", 4, "1"), ("5", 4, "1"), ("None", 4, "1"), ("None", 4, "None"), ("None", 4, "None"), ("7", 0, "7"), ("7", 0, "7")])
+    left = jaccard.one_of_each(d)
+    assert left.columns == d.columns
+    assert sorted((str(r.doc_id), r.text) for r in left.collect()) == sorted([("1", a), ("1", b), ("None", c), ("7", None)], key=str)
+
+
+def test_stages_take_clashing_columns(spark, docs, labels):
+    named = ["_row", "_letters", "_copy", "_times", "_finish", "row", "key"]
+    d = docs.drop("row", "key").withColumns({c: F.lit(5) for c in named})
+    for out in (language.keep_identified(d), kneserney.keep_good(d, labels), mixing.mixed(d)):
+        assert out.columns == d.columns and {tuple(r[c] for c in named) for r in out.collect()} == {(5,) * len(named)}
+
+
+def test_quality_rules_reject_junk_by_the_ratio(spark):
+    g = random.Random(2)
+    words = ["alpha", "beta", "gamma", "delta", "omega", "sigma", "kappa"]
+    junk = [f"{x}{y}" for x in "qxz" for y in ("wv", "jk", "pf", "gh", "tr")]
+    rows = [(i, " ".join(g.choice(junk if i % 10 == 0 else words) + str(g.randrange(40)) for _ in range(120))) for i in range(300)]
+    marks = [(i, int(i % 10 > 0), 0) for i in range(0, 300, 2)]
+    got = rules.judge(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(marks, LABELS), buckets=1 << 12).collect()
+    assert not any(r.base_failed for r in got)
+    assert [r.doc_id for r in got if not r.kept and r.doc_id % 10] == [] and [r.doc_id for r in got if r.kept and r.doc_id % 10 == 0] == []
+
+
 def test_token_automaton_against_greedy(spark, docs):
     pieces = [b" ", b" a", b" ab", b" abc", b"a", b"b", b"bc", b"bcd", b"cd", b"c", b"abcx", b" the", b"the", b"e", b"h"]
     auto = tokens.Automaton(pieces)
@@ -260,6 +295,20 @@ def test_html_blocks():
     assert html.blocks("") == [] and html.blocks("plain & simple <") != [] and html.blocks("<p") is not None
 
 
+def test_html_keeps_what_is_shown():
+    def texts(page):
+        return [b.text for b in html.blocks(page)]
+
+    assert texts("<body><p>Let <math><mi>x</mi></math> be</p><svg><g><svg></svg></g><text>no</text></svg><p>two</p>") == ["Let x be", "two"]
+    assert texts("<body><div><noscript><p>one</div><p>two</p>") == ["one", "two"]
+    assert texts("<head><title>T</title><p>One<p>two") == ["One", "two"]
+    deep = html.blocks("".join(f"<div>w{k}" for k in range(3000)))
+    assert len(deep) == 3000 and html.vectors(deep).shape == (3000, html.SIZE)
+    long = " ".join(f"w{k}" for k in range(300))
+    a, b = (html.vectors(html.blocks(f"<p>{long} {x}</p>")) for x in ("alpha", "omega"))
+    assert (a != b).any()
+
+
 def test_html_extraction_held_out(spark):
     model = html.trained()
     g = np.random.default_rng(99)
