@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -52,8 +54,13 @@ def unused(df: DataFrame, stem: str) -> str:
 
 
 def release(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files of frames that are gone; it does so when the driver collects garbage."""
+    """Let Spark delete the shuffle files of frames that are gone.
+
+    It does so when the driver's JVM collects garbage, which holds what Python still refers to, and in a thread of its
+    own, which gets a second before the next shuffle is written."""
+    gc.collect()
     spark.sparkContext._jvm.System.gc()
+    time.sleep(1)
 
 
 def fold(column: str | Column) -> Column:
