@@ -88,7 +88,13 @@ def _draw(family: str, theta: float, m: int, dims: int, g: np.random.Generator)
     if family == "frank":
         if abs(theta) < 1e-8:
             return g.uniform(size=(m, dims))
-        s = g.logseries(1 - np.exp(-theta), size=m) if theta > 0 else np.ones(m)
+        if theta < 0:  # no frailty exists; two variables follow by the inverse of the conditional distribution
+            if dims != 2:
+                raise ValueError("a negative Frank parameter needs two variables")
+            u, p = g.uniform(size=(2, m))
+            v = -np.log1p(p * np.expm1(-theta) / (p + (1 - p) * np.exp(-theta * u))) / theta
+            return np.stack([u, v], axis=1)
+        s = g.logseries(1 - np.exp(-theta), size=m)
         return -np.log1p(-(1 - np.exp(-theta)) * np.exp(-e / s[:, None])) / theta
     if family == "gaussian":
         from statistics import NormalDist

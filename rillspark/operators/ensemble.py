@@ -57,28 +57,29 @@ def pixel_return_period(df: DataFrame, rate: float, periods: tuple = PERIODS, ke
     return r.where(F.col("i") == at).select(key, "period", "depth")
 
 
-def _texture(a: str, b: str, c: str) -> list[tuple[int, str]]:
-    """The USDA triangle over sand a, silt b and clay c: classes in rising order; a later one wins where two hold."""
-    return [
-        (1, f"{c} >= 40 AND {a} <= 45 AND {b} < 40"),
-        (2, f"{c} >= 27 AND {c} < 40 AND {a} > 20 AND {a} <= 45"),
-        (3, f"{c} >= 7 AND {c} < 27 AND {b} >= 28 AND {b} < 50 AND {a} <= 52"),
-        (4, f"({b} + 1.5 * {c} >= 15) AND ({b} + 2 * {c} < 30)"),
-        (5, f"{b} + 1.5 * {c} < 15"),
-        (6, f"{c} >= 35 AND {a} > 45"),
-        (7, f"{c} >= 20 AND {c} < 35 AND {b} < 28 AND {a} > 45"),
-        (8, f"({c} >= 7 AND {c} < 20 AND {a} > 52 AND {b} + 2 * {c} >= 30) OR ({c} < 7 AND {b} < 50 AND {b} + 2 * {c} >= 30)"),
-        (9, f"{b} >= 80 AND {c} < 12"),
-        (10, f"{c} >= 40 AND {b} >= 40"),
-        (11, f"{c} >= 27 AND {c} < 40 AND {a} <= 20"),
-        (12, f"({b} >= 50 AND {c} >= 12 AND {c} < 27) OR ({b} >= 50 AND {b} < 80 AND {c} < 12)"),
-    ]
+# fixed values: the published USDA triangle, shares in per cent, from coarse to fine; the number is the class code
+TEXTURES = [
+    ("sand", 5, "silt + 1.5 * clay < 15"),
+    ("loamy sand", 4, "silt + 1.5 * clay >= 15 AND silt + 2 * clay < 30"),
+    ("sandy loam", 8, "silt + 2 * clay >= 30 AND (clay < 7 AND silt < 50 OR clay >= 7 AND clay < 20 AND sand > 52)"),
+    ("loam", 3, "clay >= 7 AND clay < 27 AND silt >= 28 AND silt < 50 AND sand <= 52"),
+    ("silt loam", 12, "silt >= 50 AND (clay >= 12 AND clay < 27 OR clay < 12 AND silt < 80)"),
+    ("silt", 9, "silt >= 80 AND clay < 12"),
+    ("sandy clay loam", 7, "clay >= 20 AND clay < 35 AND silt < 28 AND sand > 45"),
+    ("clay loam", 2, "clay >= 27 AND clay < 40 AND sand > 20 AND sand <= 45"),
+    ("silty clay loam", 11, "clay >= 27 AND clay < 40 AND sand <= 20"),
+    ("sandy clay", 6, "clay >= 35 AND sand > 45"),
+    ("silty clay", 10, "clay >= 40 AND silt >= 40"),
+    ("clay", 1, "clay >= 40 AND sand <= 45 AND silt < 40"),
+]
 
 
 def texture_sql() -> str:
-    """The class as a CASE: no data first, then the last class that holds, else 0."""
-    whens = " ".join(f"WHEN {cond} THEN {k}" for k, cond in reversed(_texture("sand", "silt", "clay")))
-    return f"CASE WHEN sand = 255 OR silt = 255 OR clay = 255 THEN 0 {whens} ELSE 0 END"
+    """The class code of sand, silt and clay: 0 without data (255), else the greatest code whose condition holds, else 0.
+
+    Shares that add up to 100 meet one condition; others may meet several."""
+    codes = ", ".join(f"CASE WHEN {condition} THEN {code} ELSE 0 END" for _, code, condition in TEXTURES)
+    return f"CASE WHEN sand = 255 OR silt = 255 OR clay = 255 THEN 0 ELSE greatest({codes}) END"
 
 
 def soil_texture(df: DataFrame) -> DataFrame:

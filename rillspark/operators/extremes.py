@@ -137,18 +137,36 @@ def simplex(f, start: np.ndarray, rounds: int = 600) -> tuple[np.ndarray, float]
     return pts[k], val[k]
 
 
+def _l_ratios(x: np.ndarray) -> tuple[float, float, float]:
+    """Mean, L-scale and L-skewness of a sample."""
+    v = np.sort(x)
+    n, i = len(v), np.arange(len(v))
+    b0, b1, b2 = v.mean(), (i * v).sum() / (n * (n - 1)), (i * (i - 1) * v).sum() / (n * (n - 1) * max(n - 2, 1))
+    l2 = 2 * b1 - b0
+    return float(b0), float(l2), float((6 * b2 - 6 * b1 + b0) / l2) if l2 > 0 else 0.0
+
+
+def _shapes(first: float) -> list[float]:
+    """Starting shapes around an estimate by L-moments, and the one without a tail."""
+    first = float(np.clip(first, -0.45, 0.45))
+    return [0.0, first, first - 0.15, first + 0.15]
+
+
 def gev_mle_of(x: np.ndarray) -> tuple[float, float, float, float]:
     """(mu, sigma, xi, negative log-likelihood) with the best of several starting shapes."""
     s = max(float(np.std(x)) * 6**0.5 / np.pi, 1e-9)
     m = float(np.mean(x)) - 0.5772 * s
-    best = min((simplex(lambda p: _gev_nll(np.array([p[0] * s + m, p[1] + np.log(s), p[2]]), x), np.array([0.0, 0.0, xi])) for xi in (0.0, 0.1, -0.1, 0.2, -0.2)), key=lambda r: r[1])
+    c = 2 / (3 + _l_ratios(x)[2]) - np.log(2) / np.log(3)
+    xi0 = -(7.859 * c + 2.9554 * c * c)
+    best = min((simplex(lambda p: _gev_nll(np.array([p[0] * s + m, p[1] + np.log(s), p[2]]), x), np.array([0.0, 0.0, xi])) for xi in _shapes(xi0)), key=lambda r: r[1])
     p = best[0]
     return p[0] * s + m, float(np.exp(p[1]) * s), float(p[2]), best[1]
 
 
 def gpd_mle_of(x: np.ndarray) -> tuple[float, float, float]:
     s = max(float(np.mean(x)), 1e-9)
-    best = min((simplex(lambda p: _gpd_nll(np.array([p[0] + np.log(s), p[1]]), x), np.array([0.0, xi])) for xi in (0.01, 0.1, -0.1, 0.3, -0.3)), key=lambda r: r[1])
+    l1, l2, _ = _l_ratios(x)
+    best = min((simplex(lambda p: _gpd_nll(np.array([p[0] + np.log(s), p[1]]), x), np.array([0.0, xi or 0.01])) for xi in _shapes(2 - l1 / l2 if l2 > 0 else 0.0)), key=lambda r: r[1])
     return float(np.exp(best[0][0]) * s), float(best[0][1]), best[1]
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import distributions as dist
-from ..operators import bias, copulas, design, ensemble, events, extremes, fields, hydrology, regional, skill, spatial
+from ..operators import bias, copulas, design, ensemble, events, extremes, fields, hydrology, regional, series, skill, spatial
 from ..sources import parsers
 from ..sources import tables as t
 
@@ -722,3 +722,45 @@ def _(s, d):
 def _(s, d):
     a = ensemble.spatial_stats(t.raster(s, d)).select("cell", "mean")
     return rounded(fields.regimes(a, "mean"), 5)
+
+
+# preparation of series
+
+
+@query("common_period", ", w AS (SELECT * FROM series WHERE value > 0), k AS (SELECT max(a) AS a, min(b) AS b FROM (SELECT min(ts) AS a, max(ts) AS b FROM w GROUP BY series_id)) SELECT w.series_id, w.ts::TIMESTAMP AS ts, w.value FROM w, k WHERE w.ts BETWEEN k.a AND k.b", D)
+def _(s, d):
+    return series.common_period(t.daily(s, d).where("value > 0"))
+
+
+@query("standardised_mean", ", m AS (SELECT series_id, avg(value) AS m, stddev_samp(value) AS s FROM series GROUP BY series_id) SELECT ts::TIMESTAMP AS ts, round(avg((value - m) / s), 6) AS z, count(*) AS n FROM series JOIN m USING (series_id) WHERE s > 0 GROUP BY ts", D)
+def _(s, d):
+    return rounded(series.standardised_mean(t.daily(s, d)), 6)
+
+
+@query("complete_maxima", "SELECT series_id, year(ts)::INT AS year, max(value) AS value FROM series WHERE value > 0 GROUP BY ALL HAVING count(*) >= 240", D)
+def _(s, d):
+    return series.complete_maxima(t.daily(s, d).where("value > 0"), 240)
+
+
+@query(
+    "last_duplicate_monthly_mean",
+    "WITH l AS (SELECT event_type AS series_id, date_trunc('hour', ts) AS ts, arg_max(value, event_id) AS value FROM events GROUP BY ALL) SELECT series_id, date_trunc('month', ts)::DATE AS month, round(avg(value), 6) AS value FROM l GROUP BY ALL",
+)
+def _(s, d):
+    e = t.read(s, d, "events").select(F.col("event_type").alias("series_id"), F.date_trunc("hour", "ts").alias("ts"), "value", "event_id")
+    return rounded(series.monthly_mean(series.last_of_each(e, "event_id")), 6)
+
+
+@query(
+    "carried_forward",
+    ", w AS (SELECT * FROM series WHERE value > 0) SELECT s.series_id, s.ts::TIMESTAMP AS ts, w.value FROM series s ASOF LEFT JOIN w ON s.series_id = w.series_id AND s.ts >= w.ts",
+    D,
+)
+def _(s, d):
+    x = t.daily(s, d)
+    return series.carried_forward(x.where("value > 0"), x.select("series_id", "ts"))
+
+
+@query("depth_variation", "SELECT cell, round(stddev_pop(depth) / nullif(avg(depth), 0), 6) AS cv FROM raster GROUP BY cell", R)
+def _(s, d):
+    return rounded(series.variation(t.raster(s, d), "cell", "depth"), 6)

@@ -229,3 +229,10 @@ def test_station_tables(spark):
     s = spark.createDataFrame([("a", k, k + 0.5) for k in range(12)], "series_id string, pos int, value double")
     t = {r.line: r.text for r in parsers.block_lines(s).collect()}
     assert len(t[0]) == 80 and t[1] == "   10.50   11.50"
+
+
+def test_frank_samples_of_negative_dependence(spark):
+    from rillspark.operators import copulas
+
+    u = np.array([r.u for r in copulas.sample(spark, "frank", -5.0, 4000).collect()])
+    assert abs(u.mean(0) - 0.5).max() < 0.03 and np.corrcoef(u.T)[0, 1] < -0.5
