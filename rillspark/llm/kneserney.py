@@ -52,7 +52,7 @@ SHRINK = 20.0
 #: log2 of the bits of the bitmap of known bigrams.
 KNOWN_BITS = 26
 #: Rounds of the scoring join, a power of two.
-ROUNDS = 2
+ROUNDS = 4
 
 
 def _codes(col: pa.Array, keys: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
