@@ -6,22 +6,25 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def monthly_delta(raw: DataFrame, hist: DataFrame, future: DataFrame, precipitation: bool = False) -> DataFrame:
+def monthly_delta(raw: DataFrame, hist: DataFrame, future: DataFrame, precipitation: bool = False, by: tuple[str, ...] = ()) -> DataFrame:
     """raw, changed by the calendar months' difference (or, for precipitation, ratio of totals) of future to hist and
-    shifted by whole years. (ts, value)"""
+    shifted by whole years. (*by, ts, value), each series of by for itself; months that one side lacks are left out."""
     fold = F.sum if precipitation else F.avg
 
     def climate(df: DataFrame, name: str) -> DataFrame:
-        months = df.groupBy(F.year("ts").alias("y"), F.month("ts").alias("m")).agg(fold("value").alias("v"))
-        return months.groupBy("m").agg(F.avg("v").alias(name))
+        months = df.groupBy(*by, F.year("ts").alias("y"), F.month("ts").alias("m")).agg(fold("value").alias("v"))
+        return months.groupBy(*by, "m").agg(F.avg("v").alias(name))
 
-    change = climate(hist, "h").join(climate(future, "f"), "m")  # twelve rows
+    def beside(a: DataFrame, b: DataFrame) -> DataFrame:
+        return a.join(b, list(by)) if by else a.join(F.broadcast(b))  # one row
+
+    change = climate(hist, "h").join(climate(future, "f"), [*by, "m"])  # twelve rows a series
     factor = F.try_divide("f", "h") if precipitation else F.col("f") - F.col("h")
-    years = future.agg(F.min(F.year("ts")).alias("fy")).join(F.broadcast(raw.agg(F.min(F.year("ts")).alias("ry"))))
-    out = raw.withColumn("m", F.month("ts")).join(F.broadcast(change.select("m", factor.alias("factor"))), "m").join(F.broadcast(years))
+    years = beside(future.groupBy(*by).agg(F.min(F.year("ts")).alias("fy")), raw.groupBy(*by).agg(F.min(F.year("ts")).alias("ry")))
+    out = beside(raw.withColumn("m", F.month("ts")).join(change.select(*by, "m", factor.alias("factor")), [*by, "m"]), years)
     value = F.col("value") * F.col("factor") if precipitation else F.col("value") + F.col("factor")
     moved = F.expr("ts + make_ym_interval(CAST(fy - ry AS INT), 0)")
-    return out.select(moved.alias("ts"), value.alias("value"))
+    return out.select(*by, moved.alias("ts"), value.alias("value"))
 
 
 def quantile_mapping(obs: DataFrame, mod: DataFrame, sce: DataFrame, multiplicative: bool = False) -> DataFrame:

@@ -23,25 +23,43 @@ def standardize(df: DataFrame, reference: DataFrame | None = None) -> DataFrame:
 
 
 def _d2(point: list[float]) -> Column:
-    return F.aggregate(F.zip_with("features", F.array(*map(F.lit, point)), lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x)
+    at = F.expr("array(" + ",".join(f"double('{float(v)!r}')" for v in point) + ")")  # one expression, as points are long
+    return F.aggregate(F.zip_with("features", at, lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x)
 
 
-def maxdiss(df: DataFrame, k: int) -> list:
+def _kept(df: DataFrame) -> DataFrame:
+    """df in the session's shared checkpoint folder without its lineage; df itself where spark.checkpoint.dir is unset."""
+    sc = df.sparkSession.sparkContext
+    folder = sc.getConf().get("spark.checkpoint.dir")
+    if sc._jsc.sc().getCheckpointDir().isEmpty():
+        if not folder:
+            return df
+        sc.setCheckpointDir(folder)
+    return df.checkpoint()
+
+
+def maxdiss(df: DataFrame, k: int, every: int = 8) -> list:
     """The ids of k rows in greedy order: the largest norm first, then the farthest from all chosen; smaller id on ties.
 
-    Each step is one aggregation that brings one row to the driver; distances to all chosen rows are one expression
-    over a literal, so lineage does not grow."""
+    Each step is one aggregation that brings one row to the driver. Rows carry their least distance to what is chosen,
+    which is written anew every few steps, so a step's expression holds at most that many points."""
     best = lambda d: d.agg(F.expr("min_by(struct(row_id, features), struct(-score, row_id))").alias("b")).first()["b"]
-    first = best(df.select("row_id", "features", _d2([0.0] * len(df.select("features").first()[0])).alias("score")))
-    chosen = [first]
+    held = _kept(df.select("row_id", "features"))
+    first = best(held.withColumn("score", _d2([0.0] * len(held.select("features").first()[0]))))
+    chosen, recent = [first["row_id"]], [first]
+    held = held.withColumn("score", F.lit(float("inf")))
     while len(chosen) < k:
-        score = F.least(*(_d2(list(c["features"])) for c in chosen)) if len(chosen) > 1 else _d2(list(chosen[0]["features"]))
-        rest = df.where(~F.col("row_id").isin([c["row_id"] for c in chosen])).select("row_id", "features", score.alias("score"))
+        rest = held.where(~F.col("row_id").isin([c["row_id"] for c in recent]))
+        rest = rest.select("row_id", "features", F.least("score", *(_d2(list(c["features"])) for c in recent)).alias("score"))
+        if len(recent) == every:
+            rest = held = _kept(rest)
+            recent = []
         nxt = best(rest)
         if nxt is None:
             break
-        chosen.append(nxt)
-    return [c["row_id"] for c in chosen]
+        chosen.append(nxt["row_id"])
+        recent.append(nxt)
+    return chosen
 
 
 def design_weights(df: DataFrame, chosen: list) -> DataFrame:
@@ -144,7 +162,7 @@ def propagate(df: DataFrame, simulate: Callable[[np.ndarray], np.ndarray], n_max
     (on the rest of the design) or to draw the remaining runs at random."""
     if n_max > MOST_RUNS:
         raise ValueError(f"at most {MOST_RUNS} runs")
-    z = standardize(df)
+    z = _kept(standardize(df))
     n_pilot = min(30, n_max // 2)
     order = maxdiss(z, n_pilot)
     rows = {r.row_id: list(r.features) for r in z.where(F.col("row_id").isin(order)).collect()}

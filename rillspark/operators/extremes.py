@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from zlib import crc32
 
 import numpy as np
 import pandas as pd
@@ -194,17 +195,22 @@ def gpd_mle(excesses: DataFrame, group: str = "series_id") -> DataFrame:
     return excesses.select(group, "value").groupBy(group).applyInPandas(fit, f"`{group}` string, scale double, shape double, nll double, n long")
 
 
+def _name_seed(name) -> int:
+    """A seed of a group's name, so that groups draw independently."""
+    return crc32(str(name).encode())
+
+
 def return_level_ci(df: DataFrame, period: float, draws: int = 500, seed: int = 0, group: str = "series_id") -> DataFrame:
-    """(group, point, lower, upper): bootstrap interval of the L-moment GEV level. Each draw is a row with a seed of its
-    own, so the result does not depend on partitions."""
+    """(group, median, lower, upper): bootstrap interval of the L-moment GEV level. Each draw is a row, seeded by its number
+    and its group, so the result does not depend on partitions and groups are independent."""
 
     def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             out = []
             for name, values, k in b.itertuples(index=False):
                 v = np.sort(np.asarray(values, float))
-                g = np.random.Generator(np.random.PCG64([seed, k, len(v)]))
-                s = v if k < 0 else np.sort(g.choice(v, len(v)))
+                g = np.random.Generator(np.random.PCG64([seed, k, _name_seed(name)]))
+                s = np.sort(g.choice(v, len(v)))
                 out.append((name, k, _lmom_level(s, period)))
             yield pd.DataFrame(out, columns=[group, "draw", "level"])
 
@@ -231,34 +237,36 @@ def _lmom_level(v: np.ndarray, period: float) -> float:
 FAMILIES = ("gev", "gumbel", "lognormal", "gamma", "exponential", "normal", "weibull")
 
 
-def _marginal(name: str, x: np.ndarray) -> tuple[float, int]:
-    """Negative log-likelihood at the fit, and the number of parameters."""
+def marginal_fit(name: str, x: np.ndarray) -> tuple[float, int, tuple[float, float, float]]:
+    """Negative log-likelihood at the fit, the number of parameters, and (a, b, c) as functions.marginals has them."""
     from math import lgamma
 
     from ..functions import special
 
-    n = len(x)
+    n, none = len(x), (0.0, 0.0, 0.0)
     if name == "gev":
-        return gev_mle_of(x)[3], 3
+        mu, s, xi, nll = gev_mle_of(x)
+        return nll, 3, (float(mu), float(s), float(xi))
     if name == "gumbel":
         s = max(float(np.std(x)) * 6**0.5 / np.pi, 1e-9)
-        return simplex(lambda p: _gev_nll(np.array([p[0], p[1], 0.0]), x), np.array([float(np.mean(x)) - 0.5772 * s, np.log(s)]))[1], 2
+        p, nll = simplex(lambda p: _gev_nll(np.array([p[0], p[1], 0.0]), x), np.array([float(np.mean(x)) - 0.5772 * s, np.log(s)]))
+        return nll, 2, (float(p[0]), float(np.exp(p[1])), 0.0)
     if name == "normal":
         s = max(float(np.std(x)), 1e-12)
-        return n / 2 * np.log(2 * np.pi * s * s) + n / 2, 2
+        return n / 2 * np.log(2 * np.pi * s * s) + n / 2, 2, (float(np.mean(x)), s, 0.0)
     if (x <= 0).any():
-        return float("inf"), 2
+        return float("inf"), 2, none
     if name == "lognormal":
         y = np.log(x)
         s = max(float(np.std(y)), 1e-12)
-        return float(n / 2 * np.log(2 * np.pi * s * s) + n / 2 + y.sum()), 2
+        return float(n / 2 * np.log(2 * np.pi * s * s) + n / 2 + y.sum()), 2, (float(y.mean()), s, 0.0)
     if name == "gamma":
         k, s = special.gamma_mle(x)
-        return float(n * (lgamma(k) + k * np.log(s)) - (k - 1) * np.log(x).sum() + x.sum() / s), 2
+        return float(n * (lgamma(k) + k * np.log(s)) - (k - 1) * np.log(x).sum() + x.sum() / s), 2, (float(k), float(s), 0.0)
     if name == "exponential":
-        return float(n * np.log(x.mean()) + n), 1
-    p = simplex(lambda p: float(-n * p[0] + n * np.exp(p[0]) * p[1] - (np.exp(p[0]) - 1) * np.log(x).sum() + ((x / np.exp(p[1])) ** np.exp(p[0])).sum()) if abs(p[0]) < 5 and abs(p[1]) < 60 else 1e300, np.array([0.0, np.log(x.mean())]))
-    return p[1], 2
+        return float(n * np.log(x.mean()) + n), 1, (float(x.mean()), 0.0, 0.0)
+    p, nll = simplex(lambda p: float(-n * p[0] + n * np.exp(p[0]) * p[1] - (np.exp(p[0]) - 1) * np.log(x).sum() + ((x / np.exp(p[1])) ** np.exp(p[0])).sum()) if abs(p[0]) < 5 and abs(p[1]) < 60 else 1e300, np.array([0.0, np.log(x.mean())]))
+    return nll, 2, (float(np.exp(p[0])), float(np.exp(p[1])), 0.0)
 
 
 def best_marginal(df: DataFrame, families: tuple[str, ...] = FAMILIES, group: str = "series_id") -> DataFrame:
@@ -273,7 +281,7 @@ def best_marginal(df: DataFrame, families: tuple[str, ...] = FAMILIES, group: st
             return pd.DataFrame(columns=[group, "family", "bic"])
         rows = []
         for f in families:
-            nll, k = _marginal(f, v)
+            nll, k, _ = marginal_fit(f, v)
             if np.isfinite(nll) and nll < 1e299:
                 rows.append((2 * nll + k * np.log(len(v)), f))
         bic, name = min(rows)
@@ -307,7 +315,7 @@ def gev_fisher(df: DataFrame, draws: int = 200, seed: int = 0, group: str = "ser
         h = _hessian(lambda q: _gev_nll(np.array([q[0], np.log(max(q[1], 1e-12)), q[2]]), v), p)
         w, b = np.linalg.eigh(np.nan_to_num((h + h.T) / 2, nan=1.0, posinf=1e12, neginf=-1e12))
         root = b / np.sqrt(np.maximum(w, np.max(np.abs(w)) * 1e-12))
-        g = np.random.Generator(np.random.PCG64([seed, len(v)]))
+        g = np.random.Generator(np.random.PCG64([seed, _name_seed(x[group].iloc[0])]))
         d = p + g.standard_normal((draws, 3)) @ root.T
         keep = d[:, 1] > 0
         return pd.DataFrame({group: x[group].iloc[0], "draw": np.flatnonzero(keep), "mu": d[keep, 0], "sigma": d[keep, 1], "xi": d[keep, 2]})
@@ -327,7 +335,7 @@ def gev_mcmc(df: DataFrame, draws: int = 1000, warmup: int = 500, shape_sd: floa
         f = lambda p: -_gev_nll(p, v) - 0.5 * (p[2] / shape_sd) ** 2
         p = np.array([mu, np.log(s), xi])
         step = np.array([s, 1.0, 0.7]) / len(v) ** 0.5
-        g = np.random.Generator(np.random.PCG64([seed, len(v)]))
+        g = np.random.Generator(np.random.PCG64([seed, _name_seed(x[group].iloc[0])]))
         at, out = f(p), []
         for k in range(draws + warmup):
             q = p + step * g.standard_normal(3)

@@ -9,15 +9,38 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: Stations that one system of equations may hold.
+#: Places that one system of equations may hold; with more, each cell has a system of its nearest ones.
 MOST_STATIONS = 2000
+#: Places in such a neighbourhood.
+NEIGHBOURS = 64
 
 
-def _bounded(stations: DataFrame) -> pd.DataFrame:
-    rows = stations.where("value IS NOT NULL").select("x", "y", "value").orderBy("x", "y", "value").limit(MOST_STATIONS + 1).toPandas()
-    if len(rows) > MOST_STATIONS:
-        raise ValueError(f"more than {MOST_STATIONS} stations: deal them into regions first")
-    return rows.groupby(["x", "y"], as_index=False)["value"].mean()
+def _places(stations: DataFrame) -> DataFrame:
+    """(x, y, value): the mean of the values at each place."""
+    return stations.where("value IS NOT NULL").groupBy("x", "y").agg(F.avg("value").alias("value"))
+
+
+def _some(places: DataFrame, most: int) -> tuple[pd.DataFrame, bool]:
+    """All places if they are at most most, else that many, the same on every run; and whether these are all."""
+    rows = places.orderBy(F.xxhash64("x", "y"), "x", "y").limit(most + 1).toPandas()
+    return rows.iloc[:most].sort_values(["x", "y"], ignore_index=True), len(rows) <= most
+
+
+def _neighbourhoods(cells: DataFrame, places: DataFrame, k: int) -> DataFrame:
+    """(cell, near): the k nearest places of each cell as structs of distance, x, y, value."""
+    from .spatial import nearest
+
+    n = nearest(cells.select("cell", "x", "y"), places.withColumn("station", F.struct("x", "y", "value")), k)
+    return n.groupBy("cell").agg(F.sort_array(F.collect_list(F.struct("distance", "station.x", "station.y", "station.value"))).alias("near"))
+
+
+def _arrays(near) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    a = np.array([(q["distance"], q["x"], q["y"], q["value"]) for q in near])
+    return a[:, 0], a[:, 1:3], a[:, 3]
+
+
+def _apart(p: np.ndarray) -> np.ndarray:
+    return np.sqrt(((p[:, None] - p[None]) ** 2).sum(-1))
 
 
 def _spherical(h: np.ndarray, nugget: float, sill: float, reach: float) -> np.ndarray:
@@ -25,13 +48,10 @@ def _spherical(h: np.ndarray, nugget: float, sill: float, reach: float) -> np.nd
     return np.where(h > 0, nugget + sill * (1.5 * r - 0.5 * r**3), 0.0)
 
 
-def kriging(cells: DataFrame, stations: DataFrame, lags: int = 6) -> DataFrame:
-    """(cell, value, variance): ordinary kriging with a spherical variogram fitted to binned half squared differences."""
+def _variogram(p: np.ndarray, v: np.ndarray, lags: int) -> tuple[float, float, float]:
     from .extremes import simplex
 
-    s = _bounded(stations)
-    p, v = s[["x", "y"]].to_numpy(float), s["value"].to_numpy(float)
-    h = np.sqrt(((p[:, None] - p[None]) ** 2).sum(-1))
+    h = _apart(p)
     i, j = np.triu_indices(len(p), 1)
     edge = np.linspace(0, h.max() / 2, lags + 1)
     which = np.digitize(h[i, j], edge)
@@ -40,11 +60,40 @@ def kriging(cells: DataFrame, stations: DataFrame, lags: int = 6) -> DataFrame:
     x, g, w = map(np.array, zip(*bins))
     var = max(v.var(), 1e-12)
     a, _ = simplex(lambda q: float((w * (_spherical(x, abs(q[0]) * var, abs(q[1]) * var, abs(q[2]) * edge[-1] + 1e-9) - g) ** 2).sum()), np.array([0.1, 0.9, 0.7]))
-    model = (abs(a[0]) * var, abs(a[1]) * var, abs(a[2]) * edge[-1] + 1e-9)
+    return abs(a[0]) * var, abs(a[1]) * var, abs(a[2]) * edge[-1] + 1e-9
+
+
+def _system(p: np.ndarray, model: tuple) -> np.ndarray:
     n = len(p)
     left = np.ones((n + 1, n + 1))
-    left[:n, :n], left[n, n] = _spherical(h, *model), 0.0
-    inverse = np.linalg.pinv(left)
+    left[:n, :n], left[n, n] = _spherical(_apart(p), *model), 0.0
+    return np.linalg.pinv(left)
+
+
+def kriging(cells: DataFrame, stations: DataFrame, lags: int = 6, most: int = MOST_STATIONS, neighbours: int = NEIGHBOURS) -> DataFrame:
+    """(cell, value, variance): ordinary kriging with a spherical variogram fitted to binned half squared differences.
+
+    Stations of one place count as their mean. With at most most places all of them are in one system; with more, the
+    variogram is fitted on that many, chosen by hash, and each cell is estimated from its nearest of all places."""
+    places = _places(stations)
+    s, whole = _some(places, most)
+    p, v = s[["x", "y"]].to_numpy(float), s["value"].to_numpy(float)
+    model = _variogram(p, v, lags)
+    schema = "cell long, value double, variance double"
+    if not whole:
+
+        def local(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for b in batches:
+                out = []
+                for cell, near in zip(b["cell"], b["near"]):
+                    d, at, value = _arrays(near)
+                    right = np.append(_spherical(d, *model), 1.0)
+                    w = _system(at, model) @ right
+                    out.append((cell, float(w[:-1] @ value), max(float(w @ right), 0.0)))
+                yield pd.DataFrame(out, columns=["cell", "value", "variance"])
+
+        return _neighbourhoods(cells, places, neighbours).mapInPandas(local, schema)
+    n, inverse = len(p), _system(p, model)
 
     def predict(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -53,30 +102,52 @@ def kriging(cells: DataFrame, stations: DataFrame, lags: int = 6) -> DataFrame:
             weights = right @ inverse.T
             yield pd.DataFrame({"cell": b["cell"], "value": weights[:, :n] @ v, "variance": np.maximum((weights * right).sum(1), 0.0)})
 
-    return cells.select("cell", "x", "y").mapInPandas(predict, "cell long, value double, variance double")
+    return cells.select("cell", "x", "y").mapInPandas(predict, schema)
 
 
-def gaussian_process(cells: DataFrame, stations: DataFrame, length: float = 0.3, alpha: float = 1.0, noise: float = 0.05) -> DataFrame:
-    """(cell, mean, std): rational-quadratic kernel over coordinates scaled to the unit square."""
-    s = _bounded(stations)
-    p, v = s[["x", "y"]].to_numpy(float), s["value"].to_numpy(float)
-    low, span = p.min(0), np.maximum(np.ptp(p, axis=0), 1e-12)
-    mu, sd = v.mean(), max(v.std(), 1e-12)
+def gaussian_process(cells: DataFrame, stations: DataFrame, length: float = 0.3, alpha: float = 1.0, noise: float = 0.05, most: int = MOST_STATIONS, neighbours: int = NEIGHBOURS) -> DataFrame:
+    """(cell, mean, std): rational-quadratic kernel over coordinates scaled to the unit square.
+
+    Stations of one place count as their mean. With at most most places all of them are in one system; with more, each
+    cell has a system of its nearest of all places. Scales, mean and deviation are those of all places."""
+    places = _places(stations)
+    o = places.agg(F.min("x"), F.max("x"), F.min("y"), F.max("y"), F.avg("value"), F.stddev_pop("value")).first()
+    low, span, mu, sd = np.array([o[0], o[2]], float), np.maximum(np.array([o[1] - o[0], o[3] - o[2]], float), 1e-12), float(o[4]), max(float(o[5]), 1e-12)
+    kernel = lambda d2: (1 + d2 / (2 * alpha * length**2)) ** -alpha
+    schema = "cell long, mean double, std double"
+
+    def scaled(df: DataFrame) -> DataFrame:
+        return df.withColumns({c: (F.col(c) - F.lit(float(low[k]))) / F.lit(float(span[k])) for k, c in enumerate("xy")})
+
+    def solved(p: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        root = np.linalg.cholesky(kernel(_apart(p) ** 2) + (noise + 1e-9) * np.eye(len(p)))
+        return root, np.linalg.solve(root.T, np.linalg.solve(root, (v - mu) / sd))
+
+    s, whole = _some(scaled(places), most)
+    if not whole:
 
-    def kernel(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        return (1 + ((a[:, None] - b[None]) ** 2).sum(-1) / (2 * alpha * length**2)) ** -alpha
+        def local(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for b in batches:
+                out = []
+                for cell, near in zip(b["cell"], b["near"]):
+                    d, at, value = _arrays(near)
+                    root, weight = solved(at, value)
+                    k = kernel(d * d)
+                    u = np.linalg.solve(root, k)
+                    out.append((cell, mu + sd * float(k @ weight), sd * max(1 - float(u @ u), 0.0) ** 0.5))
+                yield pd.DataFrame(out, columns=["cell", "mean", "std"])
 
-    z = (p - low) / span
-    root = np.linalg.cholesky(kernel(z, z) + (noise + 1e-9) * np.eye(len(z)))
-    weight = np.linalg.solve(root.T, np.linalg.solve(root, (v - mu) / sd))
+        return _neighbourhoods(scaled(cells), scaled(places), neighbours).mapInPandas(local, schema)
+    z = s[["x", "y"]].to_numpy(float)
+    root, weight = solved(z, s["value"].to_numpy(float))
 
     def predict(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            k = kernel((b[["x", "y"]].to_numpy(float) - low) / span, z)
+            k = kernel(((b[["x", "y"]].to_numpy(float)[:, None] - z[None]) ** 2).sum(-1))
             u = np.linalg.solve(root, k.T)
             yield pd.DataFrame({"cell": b["cell"], "mean": mu + sd * (k @ weight), "std": sd * np.sqrt(np.maximum(1 - (u * u).sum(0), 0.0))})
 
-    return cells.select("cell", "x", "y").mapInPandas(predict, "cell long, mean double, std double")
+    return scaled(cells.select("cell", "x", "y")).mapInPandas(predict, schema)
 
 
 def nsrp(spark: SparkSession, days: int, storms_per_day: float, cells_per_storm: float, delay_hours: float, duration_hours: float, intensity: float, seed: int = 0) -> DataFrame:

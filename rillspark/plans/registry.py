@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import distributions as dist
-from ..operators import bias, copulas, design, ensemble, events, extremes, fields, hydrology, regional, series, skill, spatial
+from ..operators import bias, copulas, design, ensemble, events, extremes, fields, hydrology, joint, regional, series, skill, spatial
 from ..sources import parsers
 from ..sources import tables as t
 
@@ -319,24 +319,24 @@ def _roles(s, d):
 
 @query(
     "delta_precip",
-    ", h AS (SELECT month(ts) AS m, avg(v) AS h FROM (SELECT month(ts) AS mo, year(ts) AS y, min(ts) AS ts, sum(value) AS v FROM series WHERE series_id = 'ASIA' AND year(ts) < 1998 GROUP BY 1, 2) GROUP BY 1), f AS (SELECT month(ts) AS m, avg(v) AS f FROM (SELECT month(ts) AS mo, year(ts) AS y, min(ts) AS ts, sum(value) AS v FROM series WHERE series_id = 'ASIA' AND year(ts) BETWEEN 1998 AND 2000 GROUP BY 1, 2) GROUP BY 1) SELECT ts + INTERVAL 3 YEAR AS ts, round(value * f / h, 3) AS value FROM series JOIN h ON month(ts) = h.m JOIN f ON month(ts) = f.m WHERE series_id = 'ASIA' AND year(ts) < 1998",
+    ", h AS (SELECT series_id, m, avg(v) AS h FROM (SELECT series_id, month(ts) AS m, year(ts) AS y, sum(value) AS v FROM series WHERE year(ts) < 1998 GROUP BY ALL) GROUP BY ALL), f AS (SELECT series_id, m, avg(v) AS f FROM (SELECT series_id, month(ts) AS m, year(ts) AS y, sum(value) AS v FROM series WHERE year(ts) BETWEEN 1998 AND 2000 GROUP BY ALL) GROUP BY ALL) SELECT s.series_id, ts + INTERVAL 3 YEAR AS ts, round(value * (f / nullif(h, 0)), 3) AS value FROM series s JOIN h ON s.series_id = h.series_id AND month(ts) = h.m JOIN f ON s.series_id = f.series_id AND month(ts) = f.m WHERE year(ts) < 1998",
     D,
 )
 def _(s, d):
-    x = t.daily(s, d).where("series_id = 'ASIA'").select("ts", "value")
+    x = t.daily(s, d)
     hist, future = x.where(F.year("ts") < 1998), x.where(F.year("ts").between(1998, 2000))
-    return rounded(bias.monthly_delta(hist, hist, future, True), 3)
+    return rounded(bias.monthly_delta(hist, hist, future, True, by=("series_id",)), 3)
 
 
 @query(
     "delta_temperature",
-    ", h AS (SELECT m, avg(v) AS h FROM (SELECT month(ts) AS m, year(ts) AS y, avg(value) AS v FROM series WHERE series_id = 'ASIA' AND year(ts) < 1998 GROUP BY 1, 2) GROUP BY 1), f AS (SELECT m, avg(v) AS f FROM (SELECT month(ts) AS m, year(ts) AS y, avg(value) AS v FROM series WHERE series_id = 'ASIA' AND year(ts) BETWEEN 1998 AND 2000 GROUP BY 1, 2) GROUP BY 1) SELECT ts + INTERVAL 3 YEAR AS ts, round(value + f - h, 3) AS value FROM series JOIN h ON month(ts) = h.m JOIN f ON month(ts) = f.m WHERE series_id = 'ASIA' AND year(ts) < 1998",
+    ", h AS (SELECT series_id, m, avg(v) AS h FROM (SELECT series_id, month(ts) AS m, year(ts) AS y, avg(value) AS v FROM series WHERE year(ts) < 1998 GROUP BY ALL) GROUP BY ALL), f AS (SELECT series_id, m, avg(v) AS f FROM (SELECT series_id, month(ts) AS m, year(ts) AS y, avg(value) AS v FROM series WHERE year(ts) BETWEEN 1998 AND 2000 GROUP BY ALL) GROUP BY ALL) SELECT s.series_id, ts + INTERVAL 3 YEAR AS ts, round(value + f - h, 3) AS value FROM series s JOIN h ON s.series_id = h.series_id AND month(ts) = h.m JOIN f ON s.series_id = f.series_id AND month(ts) = f.m WHERE year(ts) < 1998",
     D,
 )
 def _(s, d):
-    x = t.daily(s, d).where("series_id = 'ASIA'").select("ts", "value")
+    x = t.daily(s, d)
     hist, future = x.where(F.year("ts") < 1998), x.where(F.year("ts").between(1998, 2000))
-    return rounded(bias.monthly_delta(hist, hist, future), 3)
+    return rounded(bias.monthly_delta(hist, hist, future, by=("series_id",)), 3)
 
 
 QM = """
@@ -546,6 +546,76 @@ def _(s, d):
     return rounded(copulas.theta_of_tau(s.createDataFrame([(0.1,), (0.3,), (0.5,), (0.8,)], "tau double")), 7)
 
 
+# joint distributions
+
+TAU = ", c AS (SELECT hour(ts) AS g, obs, sim, row_number() OVER (ORDER BY ts) AS i FROM pairs WHERE obs IS NOT NULL AND sim IS NOT NULL), p AS (SELECT a.g, sign(b.obs - a.obs) AS x, sign(b.sim - a.sim) AS y FROM c a JOIN c b ON a.g = b.g AND a.i < b.i), k AS (SELECT g::INT AS g, round(sum(x * y) / nullif(sqrt(sum(abs(x))::DOUBLE * sum(abs(y))), 0), 6) AS tau FROM p GROUP BY g), th AS (SELECT g, greatest(1.001, 1 / (1 - least(tau, 0.999))) AS theta FROM k WHERE tau IS NOT NULL)"
+
+
+def _dependence(s, d):
+    tau = copulas.kendall(t.pairs(s, d).withColumn("g", F.hour("ts")), "obs", "sim", "g").where("tau IS NOT NULL")
+    return copulas.theta_of_tau(tau.select("g", F.round("tau", 6).alias("tau"))).select("g", F.col("theta_gumbel").alias("theta"))
+
+
+@query("contour_or", TAU + ", u AS (SELECT g, theta, i::INT AS i, 0.9001 + i * (0.0998 / 39) AS u FROM th, range(40) q(i)) SELECT g, i, round(u, 6) AS u, round(exp(-pow(pow(-ln(0.9::DOUBLE), theta) - pow(-ln(u), theta), 1 / theta)), 6) AS v FROM u", P)
+def _(s, d):
+    return rounded(joint.contour(_dependence(s, d), "gumbel", 10.0, "or", 40).select("g", "i", "u", "v"), 6)
+
+
+@query("contour_and", TAU + " SELECT g, i::INT AS i, 0.1::DOUBLE AS p_and FROM th, range(40) q(i)", P)
+def _(s, d):
+    k = joint.contour(_dependence(s, d), "gumbel", 10.0, "and", 40)
+    return rounded(k.select("g", "i", (1 - F.col("u") - F.col("v") + dist.copula_cdf("gumbel", "theta", "u", "v")).alias("p_and")), 8)
+
+
+THREE = ", w AS (SELECT ts, max(value) FILTER (series_id = 'click') AS a, max(value) FILTER (series_id = 'view') AS b, max(value) FILTER (series_id = 'purchase') AS c FROM series GROUP BY ts), r AS (SELECT ts, " + ", ".join(f"(rank() OVER (ORDER BY {x}) + (count(*) OVER (PARTITION BY {x}) - 1) / 2) / (count(*) OVER () + 1) AS u{x}" for x in "abc") + " FROM w)"
+
+
+@query(
+    "trivariate_exceedance",
+    THREE + ", l AS (SELECT ts, ua, ub, uc, pow(-ln(ua), 1.5) AS x, pow(-ln(ub), 1.5) AS y, pow(-ln(uc), 1.5) AS z FROM r), k AS (SELECT *, 1 - exp(-pow(x + y + z, 1 / 1.5)) AS p_or, greatest(0, 1 - ua - ub - uc + exp(-pow(x + y, 1 / 1.5)) + exp(-pow(x + z, 1 / 1.5)) + exp(-pow(y + z, 1 / 1.5)) - exp(-pow(x + y + z, 1 / 1.5))) AS p_and FROM l) SELECT ts, round(p_or, 7) AS p_or, round(p_and, 7) AS p_and, round(1 / greatest(p_or, 1e-12), 4) AS t_or FROM k",
+    H,
+)
+def _(s, d):
+    pick = lambda k: F.max(F.when(F.col("series_id") == k, F.col("value")))
+    w = t.hourly(s, d).groupBy("ts").agg(pick("click").alias("a"), pick("view").alias("b"), pick("purchase").alias("c")).withColumn("g", F.lit("all"))
+    u = copulas.pseudo_observations(w, ["a", "b", "c"], "g")
+    return rounded(joint.exceedance_of_three(u, "gumbel", 1.5, "u_a", "u_b", "u_c").select("ts", "p_or", "p_and", "t_or"), 7, t_or=4)
+
+
+@query("kendall_level", UV + ", k AS (SELECT pow(greatest(pow(u, -1.2) + pow(v, -1.2) - 1, 0), -1 / 1.2) AS c FROM u) SELECT round(quantile_cont(c, 0.95), 7) AS t FROM k", P)
+def _(s, d):
+    return rounded(joint.kendall_level(_uv(s, d).select(dist.copula_cdf("clayton", 1.2, "u", "v").alias("c")), "c", 20.0), 7)
+
+
+@query(
+    "design_ensemble",
+    UV + ", k AS (SELECT ts, u, v, pow(greatest(pow(u, -1.2) + pow(v, -1.2) - 1, 0), -1 / 1.2) AS c, 2.2 * pow(u * v, -2.2) * pow(pow(u, -1.2) + pow(v, -1.2) - 1, -2 - 1 / 1.2) AS density FROM u), l AS (SELECT quantile_cont(c, 0.9) AS t FROM k), o AS (SELECT k.*, abs(c - t) / t AS off FROM k, l), b AS (SELECT min(w) AS w FROM (SELECT 0.05 * pow(2, j) AS w, count(*) AS n FROM o, range(12) q(j) WHERE off <= 0.05 * pow(2, j) GROUP BY ALL) WHERE n >= 10) SELECT ts, round(c, 7) AS c, round(density, 6) AS density FROM o, b WHERE off <= w ORDER BY o.density DESC, u, v LIMIT 10",
+    P,
+)
+def _(s, d):
+    return rounded(joint.design_ensemble(_uv(s, d), "clayton", 1.2, "u", "v", 10.0, 10).select("ts", "c", "density"), 7, density=6)
+
+
+@query("discrete_marginal", "WITH n AS (SELECT event_type AS g, hour(ts)::INT AS value, count(*) AS k FROM events GROUP BY ALL) SELECT g, value, round(k / sum(k) OVER (PARTITION BY g), 7) AS p, round(sum(k) OVER (PARTITION BY g ORDER BY value) / sum(k) OVER (PARTITION BY g), 7) AS cumulative FROM n")
+def _(s, d):
+    e = t.read(s, d, "events").select(F.col("event_type").alias("g"), F.hour("ts").alias("h"))
+    return rounded(joint.discrete_marginal(e, "h", "g"), 7)
+
+
+@query("fitted_marginals", "SELECT station, 'value' AS variable, 'lognormal' AS family, round(avg(ln(value)), 6) AS a, round(stddev_pop(ln(value)), 6) AS b, 0.0::DOUBLE AS c, round(4 + count(*) * (ln(2 * pi() * var_pop(ln(value))) + 1) + 2 * sum(ln(value)), 3) AS aic, count(*) AS n FROM yearly GROUP BY station HAVING count(*) >= 5", N)
+def _(s, d):
+    return rounded(joint.fit_marginals(t.yearly_by_nation(s, d), ["value"], ("lognormal",), "station"), 6, aic=3)
+
+
+@query("most_probable_event")
+def _(s, d):
+    p = t.pairs(s, d).withColumn("g", F.hour("ts").cast("string")).where("obs > 0 AND sim > 0")
+    m = joint.fit_marginals(p, ["obs", "sim"], group="g")
+    curve = joint.contour(_dependence(s, d).withColumn("g", F.col("g").cast("string")), "gumbel", 10.0, "and", 100)
+    both = joint.curve_in_units(curve, m.where("variable = 'obs'"), m.where("variable = 'sim'"), "g")
+    return rounded(joint.most_probable(both, "gumbel", "g"), 4)
+
+
 # design storms
 
 
@@ -665,13 +735,15 @@ def _(s, d):
 
 
 def _design(s, d):
-    return t.read(s, d, "embeddings").select(F.col("vec_id").alias("row_id"), F.expr("transform(slice(embedding, 1, 3), x -> CAST(x AS DOUBLE))").alias("features"))
+    return t.read(s, d, "embeddings").where("embedding IS NOT NULL").select(F.col("vec_id").alias("row_id"), F.expr("transform(embedding, x -> CAST(x AS DOUBLE))").alias("features"))
 
 
-@query("design_standardized", "WITH f AS (SELECT vec_id AS row_id, embedding[1]::DOUBLE AS a, embedding[2]::DOUBLE AS b, embedding[3]::DOUBLE AS c FROM embeddings) SELECT row_id, round((a - avg(a) OVER ()) / stddev_pop(a) OVER (), 6) AS a, round((b - avg(b) OVER ()) / stddev_pop(b) OVER (), 6) AS b, round((c - avg(c) OVER ()) / stddev_pop(c) OVER (), 6) AS c FROM f")
+@query(
+    "design_standardized",
+    "WITH f AS (SELECT vec_id AS row_id, unnest(embedding)::DOUBLE AS v, generate_subscripts(embedding, 1) - 1 AS k FROM embeddings) SELECT row_id, k::INT AS k, round((v - avg(v) OVER (PARTITION BY k)) / coalesce(nullif(stddev_pop(v) OVER (PARTITION BY k), 0), 1), 6) AS z FROM f",
+)
 def _(s, d):
-    z = design.standardize(_design(s, d))
-    return rounded(z.select("row_id", *(F.col("features")[k].alias(n) for k, n in enumerate("abc"))), 6)
+    return rounded(design.standardize(_design(s, d)).select("row_id", F.posexplode("features").alias("k", "z")), 6)
 
 
 @query("maxdiss_order")

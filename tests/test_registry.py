@@ -10,7 +10,7 @@ import pytest
 
 from rillspark.plans import registry
 
-SAMPLE = ["block_maxima_year", "rfa_gumbel_lmom", "wet_spells", "discharge_events", "eqm", "idw_grid", "pixel_return_period", "kendall_tau", "soil_mode", "discordancy", "nday_events", "pot_peaks", "common_period", "standardised_mean", "complete_maxima", "last_duplicate_monthly_mean", "carried_forward", "depth_variation", "soil_texture"]
+SAMPLE = ["block_maxima_year", "rfa_gumbel_lmom", "wet_spells", "discharge_events", "eqm", "idw_grid", "pixel_return_period", "kendall_tau", "soil_mode", "discordancy", "nday_events", "pot_peaks", "common_period", "standardised_mean", "complete_maxima", "last_duplicate_monthly_mean", "carried_forward", "depth_variation", "soil_texture", "contour_or", "contour_and", "trivariate_exceedance", "kendall_level", "design_ensemble", "discrete_marginal", "fitted_marginals", "delta_precip", "delta_temperature", "design_standardized"]
 
 
 def _key(v):
