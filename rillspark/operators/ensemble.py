@@ -25,6 +25,26 @@ def inundation_frequency(df: DataFrame) -> DataFrame:
     return df.groupBy("cell").agg(F.avg(F.col("depth").isNotNull().cast("double")).alias("frequency"))
 
 
+def flooded_between(df: DataFrame, cell_area: float, low: float, high: float) -> DataFrame:
+    """(sim, area): cells deeper than low and less deep than high; simulations without any have area 0."""
+    return df.groupBy("sim").agg((F.count(F.when((F.col("depth") > low) & (F.col("depth") < high), 1)) * F.lit(cell_area)).alias("area"))
+
+
+def exclusive_zone(df: DataFrame, regimes: DataFrame) -> DataFrame:
+    """(cell, wet_a, wet_b, difference, only): share of the simulations of regime 0 and 1, of (sim, regime), that wet a
+    cell, b less a, and the regime if but one of them wets it. A cell without simulations of a regime has a null share."""
+    wet = F.col("depth").isNotNull().cast("double")
+    d = df.join(F.broadcast(regimes), "sim").groupBy("cell").agg(*(F.avg(F.when(F.col("regime") == k, wet)).alias(c) for k, c in enumerate(("wet_a", "wet_b"))))  # a row for each simulation
+    only = F.when((F.col("wet_a") > 0) & (F.col("wet_b") == 0), 0).when((F.col("wet_b") > 0) & (F.col("wet_a") == 0), 1)
+    return d.withColumns({"difference": F.col("wet_b") - F.col("wet_a"), "only": only})
+
+
+def weighted_roughness(df: DataFrame, table: dict[int, float], key: str, code: str, weight: str) -> DataFrame:
+    """(key, roughness): mean roughness of a key's land-use codes by weight; unknown codes and null weights do not count."""
+    d = roughness(df, table, code).where(F.col("roughness").isNotNull())
+    return d.groupBy(key).agg(F.try_divide(F.sum(F.col(weight) * F.col("roughness")), F.sum(weight)).alias("roughness"))
+
+
 def area_regression(df: DataFrame, predictor: str, response: str) -> DataFrame:
     """(slope, intercept, r2, pearson) of two columns."""
     x, y = F.col(predictor).cast("double"), F.col(response).cast("double")

@@ -59,3 +59,41 @@ def normal_depth(q: Column, width: Column, slope: Column, n: Column, rounds: int
     step = lambda a, _: F.when(q > width * F.pow((a["lo"] + a["hi"]) / 2 * width / (width + a["lo"] + a["hi"]), 2 / 3) * (a["lo"] + a["hi"]) / 2 * F.sqrt(slope) / n, F.struct(((a["lo"] + a["hi"]) / 2).alias("lo"), a["hi"].alias("hi"))).otherwise(F.struct(a["lo"].alias("lo"), ((a["lo"] + a["hi"]) / 2).alias("hi")))
     depth = F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), F.struct(F.lit(0.0).alias("lo"), F.lit(1000.0).alias("hi")), step, lambda a: (a["lo"] + a["hi"]) / 2)
     return F.when(q < 1, F.lit(0.05)).otherwise(depth)
+
+
+def idf_change(control: DataFrame, future: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, ratio): depth of the future over that of the control of the same keys; null where the control is 0."""
+    return future.select(*keys, F.col("depth").alias("f")).join(control.select(*keys, F.col("depth").alias("c")), keys).select(*keys, F.try_divide("f", "c").alias("ratio"))
+
+
+def linear_reservoir(inflow: DataFrame, share: float, key: str = "series_id") -> DataFrame:
+    """(key, ts, flow): outflow Q = share I + (1 - share) Q', Q' that of the step before, from an empty store.
+
+    A step reads only as many steps back as have a weight above 1e-18, so a long series needs no fold from its start.
+    share lies above 0 and at most at 1; null inflow counts as 0."""
+    back = 0
+    while (1 - share) ** back > 1e-18:
+        back += 1
+    w = Window.partitionBy(key).orderBy("ts").rowsBetween(-back, 0)
+    keep = F.lit(1.0 - share)
+    flow = F.aggregate(F.collect_list(F.coalesce("value", F.lit(0.0))).over(w), F.lit(0.0), lambda q, x: q * keep + x * share)
+    return inflow.select(key, "ts", flow.alias("flow"))
+
+
+def rating_curve(points: DataFrame, queries: DataFrame, key: str, k: int = 3) -> DataFrame:
+    """(key, q, stage) for each (key, q) of queries: the mean stage of the k points nearest in log1p(q), scaled to the
+    points' range, weighted by 1 / distance; points (key, q, stage) of equal q count as one, of mean stage.
+
+    The k nearest of a sorted list lie within k ranks of the query, so each query meets 2 k points by an equi join."""
+    p = points.where("q IS NOT NULL AND stage IS NOT NULL").groupBy(key, "q").agg(F.avg("stage").alias("stage"))
+    ranked = p.withColumn("place", F.row_number().over(Window.partitionBy(key).orderBy("q")))
+    span = p.groupBy(key).agg((F.max(F.log1p("q")) - F.min(F.log1p("q"))).alias("span"))
+    # how many points lie at or below each query: one sorted pass over both
+    both = p.select(key, "q", F.lit(1).alias("is_point")).unionByName(queries.select(key, "q", F.lit(0).alias("is_point")))
+    below = F.sum("is_point").over(Window.partitionBy(key).orderBy("q"))
+    asked = both.withColumn("below", below).where("is_point = 0").select(key, F.col("q").alias("at"), "below").distinct()
+    near = asked.withColumn("place", F.explode(F.sequence(F.col("below") - (k - 1), F.col("below") + k))).withColumn("place", F.col("place").cast("int"))
+    d = near.join(ranked, [key, "place"]).join(span, key).withColumn("distance", F.coalesce(F.try_divide(F.abs(F.log1p("at") - F.log1p("q")), "span"), F.lit(0.0)))
+    best = d.withColumn("r", F.row_number().over(Window.partitionBy(key, "at").orderBy("distance", "q"))).where(F.col("r") <= k)
+    w = 1 / F.greatest("distance", F.lit(1e-12))
+    return best.groupBy(key, F.col("at").alias("q")).agg((F.sum(w * F.col("stage")) / F.sum(w)).alias("stage"))

@@ -836,3 +836,114 @@ def _(s, d):
 @query("depth_variation", "SELECT cell, round(stddev_pop(depth) / nullif(avg(depth), 0), 6) AS cv FROM raster GROUP BY cell", R)
 def _(s, d):
     return rounded(series.variation(t.raster(s, d), "cell", "depth"), 6)
+
+
+@query("well_covered", ", n AS (SELECT station, count(DISTINCT year) AS n FROM yearly WHERE value > 250000 GROUP BY station), k AS (SELECT count(DISTINCT year) AS total FROM yearly) SELECT station AS series_id, n, total FROM n, k WHERE n >= 0.5 * total", N)
+def _(s, d):
+    y = t.yearly_by_nation(s, d).select(F.col("station").alias("series_id"), F.col("year").alias("ts"), F.when(F.col("value") > 250000, F.col("value")).alias("value"))
+    return series.well_covered(y, 0.5)
+
+
+@query("standardised_maxima", ", m AS (SELECT series_id, avg(value) AS m, stddev_pop(value) AS s FROM series GROUP BY series_id HAVING stddev_pop(value) > 0), z AS (SELECT year(ts)::INT AS year, max((value - m) / s) AS z FROM series JOIN m USING (series_id) GROUP BY ALL) SELECT series_id, year, round(z, 6) AS z, round(m + s * z, 2) AS back FROM m, z", D)
+def _(s, d):
+    return rounded(series.standardised_maxima(t.daily(s, d)), 6, back=2)
+
+
+AT_STEPS = """, w AS (SELECT series_id, ts, value FROM series WHERE value > 0),
+steps AS (SELECT series_id, ts + INTERVAL 10 MINUTE AS ts FROM series),
+b AS (SELECT s.series_id, s.ts, w.ts AS ta, w.value AS a FROM steps s ASOF LEFT JOIN w ON s.series_id = w.series_id AND s.ts >= w.ts),
+f AS (SELECT s.series_id, s.ts, w.ts AS tb, w.value AS b FROM steps s ASOF LEFT JOIN w ON s.series_id = w.series_id AND s.ts <= w.ts),
+g AS (SELECT *, epoch(ts) - epoch(ta) AS before, epoch(tb) - epoch(ts) AS after FROM b JOIN f USING (series_id, ts))
+SELECT series_id, ts::TIMESTAMP AS ts, CASE WHEN tb IS NULL OR before <= after THEN a ELSE b END AS nearest, round(CASE WHEN before + after = 0 THEN a ELSE a + (b - a) * (before / (before + after)) END, 6) AS linear FROM g"""
+
+
+@query("values_at_steps", AT_STEPS, H)
+def _(s, d):
+    x = t.hourly(s, d)
+    return rounded(series.at_steps(x.where("value > 0"), x.select("series_id", (F.col("ts") + F.expr("INTERVAL 10 MINUTES")).alias("ts"))), 6)
+
+
+@query("type_medians", "SELECT series_id, hour(ts)::INT AS step, round(median(value), 6) AS median FROM series GROUP BY ALL", H)
+def _(s, d):
+    return rounded(series.type_medians(t.hourly(s, d).withColumn("step", F.hour("ts")), "series_id", "step"), 6)
+
+
+@query("two_sample_t", ", g AS (SELECT count(obs) FILTER (hour(ts) < 12) AS n_a, count(obs) FILTER (hour(ts) >= 12) AS n_b, avg(obs) FILTER (hour(ts) < 12) AS mean_a, avg(obs) FILTER (hour(ts) >= 12) AS mean_b, var_samp(obs) FILTER (hour(ts) < 12) AS v_a, var_samp(obs) FILTER (hour(ts) >= 12) AS v_b FROM pairs) SELECT n_a, n_b, round(mean_a, 6) AS mean_a, round(mean_b, 6) AS mean_b, round((mean_a - mean_b) / sqrt(((n_a - 1) * v_a + (n_b - 1) * v_b) / (n_a + n_b - 2) * (1 / n_a + 1 / n_b)), 6) AS t, n_a + n_b - 2 AS dof FROM g", P)
+def _(s, d):
+    return rounded(series.two_sample_t(t.pairs(s, d).withColumn("early", F.hour("ts") < 12), "early", "obs"), 6)
+
+
+@query("quantile_errors", ", q AS (SELECT unnest(['obs', 'sim']) AS variable, unnest([obs, sim]) AS v, hour(ts) < 12 AS early FROM pairs), p AS (SELECT unnest([0.1, 0.5, 0.9, 0.99])::DOUBLE AS p), e AS (SELECT variable, p, quantile_cont(v, [0.1, 0.5, 0.9, 0.99]) FILTER (early) AS a, quantile_cont(v, [0.1, 0.5, 0.9, 0.99]) FILTER (NOT early) AS b FROM q, p GROUP BY ALL), i AS (SELECT variable, p, a[list_position([0.1, 0.5, 0.9, 0.99]::DOUBLE[], p)] AS o, b[list_position([0.1, 0.5, 0.9, 0.99]::DOUBLE[], p)] AS s FROM e) SELECT variable, p, round(o, 5) AS observed, round(s, 5) AS synthetic, round(s - o, 5) AS error FROM i", P)
+def _(s, d):
+    x = t.pairs(s, d)
+    return rounded(series.quantile_errors(x.where(F.hour("ts") < 12), x.where(F.hour("ts") >= 12), ["obs", "sim"], [0.1, 0.5, 0.9, 0.99]), 5)
+
+
+# runoff and ensembles, continued
+
+
+@query("idf_change", ", q AS (SELECT series_id, year(value_year) <= 1998 AS past, value FROM (SELECT series_id, block_end AS value_year, value FROM annual)), m AS (SELECT series_id, quantile_cont(value, 0.5) FILTER (past) AS c, quantile_cont(value, 0.5) FILTER (NOT past) AS f FROM q GROUP BY ALL), u AS (SELECT series_id, unnest([1, 6, 24])::DOUBLE AS duration, c, f FROM m) SELECT series_id, duration, round(f / c, 6) AS ratio FROM u", D, ANNUAL)
+def _(s, d):
+    def depths(past: bool) -> DataFrame:
+        early = F.year("block_end") <= 1998
+        p24 = annual(s, d).where(early if past else ~early).groupBy("series_id").agg(F.percentile("value", 0.5).alias("p24"))
+        return hydrology.idf_table(p24, [1, 6, 24])
+
+    return rounded(hydrology.idf_change(depths(True), depths(False), ["series_id", "duration"]), 6)
+
+
+@query("linear_reservoir", "SELECT a.series_id, a.ts::TIMESTAMP AS ts, round(sum(b.value * 0.4 * pow(0.6, a.pos - b.pos)), 5) AS flow FROM series a JOIN series b ON a.series_id = b.series_id AND b.pos <= a.pos GROUP BY ALL", H)
+def _(s, d):
+    return rounded(hydrology.linear_reservoir(t.hourly(s, d), 0.4), 5)
+
+
+@query("rating_curve", "WITH p AS (SELECT l_linenumber::INT AS station, l_quantity::DOUBLE AS q, avg(l_extendedprice) AS stage FROM lineitem GROUP BY ALL), g AS (SELECT station, max(ln(1 + q)) - min(ln(1 + q)) AS span FROM p GROUP BY station), a AS (SELECT station, i + 0.3::DOUBLE AS q FROM g, range(61) t(i)), k AS (SELECT a.station, a.q, stage, abs(ln(1 + a.q) - ln(1 + p.q)) / span AS dist, row_number() OVER (PARTITION BY a.station, a.q ORDER BY abs(ln(1 + a.q) - ln(1 + p.q)), p.q) AS r FROM a JOIN p USING (station) JOIN g USING (station)) SELECT station, q, round(sum(stage / greatest(dist, 1e-12)) / sum(1 / greatest(dist, 1e-12)), 3) AS stage FROM k WHERE r <= 3 GROUP BY ALL")
+def _(s, d):
+    p = t.read(s, d, "lineitem").selectExpr("CAST(l_linenumber AS INT) AS station", "CAST(l_quantity AS DOUBLE) AS q", "l_extendedprice AS stage")
+    a = p.select("station").distinct().select("station", F.explode(F.sequence(F.lit(0), F.lit(60))).alias("i")).select("station", (F.col("i") + 0.3).alias("q"))
+    return rounded(hydrology.rating_curve(p, a, "station"), 3, q=1)
+
+
+@query("flooded_between", "SELECT sim, count(*) FILTER (depth > 2.3 AND depth < 2.7) * 25.0::DOUBLE AS area FROM raster GROUP BY sim", R)
+def _(s, d):
+    return ensemble.flooded_between(t.raster(s, d), 25.0, 2.3, 2.7)
+
+
+@query("exclusive_zone", ", f AS (SELECT cell, avg((depth IS NOT NULL)::INT) FILTER (sim <= 3) AS a, avg((depth IS NOT NULL)::INT) FILTER (sim > 3) AS b FROM raster GROUP BY cell) SELECT cell, round(a, 6) AS wet_a, round(b, 6) AS wet_b, round(b - a, 6) AS difference, CASE WHEN a > 0 AND b = 0 THEN 0 WHEN b > 0 AND a = 0 THEN 1 END AS only FROM f", R)
+def _(s, d):
+    r = t.raster(s, d)
+    return rounded(ensemble.exclusive_zone(r, r.select("sim").distinct().withColumn("regime", (F.col("sim") > 3).cast("int"))), 6)
+
+
+@query("weighted_roughness", "SELECT l_suppkey AS basin, round(sum(l_quantity * n) / sum(l_quantity), 6) AS roughness FROM lineitem JOIN (VALUES (1, 0.03), (2, 0.05), (3, 0.1), (4, 0.035)) q(c, n) ON c = l_linenumber GROUP BY ALL")
+def _(s, d):
+    x = t.read(s, d, "lineitem").select(F.col("l_suppkey").alias("basin"), F.col("l_linenumber").alias("code"), F.col("l_quantity").cast("double").alias("area"))
+    return rounded(ensemble.weighted_roughness(x, {1: 0.03, 2: 0.05, 3: 0.1, 4: 0.035}, "basin", "code", "area"), 6)
+
+
+# relational forms: wide tables, aligned pairs, manifests
+
+REGIONS = ["AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST"]  # the series of the daily table
+
+
+@query("maxima_wide", "SELECT year(block_end)::INT AS year, " + ", ".join(f"max(value) FILTER (series_id = '{r}') AS {r.lower().replace(' ', '_')}" for r in REGIONS) + " FROM annual GROUP BY 1", D, ANNUAL)
+def _(s, d):
+    wide = annual(s, d).groupBy(F.year("block_end").alias("year")).pivot("series_id", REGIONS).max("value")
+    return wide.toDF(*(c.lower().replace(" ", "_") for c in wide.columns))
+
+
+@query("pairs_long", ", l AS (SELECT ts::TIMESTAMP AS ts, unnest(['obs', 'sim']) AS variable, unnest([obs, sim]) AS value FROM pairs) SELECT * FROM l", P)
+def _(s, d):
+    return t.pairs(s, d).unpivot("ts", ["obs", "sim"], "variable", "value")
+
+
+@query("aligned_pairs", "SELECT ts::TIMESTAMP AS ts, obs, sim FROM pairs WHERE obs IS NOT NULL AND sim > 0", P)
+def _(s, d):
+    x = t.hourly(s, d).where("value > 0")
+    return parsers.align(x.where("series_id = 'click'"), x.where("series_id = 'view'"))
+
+
+@query("dry_dates", ", w AS (SELECT series_id, ts FROM series WHERE value > 0) SELECT series_id, ts::TIMESTAMP AS ts FROM series EXCEPT SELECT series_id, ts::TIMESTAMP FROM w", D)
+def _(s, d):
+    x = t.daily(s, d)
+    return x.select("series_id", "ts").join(x.where("value > 0").select("series_id", "ts"), ["series_id", "ts"], "left_anti")
