@@ -947,3 +947,84 @@ def _(s, d):
 def _(s, d):
     x = t.daily(s, d)
     return x.select("series_id", "ts").join(x.where("value > 0").select("series_id", "ts"), ["series_id", "ts"], "left_anti")
+
+
+# readers over text made from the tables
+
+
+def _lines(s: SparkSession, body: DataFrame, *head: str) -> DataFrame:
+    return s.createDataFrame([(x,) for x in head], "value string").union(body)
+
+
+@query("rdb_listing", "SELECT s_suppkey::VARCHAR AS site_no, s_name AS station_nm, s_acctbal AS drain_area_va, round(s_acctbal * 2.58999, 4) AS drain_area_km2 FROM supplier")
+def _(s, d):
+    body = t.read(s, d, "supplier").select(F.concat_ws("\t", F.col("s_suppkey").cast("string"), "s_name", F.col("s_acctbal").cast("string")))
+    lines = _lines(s, body, "# listing", "site_no\tstation_nm\tdrain_area_va", "15s\t50s\t8s")
+    return rounded(parsers.rdb_rows(lines, ["site_no", "station_nm", "drain_area_va"]), 4)
+
+
+@query("grdc_listing", "SELECT o_orderdate::DATE AS date, CASE WHEN o_orderkey % 50 <> 0 THEN o_totalprice END AS discharge FROM orders")
+def _(s, d):
+    value = F.when(F.col("o_orderkey") % 50 == 0, F.lit("-999.000")).otherwise(F.format_string("%.2f", "o_totalprice"))
+    body = t.read(s, d, "orders").select(F.concat(F.date_format("o_orderdate", "yyyy-MM-dd"), F.lit("; --:--; "), value))
+    return rounded(parsers.grdc_rows(_lines(s, body, "# GRDC-No.: 1", "YYYY-MM-DD;hh:mm; Value")), 2)
+
+
+@query("nwis_listing", "SELECT ts::DATE AS date, CASE WHEN event_id % 7 <> 0 AND value >= 20 THEN round((value - 20) * 0.028316847, 6) END AS discharge FROM events")
+def _(s, d):
+    ice = F.when(F.col("event_id") % 7 == 0, F.array(F.lit("P"), F.lit("Ice"))).otherwise(F.array(F.lit("P")))
+    one = F.struct(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss").alias("dateTime"), (F.col("value") - 20).cast("string").alias("value"), ice.alias("qualifiers"))
+    j = F.to_json(F.struct(F.struct(F.array(F.struct(F.array(F.struct(F.array(one).alias("value"))).alias("values"))).alias("timeSeries")).alias("value")))
+    return rounded(parsers.nwis_rows(t.read(s, d, "events").select(j.alias("json"))), 6)
+
+
+@query("channel_table", "SELECT dayofyear(o_orderdate)::INT AS jday, month(o_orderdate)::INT AS mon, day(o_orderdate)::INT AS day, year(o_orderdate)::INT AS yr, 'cha' || o_custkey AS name, o_totalprice AS flo, o_orderkey::DOUBLE AS flo_1, o_orderdate::DATE AS date FROM orders")
+def _(s, d):
+    c = F.col("o_orderdate")
+    body = t.read(s, d, "orders").select(F.concat_ws("  ", F.dayofyear(c).cast("string"), F.month(c).cast("string"), F.day(c).cast("string"), F.year(c).cast("string"), F.concat(F.lit("cha"), F.col("o_custkey").cast("string")), F.format_string("%.2f", "o_totalprice"), F.col("o_orderkey").cast("string")))
+    head = "jday mon day yr name flo flo"
+    return rounded(parsers.channel_rows(_lines(s, body, "channel output", head, "- - - - - m3/s m3/s"), head), 2)
+
+
+@query("synop_days", "SELECT ts::DATE AS date, round(sum(CASE WHEN event_id % 5 = 0 THEN 0.1 WHEN event_id % 5 < 4 THEN value END), 5) AS prec, round(avg(CASE WHEN event_id % 17 < 16 THEN event_id % 17 * 22.5 END), 6) AS wind_dir, round(avg(value), 6) AS vel, round(avg(value + 5), 6) AS tmax, round(avg(value - 5), 6) AS tmin FROM events GROUP BY 1")
+def _(s, d):
+    k = F.col("event_id") % 5
+    prec = F.when(k == 0, F.lit(" Ip ")).when(k < 4, F.replace(F.col("value").cast("string"), F.lit("."), F.lit(","))).otherwise(F.lit("--"))
+    wind = F.coalesce(F.get(F.array(*map(F.lit, parsers.ROSE)), (F.col("event_id") % 17).cast("int")), F.lit("calm"))
+    return rounded(parsers.synop_daily(t.read(s, d, "events").select("ts", prec.alias("prec"), F.lower(wind).alias("wind"), F.col("value").alias("vel"), (F.col("value") + 5).alias("tmax"), (F.col("value") - 5).alias("tmin"))), 6, prec=5)
+
+
+@query("file_years", "SELECT o_orderkey, year(o_orderdate)::INT AS first, (year(o_orderdate) + o_orderkey % 30)::INT AS last FROM orders")
+def _(s, d):
+    a, k = F.year("o_orderdate"), F.col("o_orderkey")
+    name = F.when(k % 2 == 0, F.format_string("pr_day_%d0101-%d1231.nc", a, a + k % 30)).otherwise(F.format_string("tas_mon_%d-%d.nc", a, a + k % 30))
+    first, last = parsers.years_of_name(name)
+    return t.read(s, d, "orders").select("o_orderkey", first.alias("first"), last.alias("last"))
+
+
+@query("plain_names", "SELECT n_nationkey, 'rio_' || replace(lower(n_name), ' ', '_') || '_' || n_nationkey AS name FROM nation")
+def _(s, d):
+    raw = F.concat(F.lit(" Río  "), F.col("n_name"), F.lit(" ("), F.col("n_nationkey").cast("string"), F.lit(")"))
+    return t.read(s, d, "nation").select("n_nationkey", parsers.plain_name(raw).alias("name"))
+
+
+@query("station_degrees", "SELECT s_suppkey, round((CASE WHEN s_suppkey % 2 = 0 THEN -1 ELSE 1 END) * (s_suppkey % 90 + s_suppkey % 60 / 60 + s_suppkey * 7 % 60 / 3600), 6) AS lat FROM supplier")
+def _(s, d):
+    k = F.col("s_suppkey")
+    raw = F.concat(F.format_string("%02d%02d%02d", k % 90, k % 60, k * 7 % 60), F.when(k % 2 == 0, F.lit("S")).otherwise(F.lit("n")))
+    return rounded(t.read(s, d, "supplier").select("s_suppkey", parsers.dms_degrees(raw).alias("lat")), 6)
+
+
+@query("fixed_blocks", "SELECT series_id, pos // 10 AS line, string_agg(printf('%8.2f', round(value, 2)), '' ORDER BY pos) AS text FROM series GROUP BY ALL", H)
+def _(s, d):
+    x = events.with_pos(t.hourly(s, d)).withColumn("value", F.round("value", 2)).withColumn("pos", F.col("pos").cast("long"))
+    return parsers.block_lines(x)
+
+
+@query("normal_depth", "SELECT s_suppkey, round(1.5::DOUBLE + s_suppkey % 500, 4) AS q FROM supplier")
+def _(s, d):
+    """The discharge that the depth found carries, which must be the one asked for."""
+    q = 1.5 + F.col("s_suppkey") % 500
+    x = t.read(s, d, "supplier").select("s_suppkey", hydrology.normal_depth(q, F.lit(20.0), F.lit(0.001), F.lit(0.03)).alias("h"))
+    area = 20.0 * F.col("h")
+    return rounded(x.select("s_suppkey", (area * F.pow(area / (20.0 + 2 * F.col("h")), 2 / 3) * F.sqrt(F.lit(0.001)) / 0.03).alias("q")), 4)

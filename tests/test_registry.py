@@ -10,7 +10,7 @@ import pytest
 
 from rillspark.plans import registry
 
-SAMPLE = ["block_maxima_year", "rfa_gumbel_lmom", "wet_spells", "discharge_events", "eqm", "idw_grid", "pixel_return_period", "kendall_tau", "soil_mode", "discordancy", "nday_events", "pot_peaks", "common_period", "standardised_mean", "complete_maxima", "last_duplicate_monthly_mean", "carried_forward", "depth_variation", "soil_texture", "contour_or", "contour_and", "trivariate_exceedance", "kendall_level", "design_ensemble", "discrete_marginal", "fitted_marginals", "delta_precip", "delta_temperature", "design_standardized", "well_covered", "standardised_maxima", "values_at_steps", "type_medians", "two_sample_t", "quantile_errors", "idf_change", "linear_reservoir", "rating_curve", "flooded_between", "exclusive_zone", "weighted_roughness", "maxima_wide", "pairs_long", "aligned_pairs", "dry_dates"]
+SAMPLE = ["block_maxima_year", "rfa_gumbel_lmom", "wet_spells", "discharge_events", "eqm", "idw_grid", "pixel_return_period", "kendall_tau", "soil_mode", "discordancy", "nday_events", "pot_peaks", "common_period", "standardised_mean", "complete_maxima", "last_duplicate_monthly_mean", "carried_forward", "depth_variation", "soil_texture", "contour_or", "contour_and", "trivariate_exceedance", "kendall_level", "design_ensemble", "discrete_marginal", "fitted_marginals", "delta_precip", "delta_temperature", "design_standardized", "well_covered", "standardised_maxima", "values_at_steps", "type_medians", "two_sample_t", "quantile_errors", "idf_change", "linear_reservoir", "rating_curve", "flooded_between", "exclusive_zone", "weighted_roughness", "maxima_wide", "pairs_long", "aligned_pairs", "dry_dates", "rdb_listing", "grdc_listing", "nwis_listing", "channel_table", "synop_days", "file_years", "plain_names", "station_degrees", "fixed_blocks", "normal_depth"]
 
 
 def _key(v):
