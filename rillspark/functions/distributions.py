@@ -46,6 +46,15 @@ def gev_cdf(x, mu, sigma, xi) -> Column:
     return F.when(F.abs(xi) < TINY, F.exp(-F.exp(-z))).otherwise(inner)
 
 
+def gev_period(x, mu, sigma, xi) -> Column:
+    """Blocks between exceedances of x on average: infinite where none is left, NaN outside the support."""
+    x, mu, sigma, xi = map(_c, (x, mu, sigma, xi))
+    w = 1 + xi * ((x - mu) / sigma)
+    above = 1 - gev_cdf(x, mu, sigma, xi)
+    inside = F.when(above == 0, F.lit(float("inf"))).otherwise(F.try_divide(F.lit(1.0), above))
+    return F.when((F.abs(xi) >= TINY) & (w < 0), F.lit(float("nan"))).when(w.isNotNull(), inside)
+
+
 def gpd_level(t, scale, shape, threshold, rate) -> Column:
     t, scale, shape, threshold, rate = map(_c, (t, scale, shape, threshold, rate))
     return F.when(F.abs(shape) < TINY, threshold + scale * F.log(rate * t)).otherwise(threshold + scale / shape * (F.pow(rate * t, shape) - 1))

@@ -128,7 +128,7 @@ def _(s, d):
 @query("return_period_of_value", LM_ANNUAL + GEV + " SELECT g AS series_id, round(1 / (1 - exp(-pow(1 + xi * (l1 * 1.2 - mu) / sigma, -1 / xi))), 2) AS return_period FROM gev", D, ANNUAL)
 def _(s, d):
     f = extremes.gev_from_lmoments(extremes.lmoments(annual(s, d), "series_id"))
-    return f.select("series_id", F.round(1 / (1 - dist.gev_cdf(F.col("l1") * 1.2, "mu", "sigma", "xi")), 2).alias("return_period"))
+    return f.select("series_id", F.round(dist.gev_period(F.col("l1") * 1.2, "mu", "sigma", "xi"), 2).alias("return_period"))
 
 
 EXC = """
