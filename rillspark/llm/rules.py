@@ -11,11 +11,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .cluster import bounded_ids, materialise
+from .cluster import materialise, release
 
 BUCKETS = 1 << 16
-#: Trusted documents from which the target is fitted, at most; those with the smallest hash of their id.
-FIT_DOCUMENTS = 20_000
 #: Share of the raw distribution in the target.
 SHARE = 0.2
 #: Of held-out trusted documents, the share whose score may lie below the threshold before its slack.
@@ -42,30 +40,39 @@ def _held(ids: str) -> Column:
     return F.pmod(F.xxhash64(ids, F.lit(23)), F.lit(5)) == 0
 
 
-def weights(documents: DataFrame, labels: DataFrame, buckets: int = BUCKETS, limit: int = FIT_DOCUMENTS) -> DataFrame:
+def _trusted(documents: DataFrame, labels: DataFrame, held: bool) -> DataFrame:
+    """All trusted documents that are held out, or all others. Both sides are dealt by id at every size: neither has to fit
+    in memory."""
+    side = _held("doc_id") if held else ~_held("doc_id")
+    return documents.where(side).join(labels.where("quality = 1").where(side).select("doc_id").distinct().hint("merge"), "doc_id", "left_semi")
+
+
+def _counted(documents: DataFrame, buckets: int, name: str) -> DataFrame:
+    return documents.select(_words(F.col("text")).alias("w")).select(F.explode(_buckets("w", buckets)).alias("bucket")).groupBy("bucket").agg(F.count("*").alias(name))
+
+
+def weights(documents: DataFrame, labels: DataFrame, buckets: int = BUCKETS) -> DataFrame:
     """(bucket, ratio): ln of target over raw probability, one row for each bucket that the corpus has."""
-    trusted = F.broadcast(bounded_ids(labels.where("quality = 1").where(~_held("doc_id")), "doc_id", limit).withColumn("trusted", F.lit(1)))  # limit rows at most
-    d = documents.join(trusted, "doc_id", "left").select(_words(F.col("text")).alias("w"), "trusted")
-    counts = d.select(F.explode(_buckets("w", buckets)).alias("bucket"), "trusted").groupBy("bucket").agg(F.count("*").alias("raw"), F.count("trusted").alias("target"))
+    counts = _counted(documents, buckets, "raw").join(_counted(_trusted(documents, labels, False), buckets, "target"), "bucket", "left")
     counts = materialise(counts)
+    release(documents.sparkSession)
     sums = counts.agg(F.coalesce(F.sum("raw"), F.lit(0)).alias("raw"), F.coalesce(F.sum("target"), F.lit(0)).alias("target")).first()
     if not sums["target"]:
         return counts.select("bucket", F.lit(0.0).alias("ratio"))
     odds = (F.col("target") / F.lit(float(sums["target"]))) / (F.col("raw") / F.lit(float(sums["raw"])))
-    return counts.select("bucket", F.log((1 - SHARE) * odds + SHARE).alias("ratio"))
+    return counts.select("bucket", F.log((1 - SHARE) * F.coalesce(odds, F.lit(0.0)) + SHARE).alias("ratio"))
 
 
-def threshold(documents: DataFrame, labels: DataFrame, ratios: Column, buckets: int = BUCKETS, limit: int = FIT_DOCUMENTS) -> float:
-    """The least score that is kept: the quantile of held-out trusted documents that pass the base rules, less the slack;
-    minus infinity without such documents."""
-    held = F.broadcast(bounded_ids(labels.where("quality = 1").where(_held("doc_id")), "doc_id", limit))  # limit rows at most
+def threshold(documents: DataFrame, labels: DataFrame, ratios: Column, buckets: int = BUCKETS) -> float:
+    """The least score that is kept: the quantile of all held-out trusted documents that pass the base rules, less the
+    slack; minus infinity without such documents."""
     # kept before it is filtered, as the filter would else be pushed below the words and repeat their expressions
-    scores = materialise(_judged(documents.join(held, "doc_id", "left_semi"), ratios, buckets).select("base_failed", "ratio"))
+    scores = materialise(_judged(_trusted(documents, labels, True), ratios, buckets).select("base_failed", "ratio"))
     least = scores.where("NOT base_failed").agg(F.percentile_approx("ratio", QUANTILE, 10000)).first()[0]
     return float("-inf") if least is None else least - SLACK
 
 
-def judge(documents: DataFrame, labels: DataFrame, least: float | None = None, buckets: int = BUCKETS, limit: int = FIT_DOCUMENTS) -> DataFrame:
+def judge(documents: DataFrame, labels: DataFrame, least: float | None = None, buckets: int = BUCKETS) -> DataFrame:
     """(doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, ratio, kept) of every row.
 
     A document that passes the base rules is kept if its ratio is at least ``least``, by default threshold(). Null text
@@ -73,10 +80,10 @@ def judge(documents: DataFrame, labels: DataFrame, least: float | None = None, b
     ones the ratio rejects nothing. Labels may repeat; null ids match none. Repeated rows are judged apart and alike.
     Texts are used whole."""
     docs = documents.select("doc_id", "text")
-    table = {r["bucket"]: r["ratio"] for r in weights(docs, labels, buckets, limit).collect()}  # buckets rows at most
+    table = {r["bucket"]: r["ratio"] for r in weights(docs, labels, buckets).collect()}  # buckets rows at most
     ratios = F.split(F.lit(",".join(format(table.get(k, 0.0), ".6g") for k in range(buckets))), ",").cast("array<double>")  # folded to a constant
     if least is None:
-        least = threshold(docs, labels, ratios, buckets, limit)
+        least = threshold(docs, labels, ratios, buckets)
     judged = _judged(docs, ratios, buckets)
     return judged.select("*", (~F.col("base_failed") & (F.col("ratio") >= least)).alias("kept"))
 

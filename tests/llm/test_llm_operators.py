@@ -10,6 +10,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from rillspark.llm import embedding, html, jaccard, kneserney, language, mixing, packing, rules, text, tokens, toxicity
@@ -91,6 +92,24 @@ def test_quality_rules(docs, labels):
     assert empty.count() == 0
 
 
+def test_quality_rules_use_all_trusted_documents(spark):
+    """More trusted documents than 20,000 are fitted, and more than that set the threshold."""
+    held = F.pmod(F.xxhash64("doc_id", F.lit(23)), F.lit(5)) == 0
+    few = spark.range(28_000).select(F.col("id").alias("doc_id"), F.concat(F.lit("w"), "id").alias("text"))
+    marks = few.select("doc_id", F.lit(1).alias("quality"), F.lit(0).alias("toxic"))
+    ratios = rules.weights(few.where(~held), marks, 1 << 22)
+    assert few.where(~held).count() > 22_000 and ratios.where(F.col("ratio") < -1e-9).count() == 0
+    many = spark.range(110_000).select(F.col("id").alias("doc_id")).where(held).orderBy(F.xxhash64("doc_id", F.lit(17)), "doc_id")
+    words = F.array_join(F.transform(F.sequence(F.lit(1), F.lit(60)), lambda k: F.concat(F.col("w"), k.cast("string"))), " ")
+    at = F.row_number().over(Window.orderBy(F.xxhash64("doc_id", F.lit(17)), "doc_id"))
+    many = many.withColumn("w", F.when(at > 20_000, "bad").otherwise("good")).select("doc_id", words.alias("text")).localCheckpoint()
+    bad = [int(r.b) for r in many.where("text LIKE 'bad%'").limit(1).select(F.explode(rules._buckets("split(text, ' ')", 1 << 10)).alias("b")).collect()]
+    good = {int(r.b) for r in many.where("text LIKE 'good%'").limit(1).select(F.explode(rules._buckets("split(text, ' ')", 1 << 10)).alias("b")).collect()}
+    table = F.array(*[F.lit(-1.0 if k in set(bad) - good else 0.0) for k in range(1 << 10)])
+    marks = many.select("doc_id", F.lit(1).alias("quality"), F.lit(0).alias("toxic"))
+    assert many.where("text LIKE 'bad%'").count() > 0.02 * many.count() and rules.threshold(many, marks, table, 1 << 10) < -0.5
+
+
 def test_quality_rules_ratio_is_the_mean_log_ratio(spark):
     d = spark.createDataFrame([(1, "a b a b c"), (2, "x y x y z"), (3, "a b x")], "doc_id long, text string")
     l = spark.createDataFrame([(1, 1, 0)], LABELS)  # noqa: E741
