@@ -1,4 +1,4 @@
-"""Helpers for jobs that outlive an executor: shared checkpoints, bounded samples, connected components."""
+"""Helpers for jobs that outlive an executor: shared checkpoints, connected components."""
 
 from __future__ import annotations
 
@@ -69,12 +69,6 @@ def fold(column: str | Column) -> Column:
     return F.crc32(c.cast("string").cast("binary")) % 3
 
 
-def bounded_ids(ids: DataFrame, column: str, limit: int) -> DataFrame:
-    """At most limit distinct ids, the same ones on every run: those with the smallest hash."""
-    c = F.col(column)
-    return ids.where(c.isNotNull()).select(column).distinct().orderBy(F.xxhash64(c, F.lit(17)), c).limit(limit)
-
-
 def _edges_stat(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.expr("bit_xor(xxhash64(u, v))"), F.expr("sum(xxhash64(v, u) % 1000003)")).first())
 

@@ -463,6 +463,18 @@ def test_toxicity_restores_and_scores(spark):
     assert toxicity.score(d.where("false"), spark.createDataFrame([], LABELS)).count() == 0
 
 
+def test_toxicity_learns_from_all_labels(spark):
+    """A word that only marks documents beyond the first 20,000, by the hash of their ids, counts like any other."""
+    d = spark.range(36_000).select(F.col("id").alias("doc_id"), (F.crc32(F.col("id").cast("string").cast("binary")) % 3 == 1).alias("held"))
+    at = F.row_number().over(Window.partitionBy("held").orderBy(F.xxhash64("doc_id", F.lit(17)), "doc_id"))
+    d = d.withColumn("late", F.col("held") | (at > 20_000)).withColumn("toxic", (F.col("doc_id") % 10 == 0).cast("int"))
+    mark = F.when(F.col("toxic") == 0, "mild").when(F.col("late"), "grubnak").otherwise("plizod")
+    d = d.withColumn("text", F.concat_ws(" ", F.lit("the river runs by"), mark, F.concat(F.lit("n"), F.col("doc_id") % 50))).localCheckpoint()
+    assert d.where("late AND NOT held").count() > 2_000
+    got = toxicity.score(d.select("doc_id", "text"), d.select("doc_id", F.lit(1).alias("quality"), "toxic"))
+    assert got.join(d, "doc_id").where("held AND predicted <> toxic").count() == 0
+
+
 def test_toxicity_reads_every_form(spark):
     g = random.Random(9)
     plain = [f"{a}{b}" for a in ("ren", "tho", "ing", "sta", "mel") for b in ("der", "ly", "ting", "on", "a")]
