@@ -6,6 +6,8 @@ import gc
 import tempfile
 import time
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -63,6 +65,21 @@ def release(spark: SparkSession) -> None:
     time.sleep(1)
 
 
+@contextmanager
+def tidy(spark: SparkSession) -> Iterator[None]:
+    """Spark deletes the shuffle files of each query that is made and run inside as soon as that query ends.
+
+    release() has to wait for the driver's garbage, and leaves the files of the query that ran last. A frame made inside
+    that is run a second time computes its shuffles again."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def fold(column: str | Column) -> Column:
     """crc32 of an id written as text, modulo 3; rows with 1 are held out of every training."""
     c = F.col(column) if isinstance(column, str) else column

@@ -11,9 +11,9 @@ splits into terms that each need one n-gram only:
 
 so a document's log-probability is a sum over its words and its seen bigrams. Terms are sharded by key and joined: those
 of the most frequent words and bigrams, a bounded number, are broadcast, which takes the hot keys out of the shuffle,
-and the others meet the documents' words and bigrams in a hash-partitioned join. A bitmap of fixed size keeps most of
-what the model does not know out of that join. The join runs in rounds, each with a fixed share of the keys, so that a
-round's shuffle files are gone before the next.
+and the others meet the documents' words and bigrams in a hash-partitioned join. The join runs in rounds, each with a
+fixed share of the keys, so that a round's shuffle files are gone before the next. A bitmap of fixed size for each round
+keeps most of what the model does not know out of that join; it may let a key through, but loses none.
 
 A word's code is a small id for the most frequent words, else 62 bits of its hash. Which words have an id changes speed
 only: counts, contexts and terms of all words are complete.
@@ -26,11 +26,12 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import text as tx
-from .cluster import discard, materialise, release, stored, unused
+from .cluster import discard, materialise, release, stored, tidy, unused
 from .jaccard import _bitmap, _inside
 
 #: Codes below this are ids, whose word terms are broadcast.
@@ -49,7 +50,7 @@ UNK, STOP, START = 0, 1, 2
 FIRST = 3
 #: Held-out documents that the quantile over all languages counts for beside a language's own.
 SHRINK = 20.0
-#: log2 of the bits of the bitmap of known bigrams.
+#: log2 of the bits of a round's bitmap of known keys.
 KNOWN_BITS = 26
 #: Rounds of the scoring join, a power of two.
 ROUNDS = 4
@@ -80,13 +81,19 @@ def _key(v: np.ndarray, w: np.ndarray) -> np.ndarray:
     return key
 
 
+def _packed(v: np.ndarray, w: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+    """Counts of bigrams as (a, b, n): two ids are one number in a, beside 0, which no counted word has; shuffled, it is smaller."""
+    ids = (v | w) < IDS
+    return pa.RecordBatch.from_arrays([pa.array(np.where(ids, v * IDS + w, v)), pa.array(np.where(ids, 0, w)), pa.array(n)], ["a", "b", "n"])
+
+
 class Model:
-    """The bounded part of the model: terms of words with an id, bigrams of the head, and a bitmap of all other keys."""
+    """The bounded part of the model: terms of words with an id, and bigrams of the head."""
 
-    def __init__(self, keys, ids, start, context, head_keys, head_terms, known):
+    def __init__(self, keys, ids, start, context, head_keys, head_terms):
         self.keys, self.ids = keys, ids  # word hash (sorted) -> id
         self.start, self.context = start, context  # ln P1(w), ln g(v)
-        self.head_keys, self.head_terms, self.known = head_keys, head_terms, known
+        self.head_keys, self.head_terms = head_keys, head_terms
 
 
 def _vocabulary(listed: DataFrame, bitmap: np.ndarray | None) -> np.ndarray:
@@ -150,13 +157,15 @@ def fit(trusted: DataFrame, listed: DataFrame, bitmap: np.ndarray | None = None)
                 k, v, w, n = summed()
                 held = []
                 if len(k) > MERGED:
-                    yield pa.RecordBatch.from_arrays([pa.array(v), pa.array(w), pa.array(n)], ["v", "w", "n"])
+                    yield _packed(v, w, n)
                     k, v, w, n = none, none, none, none
         held.append((k, v, w, n))
         _, v, w, n = summed()
-        yield pa.RecordBatch.from_arrays([pa.array(v), pa.array(w), pa.array(n)], ["v", "w", "n"])
+        yield _packed(v, w, n)
 
-    counted = stored(trusted.select("text").mapInArrow(count, "v bigint, w bigint, n bigint").groupBy("v", "w").agg(F.sum("n").alias("n")))
+    merged = trusted.select("text").mapInArrow(count, "a bigint, b bigint, n bigint").groupBy("a", "b").agg(F.sum("n").alias("n"))
+    apart = [F.when(F.col("b") == 0, F.expr(f"a div {IDS}")).otherwise(F.col("a")).alias("v"), F.when(F.col("b") == 0, F.col("a") % IDS).otherwise(F.col("b")).alias("w")]
+    counted = stored(merged.select(*apart, "n"))
     release(trusted.sparkSession)
 
     many = {r["n"]: r["k"] for r in counted.groupBy(F.least("n", F.lit(5)).alias("n")).agg(F.count("*").alias("k")).collect()}
@@ -218,8 +227,7 @@ def fit(trusted: DataFrame, listed: DataFrame, bitmap: np.ndarray | None = None)
     head = terms(near.where(in_head)).select("key", "term").toArrow()  # HEAD rows at most
     rest = terms(near.where(~in_head)).union(terms(own.union(both))).select("key", "term").union(single)
     by = np.argsort(head["key"].to_numpy())
-    others = counted.where(~in_head).select("v", "w").union(words.select("code", F.lit(None).cast("bigint")))
-    model = Model(keys, ids, charge, np.log(bulk / total), head["key"].to_numpy()[by].astype(np.uint32), head["term"].to_numpy()[by], _known(others))
+    model = Model(keys, ids, charge, np.log(bulk / total), head["key"].to_numpy()[by].astype(np.uint32), head["term"].to_numpy()[by])
     release(trusted.sparkSession)
     rest = stored(rest.withColumn("round", F.expr(f"(key ^ shiftright(key, 16)) & {ROUNDS - 1}")))
     discard(counted)
@@ -228,26 +236,53 @@ def fit(trusted: DataFrame, listed: DataFrame, bitmap: np.ndarray | None = None)
     return model, rest
 
 
-def _slot(key: np.ndarray) -> np.ndarray:
-    return (tx.mix(key.view(np.uint64)) >> np.uint64(64 - KNOWN_BITS)).astype(np.int64)
+def _slots(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The two bits of a key in the bitmap of its round."""
+    h = tx.mix(key.view(np.uint64))
+    return h >> np.uint64(64 - KNOWN_BITS), h & np.uint64((1 << KNOWN_BITS) - 1)
+
 
+def _known(terms: DataFrame) -> np.ndarray:
+    """A bitmap of 2**KNOWN_BITS bits of the keys of (key); a task sends it as the low halves of the bits it sets."""
 
-def _known(counted: DataFrame) -> np.ndarray:
-    """A bitmap of 2**KNOWN_BITS bits of the keys of (v, w): of the word v where w is null, else of the bigram."""
+    def split(held: list) -> pa.RecordBatch:
+        bit = np.unique(np.concatenate(held))
+        to = np.searchsorted(bit, np.arange((1 << KNOWN_BITS - 16) + 1) << 16)
+        low = pa.Array.from_buffers(pa.binary(), len(to) - 1, [None, pa.py_buffer((2 * to).astype(np.int32)), pa.py_buffer(bit.astype("<u2"))])
+        return pa.RecordBatch.from_arrays([pa.array(np.arange(len(to) - 1)), low], ["at", "bits"]).filter(pa.array(np.diff(to) > 0))
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [np.zeros(0, np.uint32)], 0
         for batch in batches:
-            v, word = np.asarray(batch.column(0)), np.asarray(batch.column(1).is_null())
-            slot = np.sort(_slot(np.where(word, v, _key(v, np.asarray(batch.column(1).fill_null(0))))))
-            if len(slot):
-                first = np.flatnonzero(np.concatenate([[True], np.diff(slot >> 6) > 0]))
-                bits = np.bitwise_or.reduceat(np.left_shift(np.uint64(1), (slot & 63).astype(np.uint64)), first)
-                yield pa.RecordBatch.from_arrays([pa.array(slot[first] >> 6), pa.array(bits.view(np.int64))], ["at", "bits"])
+            held += [s.astype(np.uint32) for s in _slots(np.asarray(batch.column(0)))]
+            n += batch.num_rows
+            if n > MERGED:
+                yield split(held)
+                held, n = [np.zeros(0, np.uint32)], 0
+        yield split(held)
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for at, low in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                bits = np.zeros(1 << 16, bool)
+                bits[np.frombuffer(low.as_buffer(), "<u2")] = True
+                bits = np.packbits(bits, bitorder="little")
+                got[at] = got[at] | bits if at in got else bits
+        yield pa.RecordBatch.from_arrays([pa.array(list(got), pa.int64()), pa.array([b.tobytes() for b in got.values()], pa.binary())], ["at", "bits"])
+
+    kind = "at bigint, bits binary"
+    got = terms.select("key").mapInArrow(partial, kind).repartition("at").mapInArrow(whole, kind).toArrow()
+    out = np.zeros((1 << KNOWN_BITS - 16, 1 << 13), np.uint8)
+    for at, bits in zip(got["at"].to_pylist(), got["bits"], strict=True):
+        out[at] = np.frombuffer(bits.as_buffer(), np.uint8)
+    return out.reshape(-1)
+
 
-    got = counted.mapInArrow(partial, "at bigint, bits bigint").groupBy("at").agg(F.expr("bit_or(bits)").alias("bits")).toArrow()
-    out = np.zeros(1 << (KNOWN_BITS - 6), np.int64)
-    out[got["at"].to_numpy()] = got["bits"].to_numpy()
-    return out.view(np.uint64)
+def _may_hold(known: np.ndarray, key: np.ndarray) -> np.ndarray:
+    """Whether both bits of each key are set."""
+    first, second = ((known[s >> np.uint64(3)] >> (s & np.uint64(7)).astype(np.uint8) & 1).astype(bool) for s in _slots(key))
+    return first & second
 
 
 def row_name() -> Column:
@@ -261,8 +296,8 @@ def score(documents: DataFrame, model: Model, terms: DataFrame) -> DataFrame:
 
     sent = documents.sparkSession.sparkContext.broadcast(model)  # of a bounded size, once for all rounds
 
-    def partial(batches: Iterator[pa.RecordBatch], turn: int) -> Iterator[pa.RecordBatch]:
-        model = sent.value
+    def partial(batches: Iterator[pa.RecordBatch], turn: int, bits: Broadcast) -> Iterator[pa.RecordBatch]:
+        model, known = sent.value, bits.value
         # the row of a document itself has a key below zero that no bigram has, so these rows spread over all shards
         for part in tx.slices(batches, "text"):
             codes, at = _codes(part.column(2), model.keys, model.ids)
@@ -280,8 +315,7 @@ def score(documents: DataFrame, model: Model, terms: DataFrame) -> DataFrame:
             key, rows = np.concatenate([key[rest], codes[far]]), np.concatenate([rows[rest], rows[far]])
             mine = (key ^ key >> 16) & ROUNDS - 1 == turn
             key, rows = key[mine], rows[mine]
-            slot = _slot(key)
-            rest = (model.known[slot >> 6] >> (slot & 63).astype(np.uint64) & np.uint64(1)).astype(bool)
+            rest = _may_hold(known, key)
             # a key that a document repeats is one row, with its number as part
             key, rows = key[rest], rows[rest]
             by = np.lexsort((key, rows))
@@ -303,17 +337,20 @@ def score(documents: DataFrame, model: Model, terms: DataFrame) -> DataFrame:
                 ["row", "key", "doc_id", "lang", "n_tokens", "part"],
             )
 
-    def turned(turn: int):
-        return lambda batches: partial(batches, turn)
+    def turned(turn: int, bits: Broadcast):
+        return lambda batches: partial(batches, turn, bits)
 
     # equal rows share a name and are told apart by their number only
     named = documents.select("doc_id", row_name(), "text", "lang")
     value = F.when(F.col("key") < 0, F.col("part")).otherwise(F.col("part") * F.coalesce("term", F.lit(0.0)))
     rounds = []
     for turn in range(ROUNDS):
-        parts = named.mapInArrow(turned(turn), f"row bigint, key bigint, doc_id {kind}, lang {tag}, n_tokens bigint, part double")
-        joined = parts.join(terms.where(F.col("round") == turn).select("key", "term"), "key", "left")
+        mine = terms.where(F.col("round") == turn).select("key", "term")
+        bits = documents.sparkSession.sparkContext.broadcast(_known(mine))
+        parts = named.mapInArrow(turned(turn, bits), f"row bigint, key bigint, doc_id {kind}, lang {tag}, n_tokens bigint, part double")
+        joined = parts.join(mine, "key", "left")
         rounds.append(materialise(joined.groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.max("lang").alias("lang"), F.max("n_tokens").alias("n_tokens"), F.sum(value).alias("total"), F.count(F.when(F.col("key") < 0, 1)).alias("copies"))))
+        bits.destroy()
         release(documents.sparkSession)
     discard(terms)
     sent.destroy()
@@ -334,20 +371,21 @@ def classify(documents: DataFrame, labels: DataFrame, quantile: float = 0.99, sl
     trusted_ids = labels.where("quality = 1 AND doc_id IS NOT NULL").select("doc_id").distinct()
     held = F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(5)) == 0
     fitted = trusted_ids.where(~held)
-    bitmap = _bitmap(fitted.select(F.xxhash64("doc_id").alias("h")))
-
-    def maybe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            yield b.filter(pa.array(_inside(bitmap, np.asarray(b.column(0)))))
-
-    kind = documents.schema[doc_id].dataType.simpleString()
-    hashed = docs.where("doc_id IS NOT NULL").select(F.xxhash64("doc_id").alias("h"), "doc_id", "text")
-    likely = hashed.mapInArrow(maybe, f"h bigint, doc_id {kind}, text string").select("doc_id", "text")
-    model, terms = fit(likely.join(fitted, "doc_id", "left_semi").select("text"), hashed.select("h", "text"), bitmap)
-    scored = materialise(score(docs, model, terms)).withColumn("nats", F.when(F.col("n_tokens") > 0, -F.col("log_prob") / (F.col("n_tokens") + 1)))
-    sample = scored.where("n_tokens > 0").join(trusted_ids.where(held), "doc_id", "left_semi").select("lang", "nats")
-    limits = sample.groupBy("lang").agg(F.count("*").alias("k"), F.percentile_approx("nats", quantile, 10000).alias("limit")).collect()  # one row for each language
-    everywhere = sample.agg(F.percentile_approx("nats", quantile, 10000)).first()[0]
+    with tidy(documents.sparkSession):
+        bitmap = _bitmap(fitted.select(F.xxhash64("doc_id").alias("h")))
+
+        def maybe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                yield b.filter(pa.array(_inside(bitmap, np.asarray(b.column(0)))))
+
+        kind = documents.schema[doc_id].dataType.simpleString()
+        hashed = docs.where("doc_id IS NOT NULL").select(F.xxhash64("doc_id").alias("h"), "doc_id", "text")
+        likely = hashed.mapInArrow(maybe, f"h bigint, doc_id {kind}, text string").select("doc_id", "text")
+        model, terms = fit(likely.join(fitted, "doc_id", "left_semi").select("text"), hashed.select("h", "text"), bitmap)
+        scored = materialise(score(docs, model, terms)).withColumn("nats", F.when(F.col("n_tokens") > 0, -F.col("log_prob") / (F.col("n_tokens") + 1)))
+        sample = scored.where("n_tokens > 0").join(trusted_ids.where(held), "doc_id", "left_semi").select("lang", "nats")
+        limits = sample.groupBy("lang").agg(F.count("*").alias("k"), F.percentile_approx("nats", quantile, 10000).alias("limit")).collect()  # one row for each language
+        everywhere = sample.agg(F.percentile_approx("nats", quantile, 10000)).first()[0]
     default = F.lit(float("inf") if everywhere is None else everywhere + slack)
     own = F.coalesce(*[F.when(F.col("lang").eqNullSafe(F.lit(r["lang"])), F.lit((r["k"] * r["limit"] + SHRINK * everywhere) / (r["k"] + SHRINK) + slack)) for r in limits], default)
     return scored.select("row", "doc_id", "lang", "n_tokens", "log_prob", F.exp("nats").alias("perplexity"), F.exp(own).alias("threshold"), F.coalesce(F.col("nats") <= own, F.lit(False)).alias("kept"))
