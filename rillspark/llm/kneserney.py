@@ -236,6 +236,10 @@ def fit(trusted: DataFrame, listed: DataFrame, bitmap: np.ndarray | None = None)
     return model, rest
 
 
+def _round(key: np.ndarray) -> np.ndarray:
+    return (key ^ key >> 16) & ROUNDS - 1
+
+
 def _slots(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The two bits of a key in the bitmap of its round."""
     h = tx.mix(key.view(np.uint64))
@@ -304,21 +308,23 @@ def score(documents: DataFrame, model: Model, terms: DataFrame) -> DataFrame:
             rows = np.repeat(np.arange(len(at) - 1), np.diff(at))
             before = _before(codes, at)
             key = _key(before, codes)
-            term = tx.lookup(model.head_keys, model.head_terms, np.where(key < 1 << 32, key, 0).astype(np.uint32), np.float32(np.nan))
-            rest = np.isnan(term)
             far = codes >= IDS
             n = part.num_rows if not turn else 0
+            # the first round adds the terms of the head; the others need only know which of their keys are not in it
+            looked = np.arange(len(key)) if n else np.flatnonzero(_round(key) == turn)
+            term = tx.lookup(model.head_keys, model.head_terms, np.where(key < 1 << 32, key, 0)[looked].astype(np.uint32), np.float32(np.nan))
+            rest = looked[np.isnan(term)]
             if n:
                 # a word without an id counts as <unk> here, and its own term corrects that
-                sure = model.start[np.where(far, UNK, codes)] + np.where(before < IDS, model.context[np.where(before < IDS, before, UNK)], 0.0) + np.where(rest, 0.0, term)
+                sure = model.start[np.where(far, UNK, codes)] + np.where(before < IDS, model.context[np.where(before < IDS, before, UNK)], 0.0) + np.nan_to_num(term)
                 base = np.bincount(rows, weights=sure, minlength=len(at) - 1)
             key, rows = np.concatenate([key[rest], codes[far]]), np.concatenate([rows[rest], rows[far]])
-            mine = (key ^ key >> 16) & ROUNDS - 1 == turn
+            mine = _round(key) == turn
             key, rows = key[mine], rows[mine]
             rest = _may_hold(known, key)
             # a key that a document repeats is one row, with its number as part
             key, rows = key[rest], rows[rest]
-            by = np.lexsort((key, rows))
+            by = np.argsort(rows << 44 | key & (1 << 44) - 1)  # keys that share these bits may split a number, not lose it
             key, rows = key[by], rows[by]
             new = np.flatnonzero(np.append(True, (key[1:] != key[:-1]) | (rows[1:] != rows[:-1]))[: len(key)])
             times = np.diff(np.append(new, len(key)))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -176,6 +177,43 @@ def test_quality_classifier_thresholds_by_language(docs, labels):
     assert min(limit["en"], limit["de"]) < limit[None] < max(limit["en"], limit["de"]) + 1e-9
 
 
+def test_kneserney_scores_add_up_over_rounds(spark, monkeypatch):
+    """Every key counts in one round, as often as the document has it; the round's bitmap keeps all keys and few others."""
+    monkeypatch.setattr(kneserney, "VOCABULARY", 3)
+    monkeypatch.setattr(kneserney, "HEAD", 4)
+    texts = ["a b a b c a b", "b c a b x y x y", "c c a", "q a r", ""]
+    d = spark.createDataFrame([(k, t, "en") for k, t in enumerate(texts)], "doc_id long, text string, lang string")
+    fitted = d.where("doc_id < 3").select("text")
+    model, terms = kneserney.fit(fitted, fitted.select(F.lit(0).cast("long").alias("h"), "text"))
+    known = dict(zip(model.head_keys.tolist(), model.head_terms.tolist())) | {r.key: r.term for r in terms.collect()}
+    got = {r.doc_id: r.log_prob for r in kneserney.score(d, model, terms).collect()}
+    for k, t in enumerate(texts):
+        codes, at = kneserney._codes(pa.array([t]), model.keys, model.ids)
+        before = kneserney._before(codes, at)
+        want = sum(model.start[w if w < kneserney.IDS else 0] + (model.context[v] if v < kneserney.IDS else 0) for v, w in zip(before, codes))
+        want += sum(known.get(int(x), 0.0) for x in [*kneserney._key(before, codes), *codes[codes >= kneserney.IDS]])
+        assert got[k] == pytest.approx(want, rel=1e-6)
+    keys = spark.range(1 << 20).select(F.expr("xxhash64(id) & 4611686018427387903").alias("key"))
+    mine, bits = keys.toArrow()["key"].to_numpy(), kneserney._known(keys)
+    assert kneserney._may_hold(bits, mine).all() and kneserney._may_hold(bits, mine ^ 12345).mean() < 0.005
+
+
+def test_quality_classifier_leaves_no_shuffle_files(spark, docs, labels):
+    """What each query shuffled is deleted when it ends, not when the driver happens to collect its garbage."""
+
+    def files() -> set[str]:
+        found = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString(",")
+        return {x.rsplit("/", 1)[-1] for x in found.split(",") if "/shuffle_" in x}
+
+    before = files()
+    kneserney.classify(docs, labels)
+    for _ in range(20):
+        if not files() - before:
+            break
+        time.sleep(0.25)
+    assert not files() - before
+
+
 def test_jaccard_join_against_brute_force(spark, docs):
     rows = [r for r in doc_rows() if r[0] is not None]
     extra = []
