@@ -12,6 +12,10 @@ from contextlib import contextmanager
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Bytes of a batch that goes to Python, unless one row alone is longer, and rows that Spark reads from Parquet at once, in lean().
+BATCH_BYTES = 1 << 21
+READ_ROWS = 512
+
 
 def _shared_folder(spark: SparkSession) -> str:
     """The checkpoint folder that all executors share: that of ``spark.checkpoint.dir``.
@@ -66,18 +70,30 @@ def release(spark: SparkSession) -> None:
 
 
 @contextmanager
-def tidy(spark: SparkSession) -> Iterator[None]:
+def _with_conf(spark: SparkSession, conf: dict[str, str]) -> Iterator[None]:
+    before = {k: spark.conf.get(k) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+def tidy(spark: SparkSession):
     """Spark deletes the shuffle files of each query that is made and run inside as soon as that query ends.
 
     release() has to wait for the driver's garbage, and leaves the files of the query that ran last. A frame made inside
     that is run a second time computes its shuffles again."""
-    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    before = spark.conf.get(key)
-    spark.conf.set(key, "true")
-    try:
-        yield
-    finally:
-        spark.conf.set(key, before)
+    return _with_conf(spark, {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"})
+
+
+def lean(spark: SparkSession):
+    """Queries run inside read and hand long texts to Python in small batches; only memory depends on it.
+
+    Spark counts rows by default, 4,096 and 10,000; an executor holds such a batch in its heap, beside it, and in a worker."""
+    return _with_conf(spark, {"spark.sql.execution.arrow.maxBytesPerBatch": str(BATCH_BYTES), "spark.sql.parquet.columnarReaderBatchSize": str(READ_ROWS)})
 
 
 def fold(column: str | Column) -> Column:

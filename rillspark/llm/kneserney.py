@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import text as tx
-from .cluster import discard, materialise, release, stored, tidy, unused
+from .cluster import discard, lean, materialise, release, stored, tidy, unused
 from .jaccard import _bitmap, _inside
 
 #: Codes below this are ids, whose word terms are broadcast.
@@ -377,7 +377,7 @@ def classify(documents: DataFrame, labels: DataFrame, quantile: float = 0.99, sl
     trusted_ids = labels.where("quality = 1 AND doc_id IS NOT NULL").select("doc_id").distinct()
     held = F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(5)) == 0
     fitted = trusted_ids.where(~held)
-    with tidy(documents.sparkSession):
+    with tidy(documents.sparkSession), lean(documents.sparkSession):
         bitmap = _bitmap(fitted.select(F.xxhash64("doc_id").alias("h")))
 
         def maybe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -214,6 +214,27 @@ def test_quality_classifier_leaves_no_shuffle_files(spark, docs, labels):
     assert not files() - before
 
 
+def test_quality_classifier_hands_texts_over_in_small_batches(spark, labels, monkeypatch):
+    """However long the texts are, a worker gets few bytes of them at once; the session's settings stay as they were."""
+    d = spark.range(600, numPartitions=1).selectExpr("id AS doc_id", "repeat(concat('w', id, ' '), 5000) AS text", "'en' AS lang")
+    sizes, fit = [], kneserney.fit
+
+    def probed(trusted, listed, bitmap=None):
+        def size(batches):
+            for b in batches:
+                yield pa.RecordBatch.from_arrays([pa.array([b.nbytes])], ["n"])
+
+        sizes.extend(r.n for r in listed.mapInArrow(size, "n bigint").collect())
+        return fit(trusted, listed, bitmap)
+
+    monkeypatch.setattr(kneserney, "fit", probed)
+    keys = ["spark.sql.execution.arrow.maxBytesPerBatch", "spark.sql.parquet.columnarReaderBatchSize"]
+    before = [spark.conf.get(k) for k in keys]
+    assert kneserney.classify(d, labels).count() == 600
+    assert sum(sizes) > 8 << 20 and max(sizes) < 3 << 20
+    assert [spark.conf.get(k) for k in keys] == before
+
+
 def test_jaccard_join_against_brute_force(spark, docs):
     rows = [r for r in doc_rows() if r[0] is not None]
     extra = []
